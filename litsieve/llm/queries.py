@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, packing, token_files, url_filter
+from . import chat_format, exact_dedup, jaccard_join, packing, token_files, url_filter
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op5_chat_format, op7_exact_dedup, op8_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op5_chat_format, op6_ngram_jaccard, op7_exact_dedup, op8_url_filter)}
 
 
 OP5_SQL = """
@@ -76,6 +80,21 @@ select conv_id, cast(count(*) as bigint) as n_turns,
 from pieces group by conv_id
 """
 
+OP6_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+tokens as (
+  select doc_id, array_to_string(w, ' ') as t from words where len(w) in (1, 2)
+  union select doc_id, array_to_string(w[i:i + 2], ' ') from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words where len(w) > 2)),
+sizes as (select doc_id, count(*) as n from tokens group by 1),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as i from tokens a join tokens b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from both_ join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * i >= 90 * (x.n + y.n - i)),
+edges as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) as component_id
+from documents d left join sizes s on d.doc_id = s.doc_id left join reach r on d.doc_id = r.a group by d.doc_id, s.n
+"""
+
 OP7_SQL = """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
   sha256(coalesce(text, '')) as text_sha256
@@ -101,4 +120,4 @@ from pages_ left join best using (n) left join own using (n)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": op8_sql()}
+    return {"op5_chat_format": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": op8_sql()}
