@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, packing, token_files, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, token_files, url_filter
 from .common import table
 
 
@@ -57,8 +57,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op5_chat_format, op6_ngram_jaccard, op7_exact_dedup, op8_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op5_chat_format, op6_ngram_jaccard, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_decontaminate)}
 
 
 OP5_SQL = """
