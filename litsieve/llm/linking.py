@@ -1,7 +1,8 @@
 """Exact components of a set-similarity graph, without all pairs: star links, then a token-group matrix.
 
-Input are candidate keys: rows (key, id, n), such that two sets of the wanted similarity share a key, and a function
-that gives the sets of chosen ids. The steps:
+Input are candidate keys: rows (key, id, n), such that two sets of the wanted similarity share a key, where n is the
+size of the set or one number for a kind of sets whose sizes are close; and a function that gives the sets of chosen
+ids. The steps:
 
 1. Keys held by one id only are dropped.
 2. Star rounds. In each key, one id of every component so far is compared with one chosen id of the key; exact overlap
@@ -89,7 +90,7 @@ def _group_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     union = member.join(sets.hint("merge"), "id").groupBy("g_comp", "g_part").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("tokens"))
     asked_sets = asked.join(sets.select(F.col("id").alias("q"), "set").hint("merge"), "q")
     bounded = asked_sets.join(union.hint("merge"), ["g_comp", "g_part"])
-    opened = bounded.where(F.size(F.array_intersect("set", "tokens")).cast("long") * den >= F.col("n") * num).select("q", "g_comp", "g_part")
+    opened = bounded.where(F.size(F.array_intersect("set", "tokens")).cast("long") * den >= F.size("set") * num).select("q", "g_comp", "g_part")
     pairs = written(opened, "opened").join(member.hint("merge"), ["g_comp", "g_part"])
     pairs = pairs.select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b")).where("a <> b").distinct()
     return _verified(pairs, sets, num, den, "links")

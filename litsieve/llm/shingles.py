@@ -65,19 +65,27 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
     return hashes, text, start - begins[text], stop - begins[text]
 
 
+def _factors(k: int) -> np.ndarray:
+    return mix(np.arange(1, k + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
+
+
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words."""
+    value = np.zeros(max(0, len(hashes) - k + 1), dtype=_U)
+    for j, f in enumerate(_factors(k)):
+        value += hashes[j : j + len(value)] * f
+    return mix(value + _U(k))
+
+
 def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles as (hash, text), sorted by text and hash; with fewer words the whole sequence is one."""
     n = len(hashes)
     counts = np.bincount(text, minlength=n_texts) if n else np.zeros(n_texts, dtype=np.int64)
-    factor = mix(np.arange(1, k + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
+    factor = _factors(k)
     found, of = [], []
     if n >= k:
-        last = n - k + 1
-        same = np.flatnonzero(text[:last] == text[k - 1 :])
-        value = np.zeros(last, dtype=_U)
-        for j in range(k):
-            value += hashes[j : j + last] * factor[j]
-        found.append(mix(value[same] + _U(k)))
+        same = np.flatnonzero(text[: n - k + 1] == text[k - 1 :])
+        found.append(runs(hashes, k)[same])
         of.append(text[same])
     begin = np.cumsum(counts) - counts
     for t in np.flatnonzero((counts > 0) & (counts < k)):
