@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, token_files, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, packing, substring_dedup, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
@@ -71,7 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op4_toxicity, op5_chat_format, op6_ngram_jaccard, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_html_extract, op4_toxicity, op5_chat_format, op6_ngram_jaccard, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_decontaminate)}
 
 
 OP5_SQL = """

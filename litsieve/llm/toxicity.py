@@ -213,8 +213,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(0)) == 1
 
 
-def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, score. labels: (doc_id, toxic)."""
+def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold: float | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, held_out, score. labels: (doc_id, toxic).
+
+    With a threshold: the rows of docs with a score below it instead, with all their columns.
+    """
     spark = docs.sparkSession
     arrow_rows(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -232,5 +235,9 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFr
     fitted = read.join(sample.hint("merge"), "doc_id").select("kind", "text").mapInArrow(partial(_features, model=model), "y int, x array<double>").limit(2 * fit_rows).toPandas()
     x = np.array(fitted.x.tolist(), dtype=float).reshape(-1, 4)
     weights = fit_logistic(x, fitted.y.to_numpy(dtype=float)) if totals["t_co"] and totals["t_ct"] else fit_logistic(np.zeros((len(fitted), 4)), fitted.y.to_numpy(dtype=float))
+    if threshold is not None:
+        packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+        scored = packed.mapInArrow(partial(_score, model=model, weights=weights.tolist()), f"row {packed.schema['row'].dataType.simpleString()}, score double")
+        return scored.where(F.col("score") < threshold).select("row.*")
     out = read.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "text")
     return out.mapInArrow(partial(_score, model=model, weights=weights.tolist()), "doc_id long, held_out boolean, score double")
