@@ -8,7 +8,6 @@ as long as the cache has room. Texts with runs of white space, or other white sp
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,14 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LOADED: dict[str, ChunkEncoder] = {}
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x01").search
+# All white space but the space and the line end; the separator of joined calls; pairs of white space.
+_WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_NOT_CUT = (*_WHITE, "\x01", "  ", " \n", "\n ", "\n\n")
+
+
+def _odd(text: str) -> bool:
+    """Whether a text has other white space than single spaces and line ends between other characters."""
+    return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _NOT_CUT)
 
 
 class ChunkEncoder:
@@ -32,6 +38,7 @@ class ChunkEncoder:
         self.line_end = self._whole(["\n"])[0].tobytes() if len(line) == 3 else b""  # kept by one vocabulary, dropped by the other
         self.between = "\n" if self.line_end else " \x01 "
         self.mark = int(self._whole(["\n" if self.line_end else "\x01"])[0][0])
+        self.tails = {c: self._whole([c])[0].tobytes() for c in ".,;:!?"}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -57,8 +64,11 @@ class ChunkEncoder:
 
     def _found(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> dict[str, bytes]:
         """The cache, or where it has no room a copy of what these chunks need."""
-        new = list(chunks.difference(cache))
-        made = dict(zip(new, self._chunks([lead + c for c in new]), strict=True))
+        new = chunks.difference(cache)
+        ended = {c for c in new if c[-1:] in self.tails and c[-2:-1].isalpha()}  # a letter and a sign never share a pre-token
+        bare = list((new - ended) | {c[:-1] for c in ended}.difference(cache))
+        made = dict(zip(bare, self._chunks([lead + c for c in bare]), strict=True))
+        made |= {c: (made[c[:-1]] if c[:-1] in made else cache[c[:-1]]) + self.tails[c[-1]] for c in ended}
         if len(cache) + len(made) <= self.MOST_CHUNKS:
             cache.update(made)
             return cache
@@ -66,7 +76,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        cut = [None if not t or _ODD(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cut = [None if not t or _odd(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         firsts, laters = set(), set()
         for lines in cut:
             for chunks in lines or ():
