@@ -1,0 +1,44 @@
+"""Redaction of secrets and checks of produced texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Credentials, as (name, before, value); the value is masked, what stands before it stays.
+VALUE = r"([A-Za-z0-9._\-+/]{8,}"
+SECRETS = [
+    ("openai_key", r"(?<![A-Za-z0-9_-])()", r"(sk-[A-Za-z0-9_-]{8,})"),
+    ("github_token", r"\b()", r"(ghp_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,})"),
+    ("bearer_token", r"(?i)\b(Bearer\s+)", VALUE + "=*)"),
+    ("authorization_header", r"(?i)\b(Authorization\s*:\s*(?:Bearer\s+|Basic\s+|Token\s+)?)", VALUE + "=*)"),
+    ("api_key_param", r"(?i)\b((?:api[_-]?key|apikey|access[_-]?token|auth[_-]?token|secret[_-]?key|client[_-]?secret|password|passwd|token)\b[\"']?\s*[:=]\s*[\"']?)", VALUE + ")"),
+    ("private_key_header", r"(-----BEGIN )", r"([A-Z0-9 ]*)(?=PRIVATE KEY-----)"),
+]
+PEM_BLOCK, PEM_MASK = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[已脱敏：私钥块]"
+
+
+def redact(text: Column) -> Column:
+    """Credentials as their first four and last two characters around ***; values of at most six characters as ***."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), PEM_BLOCK, PEM_MASK)
+    for name, before, value in SECRETS[:5]:
+        out = F.regexp_replace(out, before + r"(?=" + value + r")(.{4}).*?(?<=(.{2}))(?![A-Za-z0-9._\-+/=])", "$1$3***$4") if name != "openai_key" else F.regexp_replace(out, r"(?<![A-Za-z0-9_-])(sk-[A-Za-z0-9_-])([A-Za-z0-9_-]{5,}?)([A-Za-z0-9_-]{2})(?![A-Za-z0-9_-])", "$1***$3")
+    return out
+
+
+def secret_kinds(text: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(before + value)), F.lit(name)) for name, before, value in SECRETS]))
+
+
+def neutralize_brackets(text: Column) -> Column:
+    """Runs of three or more angle brackets become two."""
+    return F.regexp_replace(text, "([<>＜＞]{2})[<>＜＞]+", "$1")
+
+
+def output_problems(text: Column, max_chars: int | None = None, forbidden: list[str] = ()) -> Column:
+    body = F.coalesce(text, F.lit(""))
+    tests = [F.when(F.trim(body) == "", F.lit("empty")), F.when(F.size(secret_kinds(body)) > 0, F.lit("secret"))]
+    if max_chars is not None:
+        tests.append(F.when(F.char_length(body) > max_chars, F.lit("too_long")))
+    tests += [F.when(F.contains(body, F.lit(p)), F.lit("forbidden: " + p)) for p in forbidden if p]
+    return F.array_compact(F.array(*tests))

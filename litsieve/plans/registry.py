@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational  # noqa: F401  fills the register
+from . import content, relational, retrieval  # noqa: F401  they fill the register
 from .base import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["flt_01_metadata"](spark, sf_dir)
+    return QUERIES["agg_22_config_table"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable]:
