@@ -123,7 +123,7 @@ def _(spark, d):
 
 
 def metric_sql(rankings: str, qrels: str, k: int) -> str:
-    return f"""cut as (select query_id, id, row_number() over (partition by query_id order by min(rank), id) as rank from ({rankings}) group by 1, 2 qualify rank <= {k}),
+    return f"""cut as (select query_id, id, r as rank from (select query_id, id, row_number() over (partition by query_id order by min(rank), id) as r from ({rankings}) group by 1, 2) where r <= {k}),
     rel as (select query_id, id, max(gain)::double as gain from ({qrels}) where gain > 0 group by 1, 2),
     ideal as (select query_id, count(*) as n_relevant, sum(case when place <= {k} then gain / log2(place + 1) end) as ideal from (select *, row_number() over (partition by query_id order by gain desc, id) as place from rel) group by 1),
     j as (select coalesce(c.query_id, r.query_id) as query_id, coalesce(c.id, r.id) as id, rank, gain from cut c full join rel r on c.query_id = r.query_id and c.id = r.id),
