@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character ranges, entities, prefixes, particles and the letters without their marks.
 CJK = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}\\x{20000}-\\x{2fa1f}"
@@ -19,7 +20,7 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Spark has no Unicode normalisation of its own."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
