@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litsieve.functions import rules
-from litsieve.operators import analytics, claims, safety
+from litsieve.operators import analytics, claims, flow, safety
 from litsieve.sources.adapters import table, view
 
 from .base import query
@@ -119,3 +119,19 @@ def _(spark, d):
 def _(spark, d):
     made = view(spark, d, "papers_v").groupBy(F.col("source").alias("run_id")).agg(F.round(F.avg(F.col("cited_by_count") / 60.0), 4).alias("mean_quality"), F.count_if(F.col("cited_by_count") >= 450).alias("high"))
     return made.withColumn("grade", analytics.grade(F.col("mean_quality"), F.col("high")))
+
+
+@query(
+    "agg_10_review_flow",
+    """with f as (select query as review_id, cast(sum(result_count) as bigint) as identified, cast(greatest(sum(result_count - new_count), 0) as bigint) as duplicates from search_logs_v group by 1),
+    h as (select 'q' || cast(doc_id % 20 as varchar) as review_id, count(*) filter (quality = 0) as excluded_at_screening, count(*) filter (toxic = 1) as not_retrieved, 0::bigint as excluded_at_fulltext, count(*) filter (quality = 1 and toxic = 0) as included from labels group by 1),
+    d as (select f.*, coalesce(excluded_at_screening, 0) as excluded_at_screening, coalesce(not_retrieved, 0) as not_retrieved, 0::bigint as excluded_at_fulltext, coalesce(included, 0) as included, greatest(identified - duplicates, 0) as screened from f left join h using (review_id)),
+    e as (select *, greatest(screened - excluded_at_screening, 0) as sought from d), g as (select *, greatest(sought - not_retrieved, 0) as assessed from e)
+    select *, array_to_string(list_filter([case when identified = 0 then 'nothing_identified' end, case when duplicates > identified then 'more_duplicates_than_records' end, case when sought > screened - excluded_at_screening then 'more_sought_than_screened' end, case when assessed > sought - not_retrieved then 'more_assessed_than_retrieved' end, case when included > assessed - excluded_at_fulltext then 'more_included_than_left' end], lambda x: x is not null), ',') as warnings from g""",
+    "search_logs_v",
+)
+def _(spark, d):
+    logs = view(spark, d, "search_logs_v").withColumnRenamed("query", "review_id")
+    labels = table(spark, d, "labels").withColumn("review_id", F.concat(F.lit("q"), (F.col("doc_id") % 20).cast("string")))
+    stages = F.array_compact(F.array(F.when(F.col("quality") == 0, "excluded_at_screening"), F.when(F.col("toxic") == 1, "not_retrieved"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "included")))
+    return flow.review_flow(logs, labels.select("review_id", F.explode(stages).alias("stage"), F.lit(1).cast("long").alias("n")))
