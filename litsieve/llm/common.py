@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts have about `most` bytes (one row at least)."""
     texts, start, size = batch.column(column), 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -64,3 +66,30 @@ def shuffles(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+BITS, BITS_BLOCK = 1 << 23, 1 << 17
+
+
+def _bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    mask = np.zeros(BITS_BLOCK, dtype=bool)
+    mask[rows.slot.to_numpy() % BITS_BLOCK] = True
+    return pd.DataFrame({"block": [int(key[0])], "bits": [np.packbits(mask).tobytes()]})
+
+
+def slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
+
+
+def id_bits(ids: DataFrame, column: str) -> bytes:
+    """A bit map of BITS hashed ids, to leave out most other rows without a shuffle of their texts; 1 MB, whatever the input."""
+    slots = ids.select(slot(column).alias("slot")).distinct()
+    packed = slots.withColumn("block", F.floor(F.col("slot") / BITS_BLOCK).cast("int")).groupBy("block").applyInPandas(_bits, "block int, bits binary")
+    found = {r["block"]: bytes(r["bits"]) for r in packed.collect()}
+    return b"".join(found.get(b, bytes(BITS_BLOCK // 8)) for b in range(BITS // BITS_BLOCK))
+
+
+def marked_rows(batch: pa.RecordBatch, bits) -> pa.RecordBatch:
+    """The rows of a batch whose `slot` is set."""
+    mask = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8))
+    return batch.filter(pa.array(mask[batch.column("slot").to_numpy()].astype(bool)))

@@ -2,8 +2,8 @@
 
 Documents become sets of hashed k-word shingles. A sketch counts in how many documents each shingle occurs, in a fixed
 number of counters, so that every document can order its tokens from rare to frequent (ties by hash: one order for
-all). Two sets with Jaccard >= num/den must share one of their first n - ceil(n * num/den) + 1 tokens in any such
-order; these are the candidate keys. Equal sets are put into one class first and represented by one document, so large
+all). Two sets with Jaccard >= num/den must share l of their first n - ceil(n * num/den) + l tokens in any such order,
+for l up to the overlap they need; with l = NEED these are the candidate keys. Equal sets are put into one class first and represented by one document, so large
 groups of copies cost nothing more. linking.link() then finds the components exactly: groups of similar documents,
 each group's token union, a bound on the query-group overlap, and only qualifying groups opened.
 
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, written
+from .common import arrow_rows, id_bits, marked_rows, slices, slot, written
 from .linking import link
 from .shingles import shingles, word_hashes
 
-COUNTERS, BLOCKS = 1 << 20, 64
+COUNTERS, BLOCKS, NEED = 1 << 20, 64, 4
 SETS = "doc_id long, n long, sig binary, keys array<long>"
 
 
@@ -82,7 +82,8 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int,
             n_keys, sigs, keys = [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 n = b - a
-                first = n - -(-n * num // den) + 1 if n else 0
+                overlap = -(-n * num // den)
+                first = n - overlap + min(NEED, overlap)
                 own = tokens[a:b]
                 keys.append(own[np.argsort(rank[a:b], kind="stable")[:first]].astype(np.int64) if n else own.astype(np.int64))
                 n_keys.append(first)
@@ -92,9 +93,9 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int,
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(sigs, pa.binary()), lists], ["doc_id", "n", "sig", "keys"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], k: int, lower: bool, bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(marked_rows(batch, bits), "text"):
             tokens, bounds = _sets(part, k, lower)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["id", "set"])
@@ -111,13 +112,16 @@ def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, lower: b
     equal = written(equal, "equal")
     firsts = made.where("n > 0").join(equal.withColumnRenamed("id", "doc_id").hint("merge"), ["sig", "doc_id"], "left_semi")
     firsts = firsts.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keys = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
+    need = F.least(F.lit(NEED), F.ceil(F.col("n") * num / den)).cast("int")
+    keys = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n", need.alias("need"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        own = read.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
-        return own.mapInArrow(partial(_tokens, k=k, lower=lower), "id long, set array<long>")
+        bits = spark.sparkContext.broadcast(id_bits(ids, "id"))
+        marked = read.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
+        sets = marked.mapInArrow(partial(_tokens, k=k, lower=lower, bits=bits), "id long, set array<long>")
+        return sets.join(ids.hint("merge"), "id", "left_semi")
 
-    found = link(keys, sets_of, num, den)
+    found = link(keys, sets_of, num, den, prefixes=True)
     reached = equal.join(found.hint("merge"), "id", "left").select("sig", F.coalesce("component", "id").alias("class"))
     joined = made.select("doc_id", "n", "sig").join(reached.hint("merge"), "sig", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))

@@ -1,19 +1,23 @@
 """Exact components of a set-similarity graph, without all pairs: star links, then a token-group matrix.
 
-Input are candidate keys: rows (key, id, n), such that two sets of the wanted similarity share a key, where n is the
-size of the set or one number for a kind of sets whose sizes are close; and a function that gives the sets of chosen
-ids. The steps:
+Input are candidate keys: rows (key, id, n, need), such that two sets of the wanted similarity share at least
+least(need, need) keys, where n is the size of the set, or one number for a kind of sets whose sizes are close; and a
+function that gives the sets of chosen ids. Where the keys are the first n - ceil(t * n) + need tokens of each set in
+one order (`prefixes`), sharing c of them leaves at most n - prefix + c tokens in common, so for sizes n and m the pair
+must share as many more keys as t * (n + m) / (1 + t) exceeds the larger of t * n and t * m. The steps:
 
 1. Keys held by one id only are dropped.
-2. Star rounds. In each key, one id of every component so far is compared with one chosen id of the key; exact overlap
-   decides. So m ids of a key cost m - 1 comparisons, and the linked ones form groups of similar sets.
+2. Star rounds. In each key, one id of every component so far is compared with one chosen id of the key: first the one
+   that shares most keys with others (an original does so more than its edited copies), then any; pairs that meet in
+   enough keys are decided by exact overlap. So m ids of a key cost m - 1 comparisons, and the linked ones form
+   groups of similar sets.
 3. Token-group matrix. Members of a component are dealt into groups of bounded size; each group stores the union of its
-   members' tokens. Where components still meet in a key, the smaller's sets are queries against the larger's groups.
-   A set of n tokens can only be linked with a member if it shares at least ceil(t * n) tokens with the group's union;
-   only groups that meet this bound are opened, and their members compared exactly.
+   members' keys and tokens. Where components still meet, the smaller's sets are queries against the larger's groups.
+   A set of n tokens can only be linked with a member if it shares enough keys with the group, and at least ceil(t * n)
+   tokens with the group's union; only groups that meet both bounds are opened, and their members compared exactly.
 
-No link between different components is lost: every pair that shares a key and has different components after step 2
-is either excluded by the bound or by size, or compared.
+No link between different components is lost: every pair that shares keys and has different components after step 2 is
+either excluded by a bound or by size, or compared.
 """
 
 from __future__ import annotations
@@ -35,11 +39,13 @@ def _alike(a: str, b: str, num: int, den: int) -> Column:
     return both * den >= (F.size(a) + F.size(b) - both) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """pairs (a, b) whose sets are alike."""
+    pairs = written(pairs, "pairs")
+    sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return written(joined.where(_alike("set_a", "set_b", num, den)).select("a", "b"), name)
+    return written(joined.where(_alike("set_a", "set_b", num, den)).select("a", "b"), "links")
 
 
 def _labelled(held: DataFrame, links: DataFrame) -> DataFrame:
@@ -51,46 +57,64 @@ def _near(n: str, m: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den) >= (F.greatest(n, m) * num)
 
 
-def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, rounds: int = 2) -> DataFrame:
-    """(id, component) of the ids that are linked with another. keys: (key, id, n); sets_of(ids) gives (id, set)."""
+def _more(n: Column, m: Column, num: int, den: int) -> Column:
+    """How many more prefix keys than `need` sets of these sizes share, if they are alike."""
+    both = F.ceil((n + m) * num / (num + den))
+    return F.greatest(both - F.greatest(F.ceil(n * num / den), F.ceil(m * num / den)), F.lit(0))
+
+
+def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool, rounds: int = 2, groups: bool = True) -> DataFrame:
+    """(id, component) of the ids that are linked with another. sets_of(ids) gives (id, set) of these ids at least.
+
+    Without `groups` step 3 is left out: then two alike ids can stay apart if they met only in keys whose chosen ids in
+    all rounds were alike to neither.
+    """
+    more = (lambda n, m: _more(n, m, num, den)) if prefixes else (lambda n, m: F.lit(0))
     met = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    held = written(keys.join(met.hint("merge"), "key").select("key", "id", F.col("n").cast("long").alias("n")), "held")
-    sets = written(sets_of(held.select("id").distinct()), "sets")
-    held = held.withColumn("comp", F.col("id"))
+    held = written(keys.join(met.hint("merge"), "key").select("key", "id", F.col("n").cast("long").alias("n"), "need"), "held")
+    degrees = held.groupBy("id").agg(F.count("*").alias("degree"))
+    held = written(held.join(degrees.hint("merge"), "id").withColumn("comp", F.col("id")), "held")
     links = None
     for turn in range(rounds):
-        pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("comp")).alias("pick")
+        pick = F.struct((-F.col("degree") if turn == 0 else F.lit(0)).alias("d"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "need", "comp").alias("pick")
         one = held.select("key", "comp", pick).groupBy("key", "comp").agg(F.min("pick").alias("one"))
         star = one.groupBy("key").agg(F.min("one").alias("star"), F.count("*").alias("comps")).where("comps > 1").select("key", "star")
         pairs = one.join(star.hint("merge"), "key").where("one.comp <> star.comp").where(_near("one.n", "star.n", num, den))
-        pairs = pairs.select(F.least("one.id", "star.id").alias("a"), F.greatest("one.id", "star.id").alias("b")).distinct()
-        more = _verified(pairs, sets, num, den, "links")
-        links = more if links is None else written(links.unionByName(more), "links")
+        need = F.least("one.need", "star.need") + more(F.col("one.n"), F.col("star.n"))
+        pairs = pairs.select(F.least("one.id", "star.id").alias("a"), F.greatest("one.id", "star.id").alias("b"), need.alias("need"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+        verified = _verified(pairs, sets_of, num, den)
+        links = verified if links is None else written(links.unionByName(verified), "links")
         held = written(_labelled(held, links), "held")
-    return components(links.unionByName(_group_links(held, sets, num, den)))
+    if not groups:
+        return held.where("comp <> id").select("comp").distinct().join(held.select("comp", "id").distinct().hint("merge"), "comp").select("id", F.col("comp").alias("component"))
+    return components(links.unionByName(_group_links(held, sets_of, num, den, more)))
 
 
-def _group_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links between components that meet in a key, through the groups' token unions."""
+def _group_links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, more: Callable) -> DataFrame:
+    """The links between components that meet in keys, through the groups' key and token unions."""
     meeting = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = held.join(meeting.hint("merge"), "key")
-    nodes = held.select("id", "comp", "n").distinct()
-    sizes = nodes.groupBy("comp").agg(F.count("*").alias("members"))
-    rows = rows.join(sizes.hint("merge"), "comp")
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / GROUP))), "meeting")
-    groups = rows.groupBy("key", "comp", "part", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    groups = groups.select("key", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), F.col("members").alias("g_members"), "least", "most")
-    asked = rows.select("key", F.col("id").alias("q"), "n", "comp", "members").join(groups.hint("merge"), "key")
+    nodes = held.select("id", "comp").distinct()
+    sizes = written(nodes.groupBy("comp").agg(F.count("*").alias("members")), "sizes")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / GROUP))
+    rows = held.join(meeting.hint("merge"), "key").join(sizes.hint("merge"), "comp").withColumn("part", part)
+    rows = written(rows, "meeting")
+    groups = rows.groupBy("key", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), F.col("members").alias("g_members"))
+    groups = groups.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("need").alias("g_need"))
+    asked = rows.select("key", F.col("id").alias("q"), "n", "need", "comp", "members").join(groups.hint("merge"), "key")
     asked = asked.where(F.struct("members", "comp") < F.struct(F.col("g_members").alias("members"), F.col("g_comp").alias("comp")))
     asked = asked.where((F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
-    asked = written(asked.select("q", "n", "g_comp", "g_part").distinct(), "asked")
+    asked = asked.groupBy("q", "g_comp", "g_part").agg(F.countDistinct("key").alias("shared"), F.min(F.least("need", "g_need")).alias("need"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    enough = F.col("need") + F.least(more(F.col("n"), F.col("least")), more(F.col("n"), F.col("most")))  # least at the ends of the group's sizes
+    asked = written(asked.where(F.col("shared") >= enough).select("q", "g_comp", "g_part"), "asked")
     wanted = asked.select("g_comp", "g_part").distinct()
-    member = nodes.join(sizes.hint("merge"), "comp").select(F.col("comp").alias("g_comp"), F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / GROUP)).alias("g_part"), "id")
+    member = nodes.join(sizes.hint("merge"), "comp").select(F.col("comp").alias("g_comp"), part.alias("g_part"), "id")
     member = written(member.join(wanted.hint("merge"), ["g_comp", "g_part"]), "members")
+    sets = written(sets_of(member.select("id").unionByName(asked.select(F.col("q").alias("id"))).distinct()), "sets")
     union = member.join(sets.hint("merge"), "id").groupBy("g_comp", "g_part").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("tokens"))
     asked_sets = asked.join(sets.select(F.col("id").alias("q"), "set").hint("merge"), "q")
     bounded = asked_sets.join(union.hint("merge"), ["g_comp", "g_part"])
     opened = bounded.where(F.size(F.array_intersect("set", "tokens")).cast("long") * den >= F.size("set") * num).select("q", "g_comp", "g_part")
     pairs = written(opened, "opened").join(member.hint("merge"), ["g_comp", "g_part"])
     pairs = pairs.select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b")).where("a <> b").distinct()
-    return _verified(pairs, sets, num, den, "links")
+    return _verified(pairs, sets_of, num, den)
