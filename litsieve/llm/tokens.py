@@ -2,7 +2,9 @@
 
 A cut at a single space or line end between other characters is a cut between pre-tokens for byte-level and word-end
 vocabularies, so the ids of a text are those of its chunks in a row. Chunks recur, so each is encoded once per worker
-as long as the cache has room. Texts with runs of white space, or other white space, are encoded whole.
+as long as the cache has room. The cache is a sorted array of 64-bit chunk hashes beside a pool of ids, so a batch is
+looked up and put together without a Python object for each word. Texts with runs of white space, or other white space,
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .shingles import mix, word_hashes
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -38,9 +42,7 @@ class ChunkEncoder:
         self.line_end = self._whole(["\n"])[0].tobytes() if len(line) == 3 else b""  # kept by one vocabulary, dropped by the other
         self.between = "\n" if self.line_end else " \x01 "
         self.mark = int(self._whole(["\n" if self.line_end else "\x01"])[0][0])
-        self.tails = {c: self._whole([c])[0].tobytes() for c in ".,;:!?"}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.cache, self.recent = _Chunks(), _Chunks()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,35 +64,92 @@ class ChunkEncoder:
             at = upto
         return out
 
-    def _found(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> dict[str, bytes]:
-        """The cache, or where it has no room a copy of what these chunks need."""
-        new = chunks.difference(cache)
-        ended = {c for c in new if c[-1:] in self.tails and c[-2:-1].isalpha()}  # a letter and a sign never share a pre-token
-        bare = list((new - ended) | {c[:-1] for c in ended}.difference(cache))
-        made = dict(zip(bare, self._chunks([lead + c for c in bare]), strict=True))
-        made |= {c: (made[c[:-1]] if c[:-1] in made else cache[c[:-1]]) + self.tails[c[-1]] for c in ended}
-        if len(cache) + len(made) <= self.MOST_CHUNKS:
-            cache.update(made)
-            return cache
-        return made | {c: cache[c] for c in chunks if c in cache}
+    def _fill(self, keys: np.ndarray, words: list[str], kinds: np.ndarray) -> _Chunks:
+        """The ids of new chunks; kind 0 begins a text, 1 follows a space, 2 a line end."""
+        ids = self._chunks([" " + w if k == 1 else w for w, k in zip(words, kinds.tolist(), strict=True)])
+        made = _Chunks.of(keys, [self.line_end + i if k == 2 else i for i, k in zip(ids, kinds.tolist(), strict=True)])
+        if len(self.cache) + len(self.recent) + len(made) <= self.MOST_CHUNKS:
+            self.recent = self.recent.with_(made)
+            if 8 * len(self.recent) > len(self.cache):
+                self.cache, self.recent = self.cache.with_(self.recent), _Chunks()
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        cut = [None if not t or _odd(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        firsts, laters = set(), set()
-        for lines in cut:
-            for chunks in lines or ():
-                firsts.add(chunks[0])
-                laters.update(chunks[1:])
-        first = self._found(self.first, firsts, "")
-        get = self._found(self.later, laters, " ").__getitem__
-        whole = [i for i, c in enumerate(cut) if c is None and texts[i]]
-        out = [b"" if c is None else self.line_end.join([first[x[0]] + b"".join(map(get, x[1:])) for x in c]) for c in cut]
-        for i in whole:
-            out[i] = self._whole([texts[i]])[0].tobytes()
+        plain = ["" if not t or _odd(t) else t for t in texts]
+        hashes, text, start, stop = word_hashes(plain, lower=False)
+        out = [b""] * len(texts)
+        if len(hashes):
+            data = [t.encode("utf-8", "surrogatepass") for t in plain]
+            raw = np.frombuffer(b"".join(data), dtype=np.uint8)
+            base = np.cumsum([0] + [len(d) for d in data])[:-1]
+            before = raw[np.maximum(base[text] + start - 1, 0)]
+            kind = np.where(start == 0, 0, np.where(before == 32, 1, 2))
+            keys, index, word = np.unique(mix(hashes + kind.astype(np.uint64)), return_index=True, return_inverse=True)
+            offset, size = np.zeros(len(keys), dtype=np.int64), np.full(len(keys), -1, dtype=np.int64)
+            pools, shift = [], 0
+            tiers = [self.cache, self.recent]
+            for tier in tiers:
+                at = tier.find(keys)
+                hit = np.flatnonzero(at >= 0)
+                offset[hit], size[hit] = tier.offset[at[hit]] + shift, tier.size[at[hit]]
+                pools.append(tier.pool)
+                shift += len(tier.pool)
+            new = np.flatnonzero(size < 0)
+            if len(new):
+                first = index[new]
+                words = [data[t][a:b].decode("utf-8", "surrogatepass") for t, a, b in zip(text[first].tolist(), start[first].tolist(), stop[first].tolist(), strict=True)]
+                made = self._fill(keys[new], words, kind[first])
+                offset[new], size[new] = made.offset + shift, made.size
+                pools.append(made.pool)
+            lengths = size[word]
+            ends = np.cumsum(lengths)
+            place = np.repeat(offset[word] - (ends - lengths), lengths) + np.arange(ends[-1])
+            ids = np.empty(len(place), dtype="<u4")
+            shift = 0
+            for pool in pools:
+                here = (place >= shift) & (place < shift + len(pool))
+                ids[here] = pool[place[here] - shift]
+                shift += len(pool)
+            upto = np.concatenate([[0], ends])[np.searchsorted(text, np.arange(len(texts) + 1))].tolist()
+            out = [ids[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        for i, t in enumerate(texts):
+            if t and not plain[i]:
+                out[i] = self._whole([t])[0].tobytes()
         return out
 
 
+class _Chunks:
+    """Sorted chunk keys with the place and number of their ids in a pool."""
+
+    def __init__(self, keys=None, offset=None, size=None, pool=None):
+        self.keys = np.zeros(0, dtype=np.uint64) if keys is None else keys
+        self.offset = np.zeros(0, dtype=np.int64) if offset is None else offset
+        self.size = np.zeros(0, dtype=np.int64) if size is None else size
+        self.pool = np.zeros(0, dtype="<u4") if pool is None else pool
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, ids: list[bytes]) -> _Chunks:
+        size = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+        return cls(keys, np.cumsum(size) - size, size, np.frombuffer(b"".join(ids), dtype="<u4"))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it isn't held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def with_(self, more: _Chunks) -> _Chunks:
+        keys = np.concatenate([self.keys, more.keys])
+        order = np.argsort(keys, kind="stable")
+        offset = np.concatenate([self.offset, more.offset + len(self.pool)])
+        return _Chunks(keys[order], offset[order], np.concatenate([self.size, more.size])[order], np.concatenate([self.pool, more.pool]))
+
+
 def encoder(path: str) -> ChunkEncoder:
     if path not in _LOADED:
         _LOADED[path] = ChunkEncoder(path)
