@@ -55,14 +55,20 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(places):
         ids, width = ids.copy(), width.copy()
         ids[places], width[places] = 0, 1
-    index, step, chosen = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for selector in range(len(BITS) - 1, 0, -1):  # from few wide ids to many narrow ones; the last that fits stays
-        bad = np.where(width > BITS[selector], index, n)
-        run = np.minimum.accumulate(bad[::-1])[::-1] - index
-        fits = run >= np.minimum(COUNTS[selector], n - index)
-        if not fits.any():
+    step, chosen = np.ones(n, dtype=np.int64), np.full(n, len(BITS) - 1, dtype=np.int64)
+    left = np.arange(n)
+    for selector in range(len(BITS) - 2, 0, -1):  # from few wide ids to many narrow ones: where one doesn't fit, no narrower does
+        bad = np.append(np.flatnonzero(width > BITS[selector]), n)
+        if len(left) > n // 8:
+            ahead = np.full(n + 1, n)
+            ahead[bad] = bad
+            run = np.minimum.accumulate(ahead[::-1])[::-1][left] - left
+        else:
+            run = bad[np.searchsorted(bad, left)] - left
+        left = left[run >= np.minimum(COUNTS[selector], n - left)]
+        if not len(left):
             break
-        step[fits], chosen[fits] = COUNTS[selector], selector
+        step[left], chosen[left] = COUNTS[selector], selector
     starts, at, jump = [], 0, step.tolist()
     while at < n:
         starts.append(at)
@@ -194,7 +200,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     part, rows, out = task.partitionId(), [], None
     end = np.array([end_id], dtype=np.uint32)
     for batch in batches:
-        for some in slices(batch, "text"):
+        for some in slices(batch, "text", 2 << 20):
             for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode_column(path, some.column("text")), strict=True):
                 if out is None:
                     out = Writer(f"{folder}/part-{part:06d}-{len(rows):04d}-{task.taskAttemptId()}.s8b")
