@@ -13,7 +13,7 @@ c its count in the toxic class or the count due to it there. Texts are scored
 by their length-normalised log-likelihood under the toxic and the ordinary model; a logistic curve turns this into a
 score. It is fitted on at most `fit_rows` labelled rows, each scored by a model that has not counted it.
 
-Counts come from all documents: labelled training rows by class, all others to the shared counts only. Labels are
+Shared counts come from all documents, class counts from all labelled training rows. Labels are
 learnt from rows whose crc32(doc_id as text) modulo 3 is not 1. The model that goes to the tasks is a table of 2^21
 words and 2^20 stems, whatever the corpus.
 
@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, written
+from .common import arrow_rows, id_bits, marked_rows, slices, slot, written
 from .shingles import mix
 
 STEM, DISCOUNT, RARE, WORD_BITS, STEM_BITS, BLOCK = 5, 0.75, 4.0, 21, 20, 1 << 14
-# Classes of a counted row: ordinary and toxic of either half, then all rows without a label to learn from.
-KINDS = 5
+# Classes of a labelled row: ordinary and toxic of either half.
+KINDS = 4
 _U = np.uint64
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
@@ -78,32 +78,48 @@ def word_pieces(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return word, stem, ending, np.searchsorted(np.cumsum(size), start, side="right")
 
 
+def _documents_of_words(part: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of all words, then of each distinct (word, text) an index in order of words, its text, and where a word begins."""
+    word, stem, ending, text = word_pieces(part.column("text").to_pylist())
+    order = np.lexsort((text, word))
+    w, t = word[order], text[order]
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
+    order = order[new]
+    w = word[order]
+    begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+    return (word, stem, ending), order, text[order], begin
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
+            pieces, order, text, begin = _documents_of_words(part)
+            if len(begin):
+                counts = np.diff(np.append(begin, len(text))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[order[begin]].astype(np.int64)) for x in pieces), pa.array(counts)], ["w", "s", "e", "n"])
+
+
+def _count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", 2 << 20):
             kinds = np.asarray(part.column("kind").to_numpy(zero_copy_only=False), dtype=np.int64)
-            word, stem, ending, text = word_pieces(part.column("text").to_pylist())
-            order = np.lexsort((text, word))
-            w, t = word[order], text[order]
-            new = np.ones(len(w), dtype=bool)
-            new[1:] = (w[1:] != w[:-1]) | (t[1:] != t[:-1])
-            order = order[new]
-            w = word[order]
-            begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-            if not len(begin):
-                continue
-            kind = kinds[text[order]]
-            counts = [np.add.reduceat((kind == k).astype(np.int64), begin) for k in range(KINDS)]
-            first = order[begin]
-            columns = [pa.array(x[first].astype(np.int64)) for x in (word, stem, ending)] + [pa.array(n) for n in counts]
-            yield pa.RecordBatch.from_arrays(columns, ["w", "s", "e", *(f"n{k}" for k in range(KINDS))])
+            pieces, order, text, begin = _documents_of_words(part)
+            if len(begin):
+                counts = [np.add.reduceat((kinds[text] == k).astype(np.int64), begin).astype(np.int32) for k in range(KINDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(pieces[0][order[begin]].astype(np.int64)), *map(pa.array, counts)], ["w", *(f"n{k}" for k in range(KINDS))])
+
+
+def _marked(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield marked_rows(batch, bits).select(["doc_id", "text"])
 
 
 def _piece_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     """Per word and per stem the log-likelihood ratios of three models: first half, second half, both."""
     halves = {"a": ("n0", "n1"), "b": ("n2", "n3"), "c": ("n0 + n2", "n1 + n3")}
     sums = {f"{m}{c}": F.expr(f"cast({x} as double)") for m, xs in halves.items() for c, x in zip("ot", xs, strict=True)}
-    words = counts.select("w", "s", "e", *(v.alias(k) for k, v in sums.items()), F.expr("n0 + n1 + n2 + n3 + n4").cast("double").alias("all"))
+    words = counts.select("w", "s", "e", *(v.alias(k) for k, v in sums.items()), F.col("n").cast("double").alias("all"))
     names = list(sums)
     stems = words.groupBy("s").agg(*(F.sum(k).alias(f"s_{k}") for k in names), *(F.sum((F.col(k) > 0).cast("double")).alias(f"d_{k}") for k in names), F.sum("all").alias("s_all"))
     stems = written(stems, "stems")
@@ -140,7 +156,7 @@ def _piece_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
 
 
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    table = np.full((3, BLOCK), np.nan, dtype="<f4")
+    table = np.full((3, BLOCK), np.nan, dtype="<f2")
     table[:, rows.slot.to_numpy() % BLOCK] = rows[["a", "b", "c"]].to_numpy().T
     return pd.DataFrame({"block": [int(key[0])], "table": [table.tobytes()]})
 
@@ -150,9 +166,9 @@ def _slots(rows: DataFrame, key: str, weight: str, bits: int) -> np.ndarray:
     slot = F.shiftrightunsigned(F.col(key), 64 - bits).cast("int")
     best = rows.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("a", "b", "c"), F.struct(F.col(weight), F.col(key))).alias("x")).select("slot", "x.a", "x.b", "x.c")
     packed = best.withColumn("block", F.floor(F.col("slot") / BLOCK).cast("int")).groupBy("block").applyInPandas(_pack, "block int, table binary")
-    out = np.full((3, 1 << bits), np.nan, dtype=np.float32)
+    out = np.full((3, 1 << bits), np.nan, dtype=np.float16)
     for row in packed.toLocalIterator():
-        out[:, row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["table"], "<f4").reshape(3, BLOCK)
+        out[:, row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["table"], "<f2").reshape(3, BLOCK)
     return out
 
 
@@ -161,7 +177,7 @@ def text_features(texts: list[str | None], words: np.ndarray, stems: np.ndarray)
     word, stem, _, text = word_pieces(texts)
     ratio = words[(word >> _U(64 - WORD_BITS)).astype(np.int64)]
     ratio = np.where(np.isnan(ratio), stems[(stem >> _U(64 - STEM_BITS)).astype(np.int64)], ratio)
-    ratio = np.clip(np.nan_to_num(ratio), -6, 6)
+    ratio = np.clip(np.nan_to_num(ratio.astype(np.float64)), -6, 6)
     n = np.bincount(text, minlength=len(texts))
     mean = lambda x: np.bincount(text, weights=x, minlength=len(texts)) / np.maximum(n, 1)
     return np.stack([mean(ratio), mean(np.maximum(ratio - 2, 0)), np.sqrt(mean(ratio > 2)), np.log1p(n) / 10], axis=1)
@@ -190,7 +206,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 def _features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     words, stems = model.value
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             texts, kinds = part.column("text").to_pylist(), part.column("kind").to_numpy(zero_copy_only=False)
             first, second = (text_features(texts, words[m], stems[m]) for m in (0, 1))
             x = np.where((kinds >= 2)[:, None], first, second)  # the half that hasn't counted the row
@@ -202,7 +218,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, weights: list[float]) -> It
     words, stems = model.value
     w = np.array(weights)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             x = text_features(part.column("text").to_pylist(), words[2], stems[2])
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             rest = [part.column(c) for c in part.schema.names if c != "text"]
@@ -225,14 +241,18 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold
     taught = taught.where(~held_out(F.col("doc_id")))
     half = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)).cast("int")  # 0 or 2
     known = written(taught.select("doc_id", (half + F.col("toxic")).alias("kind")), "taught")
-    marked = read.join(known.hint("merge"), "doc_id", "left").select(F.coalesce("kind", F.lit(KINDS - 1)).alias("kind"), "text")
-    raw = marked.mapInArrow(_count, "w long, s long, e long, " + ", ".join(f"n{k} long" for k in range(KINDS)))
-    counts = written(raw.groupBy("w").agg(F.min("s").alias("s"), F.min("e").alias("e"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS))), "counts")
+    bits = spark.sparkContext.broadcast(id_bits(known, "doc_id"))  # so that only texts with labels are shuffled
+    marked = read.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(partial(_marked, bits=bits), "doc_id long, text string")
+    labelled = written(marked.join(known.hint("merge"), "doc_id").select("doc_id", "kind", "text"), "labelled")
+    every = read.select("text").mapInArrow(_count, "w long, s long, e long, n int").groupBy("w").agg(F.min("s").alias("s"), F.min("e").alias("e"), F.sum("n").alias("n"))
+    kinds = [f"n{k}" for k in range(KINDS)]
+    own = labelled.select("kind", "text").mapInArrow(_count_kinds, "w long, " + ", ".join(f"{k} int" for k in kinds)).groupBy("w").agg(*(F.sum(k).alias(k) for k in kinds))
+    counts = written(every.join(own.hint("merge"), "w", "left").select("w", "s", "e", "n", *(F.coalesce(k, F.lit(0)).alias(k) for k in kinds)), "counts")
     words, stems, totals = _piece_tables(counts)
     model = spark.sparkContext.broadcast((_slots(words, "w", "all", WORD_BITS), _slots(stems, "s", "s_all", STEM_BITS)))
-    rows = known.count()
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_rows / max(rows, 1))))
-    fitted = read.join(sample.hint("merge"), "doc_id").select("kind", "text").mapInArrow(partial(_features, model=model), "y int, x array<double>").limit(2 * fit_rows).toPandas()
+    share = min(1.0, fit_rows / max(known.count(), 1))
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("kind", "text")
+    fitted = sample.mapInArrow(partial(_features, model=model), "y int, x array<double>").limit(2 * fit_rows).toPandas()
     x = np.array(fitted.x.tolist(), dtype=float).reshape(-1, 4)
     weights = fit_logistic(x, fitted.y.to_numpy(dtype=float)) if totals["t_co"] and totals["t_ct"] else fit_logistic(np.zeros((len(fitted), 4)), fitted.y.to_numpy(dtype=float))
     if threshold is not None:
