@@ -1,15 +1,16 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Paragraphs are of two kinds: lines of at least `line_words` words, and passages, which are the `passage_words` words up
-to a sentence end, wherever they stand in the text (sentence ends with another less than GAP words before are left
-out, so neighbours are unlike each other). A repeated run of more than 50 words that ends with a sentence so holds a
-passage, even where it begins and ends inside lines. Lines with equal sets of k-word shingles form one class and are
-represented by one of them. MinHash signatures are cut into bands, tuned so that two lines at the threshold collide
-with the wanted probability; passages have one band of more rows, so that equal ones always collide and overlapping
-ones hardly ever. Colliding paragraphs are joined and verified by exact Jaccard in the star rounds of linking.link(),
-which also clusters them into components. In each component the first paragraph by (doc_id, start) stays; the others are removals.
-
-Defined cases: a null text has no paragraphs; lines and texts shorter than the named sizes are never reported; repeated rows
+Paragraphs are of two kinds: lines of at least `line_words` words, and passages, which are runs of `passage_words` words.
+Where passages begin is chosen by content: each window of RUN words picks one of the passages inside it by its least
+run of a few words (a mod-minimizer), so the same window picks the same passage in whatever text it stands. A repeated
+run of RUN words or more so holds an equal passage in every copy, with or without sentence ends or line ends in it.
+Equal passages form one component. Of lines with equal sets of k-word shingles one represents all. MinHash signatures of
+lines are cut into bands, tuned so that two lines at the threshold collide with the wanted probability; colliding lines
+are joined, verified by exact Jaccard and clustered into components in the star rounds of linking.link(). In each
+component the first paragraph by (doc_id, start) stays; the others are removals. Words and passages are compared by
+64-bit hashes of lower-cased words.
+
+Defined cases: a null text has no paragraphs; lines shorter than `line_words` and texts of fewer than RUN words hold no line or passage; repeated rows
 repeat their paragraphs; an empty table, or one without repeats, gives no rows; extra columns are ignored; null ids
 sort last when a component's first paragraph is chosen.
 """
@@ -29,7 +30,7 @@ from .common import arrow_rows, slices, written
 from .linking import link
 from .shingles import mix, runs, shingles, word_hashes
 
-PASSAGE_ROWS, GAP = 12, 6
+RUN = 51
 PARAGRAPHS = "doc_id long, line int, start int, stop int, n_words int, n long, sig binary, keys array<long>"
 
 
@@ -82,16 +83,30 @@ def line_keys(tokens: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
     return np.stack(each, axis=1)
 
 
-def passage_keys(shingle: np.ndarray, first: np.ndarray, length: int, rows: int) -> np.ndarray:
-    """One band key of each run of `length` shingles that begins at `first`."""
-    mins = []
-    for s in _seeds(rows, 0):
-        least, have = _value(shingle, s), 1
-        while 2 * have <= length:
-            least = np.minimum(least[: len(least) - have], least[have:])
-            have *= 2
-        mins.append(np.minimum(least[first], least[first + length - have]))
-    return _fold(mins, 0)
+def passage_starts(hashes: np.ndarray, text: np.ndarray, passage_words: int, run: int) -> np.ndarray:
+    """First words of the passages: every `run` words of a text hold a whole one, chosen by these words alone."""
+    choices = run - passage_words + 1
+    gram = min(choices + passage_words % choices, passage_words)
+    windows, wide = len(hashes) - run + 1, run - gram + 1
+    if windows <= 0:
+        return np.zeros(0, dtype=np.int64)
+    grams = runs(hashes, gram)
+    least, have = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64), 1  # of equal ones the first
+    while 2 * have <= wide:
+        least = np.minimum(least[: len(least) - have], least[have:])
+        have *= 2
+    least = np.minimum(least[:windows], least[wide - have : wide - have + windows])
+    first = np.arange(windows)
+    start = first + ((least & np.uint64(0xFFFFFFFF)).astype(np.int64) - first) % choices
+    return np.unique(start[text[:windows] == text[run - 1 :]])
+
+
+def passage_keys(hashes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of `length` words that begins at `first`."""
+    value = np.zeros(len(first), dtype=np.uint64)
+    for j, f in enumerate(_seeds(length, 0)):
+        value += hashes[first + j] * f
+    return mix(value)
 
 
 NAMES = ["doc_id", "line", "start", "stop", "n_words", "n", "sig", "keys"]
@@ -115,23 +130,16 @@ def _line_batch(ids: pa.Array, texts: list[str | None], k: int, line_words: int,
 
 def _passage_batch(ids: pa.Array, texts: list[str | None], k: int, passage_words: int) -> pa.RecordBatch | None:
     hashes, text, first_byte, last_byte = word_hashes(texts)
+    w0 = passage_starts(hashes, text, passage_words, max(RUN, passage_words))
+    if not len(w0):
+        return None
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"".join(data), dtype=np.uint8)
     base = np.cumsum([0] + [len(d) for d in data])[:-1]
-    if not len(text):
-        return None
-    words = np.bincount(text, minlength=len(texts))
-    place = np.arange(len(text)) - (np.cumsum(words) - words)[text]
-    stops = np.concatenate([[0], np.cumsum(np.isin(raw, np.frombuffer(b".!?", dtype=np.uint8)))])
-    ends = np.flatnonzero(stops[base[text] + last_byte] > stops[base[text] + first_byte])  # signs can follow the stop
-    apart = np.ones(len(ends), dtype=bool)
-    apart[1:] = (np.diff(ends) >= GAP) | (text[ends[1:]] != text[ends[:-1]])
-    last = ends[apart & (place[ends] >= passage_words - 1)]
-    if not len(last):
-        return None
+    last = w0 + passage_words - 1
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
-    w0, n, of = last - passage_words + 1, passage_words - k + 1, text[last]
-    key = passage_keys(runs(hashes, k), w0, n, PASSAGE_ROWS).astype(np.int64)
+    n, of = passage_words - k + 1, text[last]
+    key = passage_keys(hashes, w0, passage_words).astype(np.int64)
     start = point[base[of] + first_byte[w0]] - point[base[of]]
     stop = point[base[of] + last_byte[last]] - point[base[of]]
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(last) + 1, dtype=np.int32)), pa.array(key))
@@ -172,8 +180,10 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     lines, passages = made.where("sig is not null"), made.where("sig is null")
     equal = written(lines.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "equal")
     firsts = lines.join(equal.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi")
-    keys = firsts.select(F.explode("keys").alias("key"), "id", "n").unionByName(passages.select(F.col("keys")[0].alias("key"), "id", "n"))
-    keys = keys.withColumn("need", F.lit(1))
+    keys = firsts.select(F.explode("keys").alias("key"), "id", "n", F.lit(1).alias("need"))
+    passages = passages.withColumn("key", F.col("keys")[0]).drop("keys")
+    met = passages.groupBy("key").agg(F.min("id").alias("component"), F.count("*").alias("copies")).where("copies > 1")
+    met = written(met.select("key", "component"), "met")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         spans = made.select("id", "doc_id", "start", "stop").join(ids.hint("merge"), "id", "left_semi")
@@ -185,7 +195,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     reached = reached.select("sig", F.coalesce("component", "first").alias("component"))
     columns = ["component", "doc_id", "line", "start", "stop", "n_words", "id"]
     held = lines.drop("keys").join(reached.hint("merge"), "sig").select(*columns, F.lit("line").alias("kind"))
-    inside = passages.drop("keys").join(linked.withColumnRenamed("first", "id").hint("merge"), "id").select(*columns, F.lit("passage").alias("kind"))
+    inside = passages.join(met.hint("merge"), "key").select(*columns, F.lit("passage").alias("kind"))
     held = written(held.unionByName(inside), "repeated")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"), F.col("id").alias("id"))
     keep = held.groupBy("component").agg(F.min(order).alias("keep"), F.count("*").alias("members"))

@@ -204,6 +204,21 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_paragraphs(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_without_stops(spark):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    texts = []
+    for i in range(40):  # a shared run of 51 words, at other places of two texts without sentence ends
+        shared = plain(1000 + i, 51)
+        texts += [f"{plain(2000 + i, 5 + 3 * i)} {shared} {plain(3000 + i, 30)}", f"{plain(4000 + i, 90 - i)} {shared} {plain(5000 + i, i)}".strip()]
+    texts += ["In. " * 70 + plain(1, 60), plain(2, 20) + " " + "In. " * 70, plain(3, 300)]
+    found = substring_dedup.repeated_paragraphs(docs(spark, texts), line_words=1000)
+    got = found.toPandas()
+    assert set(got.doc_id) == set(range(82)) and set(got[got.removed].doc_id) == {*range(1, 80, 2), 80, 81}
+    assert all(len({texts[r.doc_id][r.start : r.stop] for r in g.itertuples()}) == 1 for _, g in got.groupby("component"))
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs(spark, texts), found).collect()}
+    assert all(cut[i] == texts[i] for i in range(0, 80, 2)) and all(len(cut[i].split()) <= len(texts[i].split()) - 45 for i in range(1, 80, 2))
+
+
 def test_decontaminate(spark):
     items = [prose(50 + i, 30) for i in range(6)] + ["short", None]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
