@@ -63,12 +63,8 @@ def _more(n: Column, m: Column, num: int, den: int) -> Column:
     return F.greatest(both - F.greatest(F.ceil(n * num / den), F.ceil(m * num / den)), F.lit(0))
 
 
-def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool, rounds: int = 2, groups: bool = True) -> DataFrame:
-    """(id, component) of the ids that are linked with another. sets_of(ids) gives (id, set) of these ids at least.
-
-    Without `groups` step 3 is left out: then two alike ids can stay apart if they met only in keys whose chosen ids in
-    all rounds were alike to neither.
-    """
+def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool, rounds: int = 2) -> DataFrame:
+    """(id, component) of the ids that are linked with another. sets_of(ids) gives (id, set) of these ids at least."""
     more = (lambda n, m: _more(n, m, num, den)) if prefixes else (lambda n, m: F.lit(0))
     met = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
     held = written(keys.join(met.hint("merge"), "key").select("key", "id", F.col("n").cast("long").alias("n"), "need"), "held")
@@ -86,8 +82,6 @@ def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, d
         verified = _verified(pairs, sets_of, num, den)
         links = verified if links is None else written(links.unionByName(verified), "links")
         held = written(_labelled(held, links), "held")
-    if not groups:
-        return held.where("comp <> id").select("comp").distinct().join(held.select("comp", "id").distinct().hint("merge"), "comp").select("id", F.col("comp").alias("component"))
     return components(links.unionByName(_group_links(held, sets_of, num, den, more)))
 
 

@@ -6,7 +6,7 @@ run of a few words (a mod-minimizer), so the same window picks the same passage
 run of RUN words or more so holds an equal passage in every copy, with or without sentence ends or line ends in it.
 Equal passages form one component. Of lines with equal sets of k-word shingles one represents all. MinHash signatures of
 lines are cut into bands, tuned so that two lines at the threshold collide with the wanted probability; colliding lines
-are joined, verified by exact Jaccard and clustered into components in the star rounds of linking.link(). In each
+are verified by exact Jaccard and clustered into components by linking.link(), which loses no colliding pair. In each
 component the first paragraph by (doc_id, start) stays; the others are removals. Words and passages are compared by
 64-bit hashes of lower-cased words.
 
@@ -190,7 +190,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
         wanted = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "id")).alias("wanted"))
         return read.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(partial(_tokens, k=k), "id long, set array<long>")
 
-    linked = link(keys, sets_of, num, den, prefixes=False, groups=False).select(F.col("id").alias("first"), "component")
+    linked = link(keys, sets_of, num, den, prefixes=False).select(F.col("id").alias("first"), "component")
     reached = equal.join(linked.hint("merge"), "first", "left").where("copies > 1 or component is not null")
     reached = reached.select("sig", F.coalesce("component", "first").alias("component"))
     columns = ["component", "doc_id", "line", "start", "stop", "n_words", "id"]

@@ -219,6 +219,31 @@ def test_substring_dedup_without_stops(spark):
     assert all(cut[i] == texts[i] for i in range(0, 80, 2)) and all(len(cut[i].split()) <= len(texts[i].split()) - 45 for i in range(1, 80, 2))
 
 
+def template_lines(n):
+    """n pairs of lines over one template: alike within a pair (0.8 or more), unlike across pairs, with most band keys in common."""
+    lines = []
+    for i in range(n):
+        words = prose(7, 100).split()
+        words[40:47] = [f"own{i}x{j}" for j in range(7)]
+        other = list(words)
+        other[5 + i % 20], other[60 + i % 30] = f"edit{i}", f"more{i}"
+        lines += [" ".join(words), " ".join(other)]
+    return lines
+
+
+def test_substring_dedup_hot_keys(spark):
+    lines = template_lines(120)
+    hashes, text, _, _ = word_hashes(lines)
+    tokens, of = shingles(hashes, text, len(lines), 5)
+    sets = [set(tokens[of == i].tolist()) for i in range(len(lines))]
+    alike = {(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert alike == {(i + 1, i) for i in range(0, len(lines), 2)}
+    got = substring_dedup.repeated_paragraphs(docs(spark, lines)).where("kind = 'line'").toPandas()
+    component = dict(zip(got.doc_id, got.component, strict=True))
+    found = {(i, j) for i, j in alike if component.get(i, -1) == component.get(j, -2)}
+    assert len(found) / len(alike) == 1 and len(set(component.values())) == len(alike)
+
+
 def test_decontaminate(spark):
     items = [prose(50 + i, 30) for i in range(6)] + ["short", None]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
