@@ -4,7 +4,8 @@ Documents are tokenised into pieces of at most `capacity` ids, written once with
 of bounded size; each group is packed best-fit decreasing, then its underfull bins are improved by local search: move a
 piece, exchange one for one, or two for one, from the emptiest bin into fuller ones. Every step raises the sum of the
 squared fills, so the search ends; bins that come out empty are gone. The underfull bins that are left go whole into
-fewer groups, round by round, until one group is left.
+groups of the same size, so into fewer as they get fewer, until one group of at most four times that size holds them or
+a round no longer lessens them.
 
 Defined cases: a null text is empty and gives one piece with the end id alone; repeated rows are packed each; an empty
 table gives no rows; extra columns are ignored (their names do not clash, as only id and text are read).
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, slices, written
 from .tokens import encode_column
 
+LAST = 4
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -187,16 +189,18 @@ def pack(items: DataFrame, capacity: int = 2048, group_items: int = 20_000) -> D
     blank = {"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "fill": F.lit(capacity).cast("long")}
     full = items.where(F.col("length") == capacity).withColumns(blank).withColumn("sequence_id", F.lit(1 << 62).bitwiseOR(F.col("row_id")))
     left = items.where(F.col("length") < capacity).withColumns(blank)
-    out, level, groups = [full], 0, left.count() // group_items + 1
+    count = left.count()
+    out, level, groups = [full], 0, count // group_items + 1
     while True:
         dealt = left.withColumn("g", F.pmod(F.xxhash64("row_id" if level == 0 else "sequence_id"), F.lit(groups)))
         packed = written(dealt.groupBy("g").applyInPandas(partial(_pack_group, capacity=capacity, level=level), schema), f"packed{level}")
-        if groups == 1:
+        under = 0 if groups == 1 else packed.where(F.col("fill") < capacity).count()
+        if groups == 1 or under > LAST * group_items and (4 * under > 3 * count or level == 14):  # lengths that do not add up stay in several groups
             out.append(packed)
             break
         out.append(packed.where(F.col("fill") == capacity))
-        left, level = packed.where(F.col("fill") < capacity), level + 1
-        groups = min(groups // 2, left.count() // group_items + 1)
+        left, level, count = packed.where(F.col("fill") < capacity), level + 1, under
+        groups = 1 if count <= LAST * group_items else count // group_items + 1
     total = out[0]
     for x in out[1:]:
         total = total.unionByName(x)

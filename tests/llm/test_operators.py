@@ -51,6 +51,14 @@ def test_best_fit_packing(spark):
     assert packing.pack(packing.tokenize_pieces(docs(spark, [])[["doc_id", "text"]], queries.tokenizer_path("byte_bpe_50k.json")).drop("ids")).count() == 0
 
 
+def test_packing_groups_stay_bounded(spark):
+    items = spark.range(3000).selectExpr("id as row_id", "1000L as length")
+    placed = packing.pack(items, group_items=300).toPandas()
+    assert len(placed) == placed.row_id.nunique() == 3000 and placed.groupby("sequence_id").length.sum().max() <= 2048
+    assert placed.groupby(placed.sequence_id // 2**20).size().max() <= 450  # pieces one task packed in the last round
+    assert placed.sequence_id.nunique() <= 1500 + 10  # one odd piece a group at most
+
+
 def test_local_search_moves_and_swaps():
     full = packing.improve([[(6, 0), (3, 1)], [(7, 2), (2, 3)], [(1, 4), (1, 5)]], 10)
     assert sorted(sum(x[0] for x in b) for b in full) == [10, 10]
