@@ -99,7 +99,8 @@ def _group_links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num
     asked = asked.where(F.struct("members", "comp") < F.struct(F.col("g_members").alias("members"), F.col("g_comp").alias("comp")))
     asked = asked.where((F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
     asked = asked.groupBy("q", "g_comp", "g_part").agg(F.countDistinct("key").alias("shared"), F.min(F.least("need", "g_need")).alias("need"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    enough = F.col("need") + F.least(more(F.col("n"), F.col("least")), more(F.col("n"), F.col("most")))  # least at the ends of the group's sizes
+    jitter = F.when((F.col("most") > F.col("n")) & (F.col("most") > F.col("least")), 1).otherwise(0)  # of the two ceilings above n
+    enough = F.col("need") + F.least(more(F.col("n"), F.col("least")), F.greatest(more(F.col("n"), F.col("most")) - jitter, F.lit(0)))  # least at the ends of the group's sizes
     asked = written(asked.where(F.col("shared") >= enough).select("q", "g_comp", "g_part"), "asked")
     wanted = asked.select("g_comp", "g_part").distinct()
     member = nodes.join(sizes.hint("merge"), "comp").select(F.col("comp").alias("g_comp"), part.alias("g_part"), "id")

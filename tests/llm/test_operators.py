@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from litsieve.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, packing, queries, substring_dedup, token_files, toxicity, url_filter
+from litsieve.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, linking, packing, queries, substring_dedup, token_files, toxicity, url_filter
 from litsieve.llm.shingles import shingles, word_hashes
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -164,6 +164,16 @@ def test_word_hashes():
     assert len(shingles(h, text, 3, 3)[0]) == 2
 
 
+def test_group_bound_is_lossless(spark):
+    small, close, wide = list(range(100)), [*range(99), *range(1000, 1010)], [*range(99), *range(2000, 2011)]
+    near = [*range(2, 100), 3000, 3001]
+    sets = spark.createDataFrame([(1, small), (2, close), (3, wide), (4, near)], "id long, set array<long>")
+    rows = [(k, 1, 100, 4, 1) for k in range(4)] + [(k, i, n, 4, 2) for i, n in ((2, 109), (3, 110), (4, 100)) for k in range(4)]
+    held = spark.createDataFrame(rows, "key long, id long, n long, need int, comp long")
+    got = linking._group_links(held, lambda ids: sets.join(ids, "id", "left_semi"), 90, 100, lambda n, m: linking._more(n, m, 90, 100))
+    assert (1, 2) in {(r["a"], r["b"]) for r in got.collect()}  # 99 / 110
+
+
 def test_exact_dedup(spark):
     texts = ["x", None, "", "y", "x", "x", "y ", prose(1, 5000)]
     got = {r["doc_id"]: r for r in exact_dedup.classes(docs(spark, texts)).collect()}
