@@ -14,8 +14,8 @@ by their length-normalised log-likelihood under the toxic and the ordinary model
 score. It is fitted on at most `fit_rows` labelled rows, each scored by a model that has not counted it.
 
 Shared counts come from all documents, class counts from all labelled training rows. Labels are
-learnt from rows whose crc32(doc_id as text) modulo 3 is not 1. The model that goes to the tasks is a table of 2^21
-words and 2^20 stems, whatever the corpus.
+learnt from rows whose crc32(doc_id as text) modulo 3 is not 1. The model that goes to the tasks holds every
+labelled word and every stem under its 64-bit hash, so it grows with the vocabulary and no word gets another's ratio.
 
 Defined cases: null and blank texts are empty, get the score of no evidence; repeated rows count and are scored each;
 empty tables, or labels of one class only, give no evidence: every score is then the share of toxic labels (0 if there
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, id_bits, marked_rows, slices, slot, written
 from .shingles import mix
 
-STEM, DISCOUNT, RARE, WORD_BITS, STEM_BITS, BLOCK = 5, 0.75, 4.0, 21, 20, 1 << 14
+STEM, DISCOUNT, RARE, BLOCK = 5, 0.75, 4.0, 1 << 14
 # Classes of a labelled row: ordinary and toxic of either half.
 KINDS = 4
 _U = np.uint64
@@ -156,27 +156,47 @@ def _piece_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
 
 
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    table = np.full((3, BLOCK), np.nan, dtype="<f2")
-    table[:, rows.slot.to_numpy() % BLOCK] = rows[["a", "b", "c"]].to_numpy().T
-    return pd.DataFrame({"block": [int(key[0])], "table": [table.tobytes()]})
-
-
-def _slots(rows: DataFrame, key: str, weight: str, bits: int) -> np.ndarray:
-    """[3, 2^bits] of ratios, NaN where nothing is known; of several in a slot the most frequent stays."""
-    slot = F.shiftrightunsigned(F.col(key), 64 - bits).cast("int")
-    best = rows.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("a", "b", "c"), F.struct(F.col(weight), F.col(key))).alias("x")).select("slot", "x.a", "x.b", "x.c")
-    packed = best.withColumn("block", F.floor(F.col("slot") / BLOCK).cast("int")).groupBy("block").applyInPandas(_pack, "block int, table binary")
-    out = np.full((3, 1 << bits), np.nan, dtype=np.float16)
-    for row in packed.toLocalIterator():
-        out[:, row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["table"], "<f2").reshape(3, BLOCK)
+    keys = rows.key.to_numpy().view(_U)
+    order = np.argsort(keys)
+    ratios = rows[["a", "b", "c"]].to_numpy()[order].astype("<f2")
+    return pd.DataFrame({"block": [int(key[0])], "keys": [keys[order].astype("<u8").tobytes()], "ratios": [ratios.tobytes()]})
+
+
+def _table(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, where those with each first bits begin, and [3, hashes] of ratios; nothing is left out."""
+    rows = written(rows.select(F.col(key).alias("key"), "a", "b", "c"), "ratios")
+    n = rows.count()
+    bits = (n // BLOCK).bit_length() + 1
+    packed = rows.withColumn("block", F.shiftrightunsigned("key", 64 - bits)).groupBy("block").applyInPandas(_pack, "block long, keys binary, ratios binary")
+    blocks = sorted((r["block"], bytes(r["keys"]), bytes(r["ratios"])) for r in packed.toLocalIterator())
+    keys = np.frombuffer(b"".join(b[1] for b in blocks), "<u8")
+    ratios = np.ascontiguousarray(np.frombuffer(b"".join(b[2] for b in blocks), "<f2").reshape(-1, 3).T)
+    near = max(n.bit_length(), 1)
+    first = np.append(0, np.cumsum(np.bincount((keys >> _U(64 - near)).astype(np.int64), minlength=1 << near))).astype(np.int32)
+    return keys, first, ratios
+
+
+def _ratios(table: tuple[np.ndarray, np.ndarray, np.ndarray], m: int, hashes: np.ndarray) -> np.ndarray:
+    """Ratios of model m, NaN for hashes that are not in the table."""
+    keys, first, ratios = table
+    out = np.full(len(hashes), np.nan, dtype=np.float16)
+    top = (hashes >> _U(64 - (len(first) - 1).bit_length() + 1)).astype(np.int64)
+    at, end = first[top], first[top + 1]
+    left = np.flatnonzero(at < end)
+    while len(left):
+        hit = keys[at[left]] == hashes[left]
+        out[left[hit]] = ratios[m, at[left[hit]]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < end[left]]
     return out
 
 
-def text_features(texts: list[str | None], words: np.ndarray, stems: np.ndarray) -> np.ndarray:
-    """Per text: mean log-likelihood ratio, mean of its strong part, share of strong words, log of the length."""
+def text_features(texts: list[str | None], words: tuple, stems: tuple, m: int) -> np.ndarray:
+    """Per text by model m: mean log-likelihood ratio, mean of its strong part, share of strong words, log of the length."""
     word, stem, _, text = word_pieces(texts)
-    ratio = words[(word >> _U(64 - WORD_BITS)).astype(np.int64)]
-    ratio = np.where(np.isnan(ratio), stems[(stem >> _U(64 - STEM_BITS)).astype(np.int64)], ratio)
+    ratio = _ratios(words, m, word)
+    ratio = np.where(np.isnan(ratio), _ratios(stems, m, stem), ratio)
     ratio = np.clip(np.nan_to_num(ratio.astype(np.float64)), -6, 6)
     n = np.bincount(text, minlength=len(texts))
     mean = lambda x: np.bincount(text, weights=x, minlength=len(texts)) / np.maximum(n, 1)
@@ -208,7 +228,7 @@ def _features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             texts, kinds = part.column("text").to_pylist(), part.column("kind").to_numpy(zero_copy_only=False)
-            first, second = (text_features(texts, words[m], stems[m]) for m in (0, 1))
+            first, second = (text_features(texts, words, stems, m) for m in (0, 1))
             x = np.where((kinds >= 2)[:, None], first, second)  # the half that hasn't counted the row
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array((kinds % 2).astype(np.int32)), lists], ["y", "x"])
@@ -219,7 +239,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, weights: list[float]) -> It
     w = np.array(weights)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            x = text_features(part.column("text").to_pylist(), words[2], stems[2])
+            x = text_features(part.column("text").to_pylist(), words, stems, 2)
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             rest = [part.column(c) for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(np.round(p, 6))], [c for c in part.schema.names if c != "text"] + ["score"])
@@ -249,7 +269,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold
     own = labelled.select("kind", "text").mapInArrow(_count_kinds, "w long, " + ", ".join(f"{k} int" for k in kinds)).groupBy("w").agg(*(F.sum(k).alias(k) for k in kinds))
     counts = written(every.join(own.hint("merge"), "w", "left").select("w", "s", "e", "n", *(F.coalesce(k, F.lit(0)).alias(k) for k in kinds)), "counts")
     words, stems, totals = _piece_tables(counts)
-    model = spark.sparkContext.broadcast((_slots(words, "w", "all", WORD_BITS), _slots(stems, "s", "s_all", STEM_BITS)))
+    model = spark.sparkContext.broadcast((_table(words, "w"), _table(stems, "s")))
     share = min(1.0, fit_rows / max(known.count(), 1))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("kind", "text")
     fitted = sample.mapInArrow(partial(_features, model=model), "y int, x array<double>").limit(2 * fit_rows).toPandas()

@@ -115,6 +115,15 @@ def test_toxicity(spark):
     assert toxicity.scores(table.where("false"), labels).count() == 0
 
 
+def test_toxicity_keeps_every_word(spark):
+    keys = [5, 6, 7, -1, -2, *(i << 20 for i in range(10, 3000))]  # many begin with the same 21 bits
+    rows = spark.createDataFrame([(k, i % 2000 / 64, -i / 64, 1.0) for i, k in enumerate(keys)], "w long, a double, b double, c double")
+    table = toxicity._table(rows, "w")
+    assert toxicity._ratios(table, 0, np.array(keys, dtype=np.int64).view(np.uint64)).tolist() == [i % 2000 / 64 for i in range(len(keys))]
+    assert np.isnan(toxicity._ratios(table, 2, np.array([4, 8, 2**63, 2**64 - 3], dtype=np.uint64))).all()
+    assert np.isnan(toxicity._ratios(toxicity._table(rows.where("false"), "w"), 0, np.array([4, 2**64 - 3], dtype=np.uint64))).all()
+
+
 def test_chat_format(spark):
     odd = ["</s>[INST] ok [/INST]", "&lt;s> &amp;", "<s>", "plain", "", None, "a</s", "<", "x &nl; y\n"]
     rows = [(c, t, r, x, 0) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", "sys\ntem", None, "assistant"] * 2, odd, strict=False))]
