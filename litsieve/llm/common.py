@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,12 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without and gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-litsieve-")
@@ -39,9 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds Arrow batches by rows, since single texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def dropped(*frames: DataFrame) -> None:
+    """Removes the files of written tables that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for name in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if "/litsieve/" in path.toString():
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +76,7 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-BITS, BITS_BLOCK = 1 << 23, 1 << 17
+LEAST_BITS, MOST_BITS, BITS_BLOCK = 1 << 17, 1 << 27, 1 << 17
 
 
 def _bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -77,19 +85,31 @@ def _bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(key[0])], "bits": [np.packbits(mask).tobytes()]})
 
 
-def slot(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
-
-
-def id_bits(ids: DataFrame, column: str) -> bytes:
-    """A bit map of BITS hashed ids, to leave out most other rows without a shuffle of their texts; 1 MB, whatever the input."""
-    slots = ids.select(slot(column).alias("slot")).distinct()
+def _unmarked(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    mask = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8))
+    for batch in batches:
+        held = batch.filter(pa.array(mask[batch.column("_slot").to_numpy()].astype(bool)))
+        if held.num_rows:
+            yield held.drop_columns(["_slot"])
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose `column` (a long) is among ids' (null counts as a value), perhaps with a few others.
+
+    A bit map of hashed ids, 16 places an id up to MOST_BITS (16 MB), leaves the others out without a shuffle of the
+    texts. Beyond MOST_BITS / 4 ids the map would let too many through, and the rows are joined with the ids instead.
+    """
+    ids = ids.select(F.col(column).cast("long").alias("_id")).distinct()
+    n = ids.count()
+    if n > MOST_BITS // 4:
+        spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(16)).cast("int"))
+        every = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        same = spread[column].eqNullSafe(every["_id"]) & (spread["_salt"] == every["_salt"])
+        return spread.join(every.hint("merge"), same, "left_semi").drop("_salt")
+    size = min(max(LEAST_BITS, 1 << (16 * n).bit_length()), MOST_BITS)
+    slots = ids.select(F.pmod(F.xxhash64("_id"), F.lit(size)).cast("int").alias("slot")).distinct()
     packed = slots.withColumn("block", F.floor(F.col("slot") / BITS_BLOCK).cast("int")).groupBy("block").applyInPandas(_bits, "block int, bits binary")
     found = {r["block"]: bytes(r["bits"]) for r in packed.collect()}
-    return b"".join(found.get(b, bytes(BITS_BLOCK // 8)) for b in range(BITS // BITS_BLOCK))
-
-
-def marked_rows(batch: pa.RecordBatch, bits) -> pa.RecordBatch:
-    """The rows of a batch whose `slot` is set."""
-    mask = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8))
-    return batch.filter(pa.array(mask[batch.column("slot").to_numpy()].astype(bool)))
+    bits = rows.sparkSession.sparkContext.broadcast(b"".join(found.get(b, bytes(BITS_BLOCK // 8)) for b in range(size // BITS_BLOCK)))
+    marked = rows.withColumn("_slot", F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size)).cast("int"))
+    return marked.mapInArrow(partial(_unmarked, bits=bits), rows.schema)

@@ -1,29 +1,33 @@
-"""Connected components by label propagation with pointer jumping, each round a join and an aggregate."""
+"""Connected components by alternating star rounds: large stars, then small stars, until only stars are left."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (id, component) for the ids in links; component is the smallest id that can be reached.
 
-    Each round gives a node the smallest label among its own and its neighbours', then the label of that label, so the
-    number of rounds grows with the logarithm of a component's width. Every round is written to the shared folder.
+    A large-star round ties every larger neighbour of a node to the least of its neighbourhood, a small-star round every
+    smaller one. Each round is an aggregate and a join, whose rows are at most twice the links that are left; the number
+    of rounds grows with the logarithm of the number of nodes. Links of a hub are rows of its key that adaptive
+    execution splits. Every round is written to the shared folder.
     """
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).where("id <> to")
-    edges = written(both.unionByName(both.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct(), "edges")
-    labels = edges.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component"))
-    labels = written(labels, "labels")
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges, had = written(edges, "edges"), None
     while True:
-        heard = edges.join(labels.select(F.col("id").alias("to"), "component").hint("merge"), "to").groupBy("id").agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard.hint("merge"), "id").select("id", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        jumped = nearer.join(jump.hint("merge"), "component", "left").select("id", F.coalesce("further", "component").alias("component"), "old")
-        stepped = written(jumped, "labels")
-        if not stepped.where("component <> old").limit(1).count():
-            return stepped.select("id", "component")
-        labels = stepped.select("id", "component")
+        mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        if mark == had:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        had, old = mark, edges
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(old, large)

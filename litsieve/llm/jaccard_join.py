@@ -10,12 +10,16 @@ each group's token union, a bound on the query-group overlap, and only qualifyin
 Hash collisions aside (64 bits; a false link needs several within one pair), the result is exact.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; texts with fewer than k words have
-their whole word sequence as one token; repeated rows are equal sets; an empty table gives no rows; extra columns are
-ignored; a null doc_id is no id of a component and its row is a component of its own with a null id.
+their whole word sequence as one token; a text of any length is one set; equal sets, so repeated rows too, are one
+class. Rows are the documents: rows that share a doc_id but not a text are separate, and each gets the smallest doc_id
+of the rows that its own links reach. A null doc_id takes part, but is no component's smallest id unless all are null;
+empty sets keep their own. Ties of frequency are ordered by hash; an empty table gives no rows; extra columns of any
+name are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -26,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_bits, marked_rows, slices, slot, written
+from .common import only_ids, slices, written
 from .linking import link
 from .shingles import shingles, word_hashes
 
 COUNTERS, BLOCKS, NEED = 1 << 20, 64, 4
-SETS = "doc_id long, n long, sig binary, keys array<long>"
+SETS = "doc_id long, place long, n long, node long, keys array<long>"
 
 
 def _sets(part: pa.RecordBatch, k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -71,15 +75,21 @@ def frequency_levels(docs: DataFrame, k: int, lower: bool) -> bytes:
     return b"".join(by_block.get(b, bytes(COUNTERS // BLOCKS)) for b in range(BLOCKS))
 
 
+def _node(own: np.ndarray) -> int:
+    """The number of a set, the same for equal sets only (64 bits)."""
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int, den: int, levels) -> Iterator[pa.RecordBatch]:
-    import hashlib
+    from pyspark import TaskContext
 
     level = np.frombuffer(levels.value, dtype=np.uint8)
+    task, seen = TaskContext.get().partitionId(), 0
     for batch in batches:
         for part in slices(batch, "text"):
             tokens, bounds = _sets(part, k, lower)
             rank = level[_slot(tokens)]
-            n_keys, sigs, keys = [], [], []
+            n_keys, nodes, keys = [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 n = b - a
                 overlap = -(-n * num // den)
@@ -87,41 +97,45 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int,
                 own = tokens[a:b]
                 keys.append(own[np.argsort(rank[a:b], kind="stable")[:first]].astype(np.int64) if n else own.astype(np.int64))
                 n_keys.append(first)
-                sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
+                nodes.append(_node(own) if n else None)
             ends = np.concatenate([[0], np.cumsum(n_keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(sigs, pa.binary()), lists], ["doc_id", "n", "sig", "keys"])
+            place = (seen + np.arange(len(n_keys))) | task << 33
+            seen += len(n_keys)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(place), pa.array(np.diff(bounds), pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "place", "n", "node", "keys"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], k: int, lower: bool, bits) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(marked_rows(batch, bits), "text"):
+        for part in slices(batch, "text"):
             tokens, bounds = _sets(part, k, lower)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["id", "set"])
+            filled = np.flatnonzero(np.diff(bounds))
+            ids = [_node(tokens[bounds[i] : bounds[i + 1]]) for i in filled.tolist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(bounds[filled], bounds[-1]).astype(np.int32)), pa.array(tokens.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "set"])
 
 
 def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(read, k, lower))
     made = written(read.mapInArrow(partial(_describe, k=k, lower=lower, num=num, den=den, levels=levels), SETS), "described")
-    equal = made.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    equal = written(equal, "equal")
-    firsts = made.where("n > 0").join(equal.withColumnRenamed("id", "doc_id").hint("merge"), ["sig", "doc_id"], "left_semi")
-    firsts = firsts.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    equal = made.where("node is not null").groupBy("node").agg(first.alias("first"))
+    equal = written(equal.select("node", "first.doc_id", F.col("first.place").alias("place")), "equal")
+    firsts = made.join(equal.select("node", "place").hint("merge"), ["node", "place"], "left_semi")
     need = F.least(F.lit(NEED), F.ceil(F.col("n") * num / den)).cast("int")
-    keys = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n", need.alias("need"))
+    keys = firsts.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n", need.alias("need"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        bits = spark.sparkContext.broadcast(id_bits(ids, "id"))
-        marked = read.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
-        sets = marked.mapInArrow(partial(_tokens, k=k, lower=lower, bits=bits), "id long, set array<long>")
-        return sets.join(ids.hint("merge"), "id", "left_semi")
-
-    found = link(keys, sets_of, num, den, prefixes=True)
-    reached = equal.join(found.hint("merge"), "id", "left").select("sig", F.coalesce("component", "id").alias("class"))
-    joined = made.select("doc_id", "n", "sig").join(reached.hint("merge"), "sig", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+        wanted = equal.join(ids.select(F.col("id").alias("node")).hint("merge"), "node", "left_semi")
+        sets = only_ids(read, wanted).mapInArrow(partial(_tokens, k=k, lower=lower), "id long, set array<long>")
+        return sets.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+
+    found = link(keys, sets_of, num, den, prefixes=True).withColumnRenamed("id", "node")
+    reached = equal.select("node", "doc_id").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = written(reached.select("node", "component").join(least.hint("merge"), "component").select("node", "component_id"), "named")
+    joined = made.select("doc_id", "n", "node").join(named.hint("merge"), "node", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -1,56 +1,40 @@
 """Exact components of a set-similarity graph, without all pairs: star links, then a token-group matrix.
 
-Input are candidate keys: rows (key, id, n, need), such that two sets of the wanted similarity share at least
-least(need, need) keys, where n is the size of the set, or one number for a kind of sets whose sizes are close; and a
-function that gives the sets of chosen ids. Where the keys are the first n - ceil(t * n) + need tokens of each set in
-one order (`prefixes`), sharing c of them leaves at most n - prefix + c tokens in common, so for sizes n and m the pair
-must share as many more keys as t * (n + m) / (1 + t) exceeds the larger of t * n and t * m. The steps:
-
-1. Keys held by one id only are dropped.
-2. Star rounds. In each key, one id of every component so far is compared with one chosen id of the key: first the one
-   that shares most keys with others (an original does so more than its edited copies), then any; pairs that meet in
-   enough keys are decided by exact overlap. So m ids of a key cost m - 1 comparisons, and the linked ones form
-   groups of similar sets.
-3. Token-group matrix. Members of a component are dealt into groups of bounded size; each group stores the union of its
-   members' keys and tokens. Where components still meet, the smaller's sets are queries against the larger's groups.
-   A set of n tokens can only be linked with a member if it shares enough keys with the group, and at least ceil(t * n)
-   tokens with the group's union; only groups that meet both bounds are opened, and their members compared exactly.
-
-No link between different components is lost: every pair that shares keys and has different components after step 2 is
-either excluded by a bound or by size, or compared.
+Input are candidate keys: rows (key, id, n, need), one or more a set, such that two sets of the wanted similarity share
+at least least(need, need) keys, where n is the size of the set; and a function that gives the sets of chosen ids. Where the keys are the first n - ceil(t * n) + need tokens of each set in one order
+(`prefixes`), sharing c of them leaves at most n - prefix + c tokens in common, so for sizes n and m the pair must share
+as many more keys as t * (n + m) / (1 + t) exceeds the larger of t * n and t * m. The steps:
+
+1. Keys held by one id only are dropped, then ids that hold too few of the others. The sets of the rest are written once.
+2. A star round. In each key every id is compared with one chosen id of the key, the one that shares most keys with
+   others (an original does so more than its edited copies); pairs that meet in enough keys are decided by exact
+   overlap. So m ids of a key cost m - 1 comparisons; ids linked with the same star are known to be connected.
+3. Token-group matrix. All ids are dealt into groups of similar sets: the same most-held key and a close size, or, where
+   more than GROUP are connected already, those together; groups hold GROUP sets or TOKENS tokens about. Each group has
+   the union of its keys and the range of its sizes. Two groups meet if their unions share as many keys as the least of
+   their pairs need, and their sizes are near. Only then both are opened in one task, which bounds the overlap of each
+   set with the other group's token union, and compares those that reach it by a matrix of shared tokens. A task
+   returns links that span what it found, not all pairs.
+
+So m unlinked sets that share a key make (m / GROUP)^2 / 2 meetings of groups, not m^2 / 2 pairs. No link between
+different components is lost: each pair of ids is connected by step 2, or excluded by a bound, or compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 from .components import components
 
-GROUP = 32
-
-
-def _alike(a: str, b: str, num: int, den: int) -> Column:
-    """Intersection / union >= num / den, in integers, for array columns a and b of distinct values."""
-    both = F.size(F.array_intersect(a, b)).cast("long")
-    return both * den >= (F.size(a) + F.size(b) - both) * num
-
-
-def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """pairs (a, b) whose sets are alike."""
-    pairs = written(pairs, "pairs")
-    sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return written(joined.where(_alike("set_a", "set_b", num, den)).select("a", "b"), "links")
-
-
-def _labelled(held: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return held.drop("comp").join(found.withColumnRenamed("component", "comp").hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+GROUP, TOKENS, WIDE = 128, 1 << 18, 1 << 13
 
 
 def _near(n: str, m: str, num: int, den: int) -> Column:
@@ -63,53 +47,180 @@ def _more(n: Column, m: Column, num: int, den: int) -> Column:
     return F.greatest(both - F.greatest(F.ceil(n * num / den), F.ceil(m * num / den)), F.lit(0))
 
 
-def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool, rounds: int = 2) -> DataFrame:
-    """(id, component) of the ids that are linked with another. sets_of(ids) gives (id, set) of these ids at least."""
-    more = (lambda n, m: _more(n, m, num, den)) if prefixes else (lambda n, m: F.lit(0))
-    met = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    held = written(keys.join(met.hint("merge"), "key").select("key", "id", F.col("n").cast("long").alias("n"), "need"), "held")
-    degrees = held.groupBy("id").agg(F.count("*").alias("degree"))
-    held = written(held.join(degrees.hint("merge"), "id").withColumn("comp", F.col("id")), "held")
-    links = None
-    for turn in range(rounds):
-        pick = F.struct((-F.col("degree") if turn == 0 else F.lit(0)).alias("d"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "need", "comp").alias("pick")
-        one = held.select("key", "comp", pick).groupBy("key", "comp").agg(F.min("pick").alias("one"))
-        star = one.groupBy("key").agg(F.min("one").alias("star"), F.count("*").alias("comps")).where("comps > 1").select("key", "star")
-        pairs = one.join(star.hint("merge"), "key").where("one.comp <> star.comp").where(_near("one.n", "star.n", num, den))
-        need = F.least("one.need", "star.need") + more(F.col("one.n"), F.col("star.n"))
-        pairs = pairs.select(F.least("one.id", "star.id").alias("a"), F.greatest("one.id", "star.id").alias("b"), need.alias("need"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-        verified = _verified(pairs, sets_of, num, den)
-        links = verified if links is None else written(links.unionByName(verified), "links")
-        held = written(_labelled(held, links), "held")
-    return components(links.unionByName(_group_links(held, sets_of, num, den, more)))
-
-
-def _group_links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, more: Callable) -> DataFrame:
-    """The links between components that meet in keys, through the groups' key and token unions."""
-    meeting = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    nodes = held.select("id", "comp").distinct()
-    sizes = written(nodes.groupBy("comp").agg(F.count("*").alias("members")), "sizes")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / GROUP))
-    rows = held.join(meeting.hint("merge"), "key").join(sizes.hint("merge"), "comp").withColumn("part", part)
-    rows = written(rows, "meeting")
-    groups = rows.groupBy("key", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), F.col("members").alias("g_members"))
-    groups = groups.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("need").alias("g_need"))
-    asked = rows.select("key", F.col("id").alias("q"), "n", "need", "comp", "members").join(groups.hint("merge"), "key")
-    asked = asked.where(F.struct("members", "comp") < F.struct(F.col("g_members").alias("members"), F.col("g_comp").alias("comp")))
-    asked = asked.where((F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den))
-    asked = asked.groupBy("q", "g_comp", "g_part").agg(F.countDistinct("key").alias("shared"), F.min(F.least("need", "g_need")).alias("need"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    jitter = F.when((F.col("most") > F.col("n")) & (F.col("most") > F.col("least")), 1).otherwise(0)  # of the two ceilings above n
-    enough = F.col("need") + F.least(more(F.col("n"), F.col("least")), F.greatest(more(F.col("n"), F.col("most")) - jitter, F.lit(0)))  # least at the ends of the group's sizes
-    asked = written(asked.where(F.col("shared") >= enough).select("q", "g_comp", "g_part"), "asked")
-    wanted = asked.select("g_comp", "g_part").distinct()
-    member = nodes.join(sizes.hint("merge"), "comp").select(F.col("comp").alias("g_comp"), part.alias("g_part"), "id")
-    member = written(member.join(wanted.hint("merge"), ["g_comp", "g_part"]), "members")
-    sets = written(sets_of(member.select("id").unionByName(asked.select(F.col("q").alias("id"))).distinct()), "sets")
-    union = member.join(sets.hint("merge"), "id").groupBy("g_comp", "g_part").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("tokens"))
-    asked_sets = asked.join(sets.select(F.col("id").alias("q"), "set").hint("merge"), "q")
-    bounded = asked_sets.join(union.hint("merge"), ["g_comp", "g_part"])
-    opened = bounded.where(F.size(F.array_intersect("set", "tokens")).cast("long") * den >= F.size("set") * num).select("q", "g_comp", "g_part")
-    pairs = written(opened, "opened").join(member.hint("merge"), ["g_comp", "g_part"])
-    pairs = pairs.select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b")).where("a <> b").distinct()
-    return _verified(pairs, sets_of, num, den)
+def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool) -> DataFrame:
+    """(id, component) of the ids that are linked with another. sets_of(ids) gives (id, set) of these ids, once each."""
+    met = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    shared = keys.join(met.hint("merge"), "key").select("key", "id", F.col("n").cast("long").alias("n"), "need", "held")
+    shared = written(shared, "shared")
+    enough = shared.groupBy("id").agg(F.count("*").alias("degree"), F.max("need").alias("need"), F.max(F.struct("held", "key")).alias("most"))
+    enough = enough.where("degree >= need").select("id", "degree", F.col("most.key").alias("most"))
+    held = written(shared.drop("held").join(enough.hint("merge"), "id"), "held")
+    dropped(shared)
+    sets = written(sets_of(held.select("id").distinct()), "sets")
+    stars = _star_links(held, sets, num, den, prefixes)
+    found = stars.unionByName(_group_links(held, sets, stars, num, den, prefixes))
+    out = components(found)
+    dropped(held, sets)
+    return out
+
+
+def _star_links(held: DataFrame, sets: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
+    """Links (a, b) of ids a with the stars b of their keys."""
+    pick = F.min(F.struct((-F.col("degree")).alias("d"), F.xxhash64("id").alias("h"), "id", "n", "need")).alias("star")
+    star = held.groupBy("key").agg(pick, F.count("*").alias("ids")).where("ids > 1").select("key", "star")
+    pairs = held.join(star.hint("merge"), "key").where("id <> star.id").where(_near("n", "star.n", num, den))
+    need = F.least("need", "star.need") + (_more(F.col("n"), F.col("star.n"), num, den) if prefixes else F.lit(0))
+    pairs = pairs.select(F.col("id").alias("a"), F.col("star.id").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    pairs = written(pairs.where("shared >= need").select("a", "b"), "pairs")
+    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    alike = both * den >= (F.size("set_a") + F.size("set_b") - both) * num
+    return written(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(alike).select("a", "b"), "stars")
+
+
+def _labels(held: DataFrame, stars: DataFrame) -> DataFrame:
+    """(id, n, need, most, label, members): ids with one label are connected by star links."""
+    ids = held.groupBy("id").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("most").alias("most"))
+    up = written(stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("up")), "up")
+    top = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+    named = up.join(top.hint("merge"), "up", "left").select("id", F.least("up", "top").alias("label"))
+    named = written(ids.join(named.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
+    sizes = named.groupBy("label").agg(F.count("*").alias("members"))
+    return named.join(sizes.hint("merge"), "label")
+
+
+def _dealt(labels: DataFrame, num: int, den: int) -> DataFrame:
+    """labels with band (of near sizes) and group g."""
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(1.0001 * math.log(den / num)))
+    large = F.col("members") > GROUP
+    base = F.when(large, F.xxhash64("label", F.lit(1))).otherwise(F.xxhash64("most", F.lit(2)))
+    rows = labels.withColumns({"base": base, "band": band})
+    rows = written(rows, "based")
+    sizes = rows.groupBy("base", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / TOKENS)).alias("parts"))
+    part = F.pmod(F.xxhash64(F.when(large, F.col("id")).otherwise(F.col("label"))), F.col("parts"))
+    return rows.join(sizes.hint("merge"), ["base", "band"]).select("id", "n", "need", "label", "band", F.xxhash64("base", "band", part).alias("g"))
+
+
+def meetings(held: DataFrame, dealt: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
+    """(x, y), x <= y: the groups whose members can be alike and are not all connected. dealt: (id, n, need, label, band, g)."""
+    groups = dealt.groupBy("g").agg(
+        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("need").alias("need"),
+        F.when(F.min("label") == F.max("label"), F.min("label")).alias("own"),
+    )
+    groups = written(groups, "groups")
+    unions = written(held.select("key", "id").join(dealt.select("id", "band", "g").hint("merge"), "id").select("key", "band", "g").distinct(), "unions")
+    shared = unions.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
+    unions = unions.join(shared.hint("merge"), "key")
+    left = unions.select("key", "band", F.col("g").alias("x"))
+    right = unions.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("g").alias("y"))
+    pairs = left.join(right.hint("merge"), ["key", "band"]).where("x < y").groupBy("x", "y").agg(F.countDistinct("key").alias("shared"))
+    side = lambda s: groups.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") for c in ("least", "most", "need", "own")), F.col("g").alias(s))
+    pairs = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
+    apart = F.col("x_own").isNull() | F.col("y_own").isNull() | (F.col("x_own") != F.col("y_own"))
+    near = (F.col("x_least") * num <= F.col("y_most") * den) & (F.col("y_least") * num <= F.col("x_most") * den)
+    need = F.least("x_need", "y_need")
+    if prefixes:  # least at the ends of the size ranges, less one for the two ceilings between
+        ends = F.least(_more(F.col("x_least"), F.col("y_most"), num, den), _more(F.col("y_least"), F.col("x_most"), num, den))
+        need = need + F.greatest(ends - 1, F.lit(0))
+    across = pairs.where(apart & near & (F.col("shared") >= need)).select("x", "y")
+    within = groups.where("own is null and size > 1").select(F.col("g").alias("x"), F.col("g").alias("y"))
+    return across.unionByName(within)
+
+
+def _group_links(held: DataFrame, sets: DataFrame, stars: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
+    dealt = written(_dealt(_labels(held, stars), num, den), "dealt")
+    pairs = written(meetings(held, dealt, num, den, prefixes), "meetings")
+    asked = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("g"))
+    members = dealt.select("g", "id", "label").join(sets.hint("merge"), "id")
+    opened = asked.join(members.hint("merge"), "g").repartition("x", "y").sortWithinPartitions("x", "y", "g", "id")
+    found = opened.select("x", "y", "g", "id", "label", "set").mapInArrow(partial(_open, num=num, den=den), "a long, b long")
+    return written(found, "links")
+
+
+def _open(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs of groups (x, y) in a run -> links that span what is alike in them."""
+    x = y = None
+    sides: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        values, bounds = batch.column("set").values.to_numpy(), batch.column("set").offsets.to_numpy()
+        columns = [batch.column(c).to_pylist() for c in ("x", "y", "g", "id", "label")]
+        for i, (p, q, g, one, label) in enumerate(zip(*columns, strict=True)):
+            if (p, q) != (x, y):
+                found += _matched(sides, x, y, num, den)
+                x, y, sides = p, q, {}
+            sides.setdefault(g, []).append((one, label, values[bounds[i] : bounds[i + 1]]))
+        if found:
+            yield _rows(found)
+    if found := _matched(sides, x, y, num, den):
+        yield _rows(found)
+
+
+def _rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+
+def _matched(sides: dict, x: int | None, y: int | None, num: int, den: int) -> list[tuple[int, int]]:
+    if x not in sides or y not in sides:
+        return []
+    left, right = sides[x], sides[y]
+    if x != y:
+        left, right = _bounded(left, right, num, den), _bounded(right, left, num, den)
+    if not left or not right:
+        return []
+    shared = _overlaps([s for _, _, s in left], [s for _, _, s in right])
+    n, m = (np.array([len(s) for _, _, s in z], dtype=np.int64) for z in (left, right))
+    alike = shared * den >= (n[:, None] + m[None, :] - shared) * num
+    one, other = np.nonzero(alike)
+    label = {i: k for i, k, _ in [*left, *right]}
+    top = {k: k for k in label.values()}
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    found = []
+    for i, j in zip(one.tolist(), other.tolist(), strict=True):
+        a, b = left[i][0], right[j][0]
+        p, q = root(label[a]), root(label[b])
+        if p != q:
+            top[q] = p
+            found.append((a, b))
+    return found
+
+
+def _bounded(queries: list, group: list, num: int, den: int) -> list:
+    """The queries whose overlap with the group's token union lets them be alike to a member."""
+    if len(group) == 1:
+        union = group[0][2]
+    else:
+        union = np.unique(np.concatenate([s for _, _, s in group]))
+    return [q for q in queries if np.isin(q[2], union).sum() * den >= len(q[2]) * num]
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """[left, right] of the numbers of tokens in common, from a matrix of sets by shared tokens, WIDE tokens at a time."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        hit = common[at] == tokens
+        return of[hit], at[hit]
+
+    if not len(common):
+        return out
+    (row, at), (col, to) = places(left), places(right)
+    for begin in range(0, len(common), WIDE):
+        wide = min(WIDE, len(common) - begin)
+        a, b = np.zeros((len(left), wide), dtype=np.float32), np.zeros((len(right), wide), dtype=np.float32)
+        here = (at >= begin) & (at < begin + wide)
+        a[row[here], at[here] - begin] = 1
+        here = (to >= begin) & (to < begin + wide)
+        b[col[here], to[here] - begin] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, written
+from .common import slices, written
 from .linking import link
 from .shingles import mix, runs, shingles, word_hashes
 
@@ -172,7 +172,6 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     """Paragraphs of docs (doc_id, text) that repeat: doc_id, line, start, stop (code points), n_words, kind, component,
     members, keep_doc_id, keep_start, removed. line is null for passages, which can cross lines."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     bands, rows = tune_bands(num / den, recall)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = read.mapInArrow(partial(_describe, k=k, line_words=line_words, passage_words=passage_words, bands=bands, rows=rows), PARAGRAPHS)

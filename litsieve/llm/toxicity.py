@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_bits, marked_rows, slices, slot, written
+from .common import only_ids, slices, written
 from .shingles import mix
 
 STEM, DISCOUNT, RARE, BLOCK = 5, 0.75, 4.0, 1 << 14
@@ -110,11 +110,6 @@ def _count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(pieces[0][order[begin]].astype(np.int64)), *map(pa.array, counts)], ["w", *(f"n{k}" for k in range(KINDS))])
 
 
-def _marked(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield marked_rows(batch, bits).select(["doc_id", "text"])
-
-
 def _piece_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     """Per word and per stem the log-likelihood ratios of three models: first half, second half, both."""
     halves = {"a": ("n0", "n1"), "b": ("n2", "n3"), "c": ("n0 + n2", "n1 + n3")}
@@ -255,14 +250,12 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold
     With a threshold: the rows of docs with a score below it instead, with all their columns.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     taught = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     taught = taught.where(~held_out(F.col("doc_id")))
     half = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)).cast("int")  # 0 or 2
     known = written(taught.select("doc_id", (half + F.col("toxic")).alias("kind")), "taught")
-    bits = spark.sparkContext.broadcast(id_bits(known, "doc_id"))  # so that only texts with labels are shuffled
-    marked = read.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(partial(_marked, bits=bits), "doc_id long, text string")
+    marked = only_ids(read.where("doc_id is not null"), known)  # so that only texts with labels are shuffled
     labelled = written(marked.join(known.hint("merge"), "doc_id").select("doc_id", "kind", "text"), "labelled")
     every = read.select("text").mapInArrow(_count, "w long, s long, e long, n int").groupBy("w").agg(F.min("s").alias("s"), F.min("e").alias("e"), F.sum("n").alias("n"))
     kinds = [f"n{k}" for k in range(KINDS)]

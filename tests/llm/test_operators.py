@@ -174,13 +174,57 @@ def test_word_hashes():
 
 
 def test_group_bound_is_lossless(spark):
-    small, close, wide = list(range(100)), [*range(99), *range(1000, 1010)], [*range(99), *range(2000, 2011)]
-    near = [*range(2, 100), 3000, 3001]
-    sets = spark.createDataFrame([(1, small), (2, close), (3, wide), (4, near)], "id long, set array<long>")
-    rows = [(k, 1, 100, 4, 1) for k in range(4)] + [(k, i, n, 4, 2) for i, n in ((2, 109), (3, 110), (4, 100)) for k in range(4)]
-    held = spark.createDataFrame(rows, "key long, id long, n long, need int, comp long")
-    got = linking._group_links(held, lambda ids: sets.join(ids, "id", "left_semi"), 90, 100, lambda n, m: linking._more(n, m, 90, 100))
-    assert (1, 2) in {(r["a"], r["b"]) for r in got.collect()}  # 99 / 110
+    """A set of 100 and one of 109 that share 99 (0.9 exactly) share no more than the 4 keys every pair needs; a group of sizes 100 to 110 must still be opened."""
+    dealt = [(1, 100, 4, 1, 0, 10), (2, 109, 4, 2, 0, 20), (3, 110, 4, 3, 0, 20), (4, 100, 4, 4, 0, 20)]
+    dealt = spark.createDataFrame(dealt, "id long, n long, need int, label long, band long, g long")
+    held = spark.createDataFrame([(k, i) for k in range(4) for i in (1, 2)], "key long, id long")
+    assert (10, 20) in {(r["x"], r["y"]) for r in linking.meetings(held, dealt, 90, 100, True).collect()}
+
+
+def test_group_task_finds_what_is_alike():
+    """Overlaps by matrix equal those by sets; links span the components and no more."""
+    rng = np.random.default_rng(4)
+    base = np.arange(60)
+    side = lambda n, at: [(at + i, at + i, np.unique(np.where(rng.random(60) < 0.06, rng.integers(1000, 9000, 60), base))) for i in range(n)]
+    left, right = side(30, 0), side(25, 100)
+    got = linking._overlaps([s for *_, s in left], [s for *_, s in right])
+    assert got.tolist() == [[len(set(a) & set(b)) for *_, b in right] for *_, a in left]
+    links = linking._matched({1: left, 2: right}, 1, 2, 90, 100)
+    assert len(links) < len(left) + len(right)
+    joined = {frozenset((a, b)) for a, _, x in left for b, _, y in right if 100 * len(set(x) & set(y)) >= 90 * len(set(x) | set(y))}
+    top = {i: i for i, *_ in left + right}
+    for pairs in (joined, links):
+        label = dict(top)
+        for _ in top:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        top_of = label if pairs is joined else top_of  # noqa: F821
+        assert label == top_of
+
+
+def test_jaccard_join_large_group_unlinked(spark):
+    """Most copies of one text differ too much from each other to be linked, but share keys; only the planted pairs link."""
+    lines = template_lines(150)
+    got = jaccard_join.classes(docs(spark, lines), 5, 80, 100).toPandas().sort_values("doc_id")
+    assert got.component_id.tolist() == [i - i % 2 for i in range(len(lines))]
+    label, sizes = brute_components(lines[:60], 5, 80, 100)
+    assert got.component_id.tolist()[:60] == label and got.n_shingles.tolist()[:60] == sizes
+
+
+def test_jaccard_join_repeated_and_null_ids(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    near = b.replace(b.split()[0], "other", 1)
+    got = jaccard_join.classes(docs(spark, [a, b, a, near, c, c, None], ids=[1, 5, 5, 9, None, 7, None]), 3, 80, 100).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted([(1, 1), (5, 5), (5, 1), (9, 5), (None, 7), (7, 7), (None, None)], key=str)
+
+
+def test_components(spark):
+    from litsieve.llm.components import components
+
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 330)] + [(329, 100), (5, 5), (900, 901)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([7, *range(100, 161), *range(300, 330)], 7), 900: 900, 901: 900}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_exact_dedup(spark):
