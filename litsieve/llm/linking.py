@@ -1,20 +1,21 @@
 """Exact components of a set-similarity graph, without all pairs: star links, then a token-group matrix.
 
 Input are candidate keys: rows (key, id, n, need), one or more a set, such that two sets of the wanted similarity share
-at least least(need, need) keys, where n is the size of the set; and a function that gives the sets of chosen ids. Where the keys are the first n - ceil(t * n) + need tokens of each set in one order
-(`prefixes`), sharing c of them leaves at most n - prefix + c tokens in common, so for sizes n and m the pair must share
-as many more keys as t * (n + m) / (1 + t) exceeds the larger of t * n and t * m. The steps:
-
-1. Keys held by one id only are dropped, then ids that hold too few of the others. The sets of the rest are written once.
-2. A star round. In each key every id is compared with one chosen id of the key, the one that shares most keys with
-   others (an original does so more than its edited copies); pairs that meet in enough keys are decided by exact
-   overlap. So m ids of a key cost m - 1 comparisons; ids linked with the same star are known to be connected.
+at least least(need, need) keys, where n is the size of the set; and a function that gives the sets of chosen ids. Where
+the keys are the first n - ceil(t * n) + need tokens of each set in one order (`prefixes`), sharing c of them leaves at
+most n - prefix + c tokens in common, so for sizes n and m the pair must share as many more keys as t * (n + m) / (1 + t)
+exceeds the larger of t * n and t * m. The steps:
+
+1. Keys held by one id only are dropped, then ids that hold too few of the others.
+2. A star round. In each key every id meets one chosen id of the key, the one that shares most keys with others (an
+   original does so more than its edited copies); pairs that meet in enough keys are decided by exact overlap. So m ids
+   of a key cost m - 1 comparisons; ids linked with the same star are known to be connected.
 3. Token-group matrix. All ids are dealt into groups of similar sets: the same most-held key and a close size, or, where
    more than GROUP are connected already, those together; groups hold GROUP sets or TOKENS tokens about. Each group has
    the union of its keys and the range of its sizes. Two groups meet if their unions share as many keys as the least of
-   their pairs need, and their sizes are near. Only then both are opened in one task, which bounds the overlap of each
-   set with the other group's token union, and compares those that reach it by a matrix of shared tokens. A task
-   returns links that span what it found, not all pairs.
+   their pairs need, and their sizes are near. Only then sets are read, and both groups opened in one task, which bounds
+   the overlap of each set with the other group's token union, and compares those that reach it by a matrix of shared
+   tokens. A task returns links that span what it found, not all pairs.
 
 So m unlinked sets that share a key make (m / GROUP)^2 / 2 meetings of groups, not m^2 / 2 pairs. No link between
 different components is lost: each pair of ids is connected by step 2, or excluded by a bound, or compared.
@@ -55,16 +56,13 @@ def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, d
     enough = shared.groupBy("id").agg(F.count("*").alias("degree"), F.max("need").alias("need"), F.max(F.struct("held", "key")).alias("most"))
     enough = enough.where("degree >= need").select("id", "degree", F.col("most.key").alias("most"))
     held = written(shared.drop("held").join(enough.hint("merge"), "id"), "held")
-    dropped(shared)
-    sets = written(sets_of(held.select("id").distinct()), "sets")
-    stars = _star_links(held, sets, num, den, prefixes)
-    found = stars.unionByName(_group_links(held, sets, stars, num, den, prefixes))
-    out = components(found)
-    dropped(held, sets)
+    stars = _star_links(held, sets_of, num, den, prefixes)
+    out = components(stars.unionByName(_group_links(held, sets_of, stars, num, den, prefixes)))
+    dropped(shared, held)
     return out
 
 
-def _star_links(held: DataFrame, sets: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
+def _star_links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool) -> DataFrame:
     """Links (a, b) of ids a with the stars b of their keys."""
     pick = F.min(F.struct((-F.col("degree")).alias("d"), F.xxhash64("id").alias("h"), "id", "n", "need")).alias("star")
     star = held.groupBy("key").agg(pick, F.count("*").alias("ids")).where("ids > 1").select("key", "star")
@@ -72,6 +70,7 @@ def _star_links(held: DataFrame, sets: DataFrame, num: int, den: int, prefixes:
     need = F.least("need", "star.need") + (_more(F.col("n"), F.col("star.n"), num, den) if prefixes else F.lit(0))
     pairs = pairs.select(F.col("id").alias("a"), F.col("star.id").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
     pairs = written(pairs.where("shared >= need").select("a", "b"), "pairs")
+    sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     alike = both * den >= (F.size("set_a") + F.size("set_b") - both) * num
@@ -127,12 +126,22 @@ def meetings(held: DataFrame, dealt: DataFrame, num: int, den: int, prefixes: bo
     return across.unionByName(within)
 
 
-def _group_links(held: DataFrame, sets: DataFrame, stars: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
+def _sharing(held: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(g, id, label) of the ids that share enough keys with others of their own group."""
+    keyed = held.select("key", "id").join(dealt.select("id", "g", "need", "label").hint("merge"), "id")
+    common = keyed.groupBy("g", "key").agg(F.count("*").alias("ids"), F.min("need").alias("least")).where("ids > 1").select("g", "key", "least")
+    own = keyed.join(common.hint("merge"), ["g", "key"]).groupBy("g", "id", "label").agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    return own.where("n >= least").select("g", "id", "label")
+
+
+def _group_links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], stars: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
     dealt = written(_dealt(_labels(held, stars), num, den), "dealt")
     pairs = written(meetings(held, dealt, num, den, prefixes), "meetings")
-    asked = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("g"))
-    members = dealt.select("g", "id", "label").join(sets.hint("merge"), "id")
-    opened = asked.join(members.hint("merge"), "g").repartition("x", "y").sortWithinPartitions("x", "y", "g", "id")
+    across = pairs.where("x <> y").select("x", "y", F.explode(F.array("x", "y")).alias("g")).join(dealt.select("g", "id", "label").hint("merge"), "g")
+    within = pairs.where("x = y").select("x", "y", F.col("x").alias("g")).join(_sharing(held, dealt).hint("merge"), "g")
+    asked = written(across.unionByName(within), "asked")
+    sets = sets_of(asked.select("id").distinct())
+    opened = asked.join(sets.hint("merge"), "id").repartition("x", "y").sortWithinPartitions("x", "y", "g", "id")
     found = opened.select("x", "y", "g", "id", "label", "set").mapInArrow(partial(_open, num=num, den=den), "a long, b long")
     return written(found, "links")
 
