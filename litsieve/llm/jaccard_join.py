@@ -34,7 +34,7 @@ from .common import only_ids, slices, written
 from .linking import link
 from .shingles import shingles, word_hashes
 
-COUNTERS, BLOCKS, NEED = 1 << 20, 64, 4
+COUNTERS, BLOCKS, NEED = 1 << 20, 64, 6
 SETS = "doc_id long, place long, n long, node long, keys array<long>"
 
 

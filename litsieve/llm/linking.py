@@ -50,15 +50,17 @@ def _more(n: Column, m: Column, num: int, den: int) -> Column:
 
 def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool) -> DataFrame:
     """(id, component) of the ids that are linked with another. sets_of(ids) gives (id, set) of these ids, once each."""
-    met = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = keys.join(met.hint("merge"), "key").select("key", "id", F.col("n").cast("long").alias("n"), "need", "held")
-    shared = written(shared, "shared")
-    enough = shared.groupBy("id").agg(F.count("*").alias("degree"), F.max("need").alias("need"), F.max(F.struct("held", "key")).alias("most"))
-    enough = enough.where("degree >= need").select("id", "degree", F.col("most.key").alias("most"))
-    held = written(shared.drop("held").join(enough.hint("merge"), "id"), "held")
+    held = keys.select("key", "id", F.col("n").cast("long").alias("n"), "need")
+    for _ in range(2):  # the ids that go leave keys that only one holds
+        met = held.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+        shared = written(held.join(met.hint("merge"), "key").select("key", "id", "n", "need", "held"), "shared")
+        enough = shared.groupBy("id").agg(F.count("*").alias("degree"), F.max("need").alias("least"), F.max(F.struct("held", "key")).alias("most"))
+        enough = enough.where("degree >= least").select("id", "degree", F.col("most.key").alias("most"))
+        held = written(shared.join(enough.hint("merge"), "id").select("key", "id", "n", "need", "degree", "most"), "held")
+        dropped(shared)
     stars = _star_links(held, sets_of, num, den, prefixes)
     out = components(stars.unionByName(_group_links(held, sets_of, stars, num, den, prefixes)))
-    dropped(shared, held)
+    dropped(held)
     return out
 
 
@@ -101,7 +103,7 @@ def _dealt(labels: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def meetings(held: DataFrame, dealt: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
-    """(x, y), x <= y: the groups whose members can be alike and are not all connected. dealt: (id, n, need, label, band, g)."""
+    """(x, y, x_size, y_size): the groups whose members can be alike and are not all connected. dealt: (id, n, need, label, band, g)."""
     groups = dealt.groupBy("g").agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("need").alias("need"),
         F.when(F.min("label") == F.max("label"), F.min("label")).alias("own"),
@@ -111,9 +113,9 @@ def meetings(held: DataFrame, dealt: DataFrame, num: int, den: int, prefixes: bo
     shared = unions.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
     unions = unions.join(shared.hint("merge"), "key")
     left = unions.select("key", "band", F.col("g").alias("x"))
-    right = unions.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("g").alias("y"))
-    pairs = left.join(right.hint("merge"), ["key", "band"]).where("x < y").groupBy("x", "y").agg(F.countDistinct("key").alias("shared"))
-    side = lambda s: groups.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") for c in ("least", "most", "need", "own")), F.col("g").alias(s))
+    right = unions.select("key", F.col("band").alias("low"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("g").alias("y"))
+    pairs = left.join(right.hint("merge"), ["key", "band"]).where("low < band or x < y").groupBy("x", "y").agg(F.countDistinct("key").alias("shared"))
+    side = lambda s: groups.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") for c in ("size", "least", "most", "need", "own")), F.col("g").alias(s))
     pairs = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
     apart = F.col("x_own").isNull() | F.col("y_own").isNull() | (F.col("x_own") != F.col("y_own"))
     near = (F.col("x_least") * num <= F.col("y_most") * den) & (F.col("y_least") * num <= F.col("x_most") * den)
@@ -121,8 +123,8 @@ def meetings(held: DataFrame, dealt: DataFrame, num: int, den: int, prefixes: bo
     if prefixes:  # least at the ends of the size ranges, less one for the two ceilings between
         ends = F.least(_more(F.col("x_least"), F.col("y_most"), num, den), _more(F.col("y_least"), F.col("x_most"), num, den))
         need = need + F.greatest(ends - 1, F.lit(0))
-    across = pairs.where(apart & near & (F.col("shared") >= need)).select("x", "y")
-    within = groups.where("own is null and size > 1").select(F.col("g").alias("x"), F.col("g").alias("y"))
+    across = pairs.where(apart & near & (F.col("shared") >= need)).select("x", "y", "x_size", "y_size")
+    within = groups.where("own is null and size > 1").select(F.col("g").alias("x"), F.col("g").alias("y"), F.col("size").alias("x_size"), F.col("size").alias("y_size"))
     return across.unionByName(within)
 
 
@@ -137,8 +139,12 @@ def _sharing(held: DataFrame, dealt: DataFrame) -> DataFrame:
 def _group_links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], stars: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
     dealt = written(_dealt(_labels(held, stars), num, den), "dealt")
     pairs = written(meetings(held, dealt, num, den, prefixes), "meetings")
-    across = pairs.where("x <> y").select("x", "y", F.explode(F.array("x", "y")).alias("g")).join(dealt.select("g", "id", "label").hint("merge"), "g")
-    within = pairs.where("x = y").select("x", "y", F.col("x").alias("g")).join(_sharing(held, dealt).hint("merge"), "g")
+    larger = F.struct("x_size", "x") >= F.struct(F.col("y_size").alias("x_size"), F.col("y").alias("x"))
+    met = pairs.where("x <> y").select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("g"), F.least("x_size", "y_size").alias("size"))
+    blocks = met.groupBy("x").agg(F.ceil(F.sum("size") / GROUP).alias("blocks"))  # small groups meet a larger one together
+    met = written(met.join(blocks.hint("merge"), "x").select("x", F.pmod(F.xxhash64("g"), "blocks").alias("y"), "g"), "met")
+    across = met.unionByName(met.select("x", "y", F.col("x").alias("g")).distinct()).join(dealt.select("g", "id", "label").hint("merge"), "g")
+    within = pairs.where("x = y").select("x", F.lit(-1).cast("long").alias("y"), F.col("x").alias("g")).join(_sharing(held, dealt).hint("merge"), "g")
     asked = written(across.unionByName(within), "asked")
     sets = sets_of(asked.select("id").distinct())
     opened = asked.join(sets.hint("merge"), "id").repartition("x", "y").sortWithinPartitions("x", "y", "g", "id")
@@ -147,21 +153,20 @@ def _group_links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sta
 
 
 def _open(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows of pairs of groups (x, y) in a run -> links that span what is alike in them."""
-    x = y = None
-    sides: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    """Rows of a group x and a block y of groups that meet it (-1: itself), in a run -> links that span what is alike in them."""
+    at, group, others = None, [], []
     for batch in batches:
         found: list[tuple[int, int]] = []
         values, bounds = batch.column("set").values.to_numpy(), batch.column("set").offsets.to_numpy()
         columns = [batch.column(c).to_pylist() for c in ("x", "y", "g", "id", "label")]
-        for i, (p, q, g, one, label) in enumerate(zip(*columns, strict=True)):
-            if (p, q) != (x, y):
-                found += _matched(sides, x, y, num, den)
-                x, y, sides = p, q, {}
-            sides.setdefault(g, []).append((one, label, values[bounds[i] : bounds[i + 1]]))
+        for i, (x, y, g, one, label) in enumerate(zip(*columns, strict=True)):
+            if (x, y) != at:
+                found += _matched(group, others if at and at[1] >= 0 else None, num, den)
+                at, group, others = (x, y), [], []
+            (group if g == x else others).append((one, label, values[bounds[i] : bounds[i + 1]]))
         if found:
             yield _rows(found)
-    if found := _matched(sides, x, y, num, den):
+    if found := _matched(group, others if at and at[1] >= 0 else None, num, den):
         yield _rows(found)
 
 
@@ -169,11 +174,11 @@ def _rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
-def _matched(sides: dict, x: int | None, y: int | None, num: int, den: int) -> list[tuple[int, int]]:
-    if x not in sides or y not in sides:
-        return []
-    left, right = sides[x], sides[y]
-    if x != y:
+def _matched(left: list, right: list | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links among left (id, label, set) where right is None, else between the two."""
+    if right is None:
+        right = left
+    else:
         left, right = _bounded(left, right, num, den), _bounded(right, left, num, den)
     if not left or not right:
         return []
@@ -202,10 +207,9 @@ def _matched(sides: dict, x: int | None, y: int | None, num: int, den: int) -> l
 
 def _bounded(queries: list, group: list, num: int, den: int) -> list:
     """The queries whose overlap with the group's token union lets them be alike to a member."""
-    if len(group) == 1:
-        union = group[0][2]
-    else:
-        union = np.unique(np.concatenate([s for _, _, s in group]))
+    if not group:
+        return []
+    union = group[0][2] if len(group) == 1 else np.unique(np.concatenate([s for _, _, s in group]))
     return [q for q in queries if np.isin(q[2], union).sum() * den >= len(q[2]) * num]
 
 
