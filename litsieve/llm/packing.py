@@ -7,8 +7,10 @@ squared fills, so the search ends; bins that come out empty are gone. The underf
 groups of the same size, so into fewer as they get fewer, until one group of at most four times that size holds them or
 a round no longer lessens them.
 
-Defined cases: a null text is empty and gives one piece with the end id alone; repeated rows are packed each; an empty
-table gives no rows; extra columns are ignored (their names do not clash, as only id and text are read).
+Defined cases: a null text is empty and gives one piece with the end id alone; a null doc_id is kept as it is; repeated
+rows are packed each; pieces of equal length are packed in the order of their rows; a text of any length is tokenised
+whole and cut into full pieces after a first that takes the rest; an empty table gives no rows; of documents only id and
+text are read; pack() carries columns of any name, but replaces sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -184,6 +186,8 @@ def _pack_group(key: tuple, rows: pd.DataFrame, capacity: int, level: int) -> pd
 
 def pack(items: DataFrame, capacity: int = 2048, group_items: int = 20_000) -> DataFrame:
     """items (row_id, length, any more columns) with sequence_id and offset added. No length may exceed capacity."""
+    more = [c for c in items.columns if c not in ("row_id", "length", "sequence_id", "offset")]
+    items = items.select("row_id", "length", *(F.col(c).alias(f"more{i}") for i, c in enumerate(more)))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, sequence_id long, offset long, fill long"
     blank = {"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "fill": F.lit(capacity).cast("long")}
     full = items.where(F.col("length") == capacity).withColumns(blank).withColumn("sequence_id", F.lit(1 << 62).bitwiseOR(F.col("row_id")))
@@ -203,7 +207,7 @@ def pack(items: DataFrame, capacity: int = 2048, group_items: int = 20_000) -> D
     total = out[0]
     for x in out[1:]:
         total = total.unionByName(x)
-    return total.drop("fill")
+    return total.select("row_id", "length", *(F.col(f"more{i}").alias(c) for i, c in enumerate(more)), "sequence_id", "offset")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

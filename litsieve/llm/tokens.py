@@ -3,8 +3,8 @@
 A cut at a single space or line end between other characters is a cut between pre-tokens for byte-level and word-end
 vocabularies, so the ids of a text are those of its chunks in a row. Chunks recur, so each is encoded once per worker
 as long as the cache has room. The cache is a sorted array of 64-bit chunk hashes beside a pool of ids, so a batch is
-looked up and put together without a Python object for each word. Texts with runs of white space, or other white space,
-are encoded whole.
+looked up and put together without a Python object for each word. Texts with runs of white space, with other white space,
+or with one of the vocabulary's added tokens are encoded whole, as the library gives them.
 """
 
 from __future__ import annotations
@@ -37,13 +37,21 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs = {t[0] for t in self.added}
         line = self._whole(["a\nb"])[0]
         self.line_end = self._whole(["\n"])[0].tobytes() if len(line) == 3 else b""  # kept by one vocabulary, dropped by the other
         self.between = "\n" if self.line_end else " \x01 "
         self.mark = int(self._whole(["\n" if self.line_end else "\x01"])[0][0])
         self.cache, self.recent = _Chunks(), _Chunks()
 
+    def _marked(self, text: str) -> bool:
+        """Whether a text may hold one of the vocabulary's added tokens, which no chunk may cut."""
+        if not any(c in text for c in self.signs):
+            return False
+        lower = text.lower()
+        return any(t in lower for t in self.added)
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -76,7 +84,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        plain = ["" if not t or _odd(t) else t for t in texts]
+        plain = ["" if not t or _odd(t) or self._marked(t) else t for t in texts]
         hashes, text, start, stop = word_hashes(plain, lower=False)
         out = [b""] * len(texts)
         if len(hashes):
