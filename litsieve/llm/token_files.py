@@ -14,8 +14,10 @@ offset, counts and the table of documents, so a reader decodes any block alone a
 Files are written by the tasks to a folder all executors share; a manifest, written by Spark's own commit, names those
 of the attempts that succeeded. Only these are read.
 
-Defined cases: a null text is empty and has the end id alone; a null doc_id comes first; repeated rows are repeated
-documents; an empty table gives no files and no rows; extra columns are ignored.
+Defined cases: a null text is empty and has the end id alone; a null doc_id comes first; rows that share a doc_id, or
+have none, go by the crc32 of their text, then its length; repeated rows are repeated documents; a text of any length
+is encoded whole and spans as many blocks as it needs; an empty table gives no files and no rows; extra columns of any
+name are ignored.
 """
 
 from __future__ import annotations
@@ -219,8 +221,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, file_ids: int
     """Writes docs (doc_id, text) as token files in ascending doc_id order; returns the manifest in that order's keys."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = read.repartitionByRange(shuffles(spark), "doc_id").sortWithinPartitions("doc_id")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = ["doc_id", "crc", "size"]  # so that rows of one id, or of none, are split too
+    read = read.withColumns({"crc": F.crc32(F.col("text").cast("binary")), "size": F.char_length("text")})
+    ordered = read.repartitionByRange(shuffles(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(ordered.mapInArrow(partial(_write, folder=folder, path=path, end_id=end_id, file_ids=file_ids), MANIFEST), "manifest")
 
 
