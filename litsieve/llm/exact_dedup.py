@@ -6,8 +6,12 @@ bucket: a filter miss proves a digest new; a hit is verified against the bucket'
 rebuilt at twice the size from the stored keys. A bucket's size is bounded by the number of *distinct* digests,
 because equal texts are summed up before they are dealt; `salts` splits a hot digest during that sum.
 
-Defined cases: a null text counts as empty; a null id never wins over a number; repeated rows are rows of their
-group; empty input gives empty output; extra columns are ignored.
+Texts that make up more than a share of 1 / HOT_SHARE of the rows, fewer than HOT_SHARE then, meet their rows without a
+shuffle; all others are joined by digest.
+
+Defined cases: a null text counts as empty; a null id never wins over a number, and where all ids of a text are null
+every row of it carries kept = true; repeated rows are rows of their group; a text of any length is one digest; empty
+input gives empty output; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffles, text_or_empty, written
 
-SLOTS, KICKS = 4, 200
+SLOTS, KICKS, HOT_SHARE = 4, 200, 1000
 INDEX = "bucket int, digest string, keep_id long, group_size long, slots binary"
 
 
@@ -101,7 +105,7 @@ class CuckooFilter:
                     break
 
 
-def _words(digests: pd.Series) -> np.ndarray:
+def _words(digests) -> np.ndarray:
     """The 64 bits of a hex digest that follow those which chose the bucket."""
     return np.array([int(d[8:24], 16) for d in digests], dtype=np.uint64)
 
@@ -124,19 +128,49 @@ def _returned(bucket: int, filled: CuckooFilter, keys: pd.DataFrame) -> pd.DataF
     return pd.concat([rows, pd.DataFrame({"bucket": [bucket], "slots": [filled.dumps()]})])[["bucket", "digest", "keep_id", "group_size", "slots"]].astype({"keep_id": "Int64", "group_size": "Int64"})
 
 
+class Bucket:
+    """The live digests of one bucket behind their filter. `verified` counts the lookups of stored content."""
+
+    def __init__(self, stored: pd.DataFrame):
+        self.filled, kept = _state(stored)
+        self.live = {d: (i, n) for d, i, n in zip(kept.digest, kept.keep_id, kept.group_size, strict=True)}
+        self.verified = 0
+
+    def insert(self, more: pd.DataFrame) -> None:
+        """more: digest, keep_id, group_size. A miss is new and goes in without a lookup; only a hit is verified."""
+        words = _words(more.digest)
+        rows = list(zip(more.digest, more.keep_id, more.group_size, strict=True))
+        for at in range(0, len(rows), 4096):
+            waiting: dict[str, tuple] = {}
+            for hit, (digest, keep, size) in zip(self.filled.contains(words[at : at + 4096]), rows[at : at + 4096], strict=True):
+                known = waiting.get(digest)  # of this batch, not in the filter yet
+                if known is None and hit:
+                    self.verified += 1
+                    known = self.live.get(digest)
+                    if known is not None:
+                        self.live[digest] = _joined(known, keep, size)
+                        continue
+                waiting[digest] = (keep, size) if known is None else _joined(known, keep, size)
+            self.live.update(waiting)
+            if waiting and not self.filled.insert(_words(list(waiting))):
+                self.filled = _rebuilt(pd.Series(list(self.live)), 2 * len(self.live))
+
+    def rows(self, bucket: int) -> pd.DataFrame:
+        digests, values = list(self.live), list(self.live.values())
+        keys = pd.DataFrame({"digest": digests, "keep_id": pd.array([v[0] for v in values], dtype="Int64"), "group_size": [v[1] for v in values]})
+        return _returned(bucket, self.filled, keys)
+
+
+def _joined(known: tuple, keep: int | None, size: int) -> tuple:
+    """The larger id stays live; a missing one never does beside a number."""
+    ids = [i for i in (known[0], keep) if not pd.isna(i)]
+    return (max(ids) if ids else None, known[1] + size)
+
+
 def _insert_bucket(bucket: int, stored: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-    """more: digest, keep_id, group_size; a digest can come several times. The larger id stays live."""
-    filled, keys = _state(stored)
-    for part in np.array_split(np.arange(len(more)), max(1, len(more) // 8192)):
-        batch = more.iloc[part]
-        hits = filled.contains(_words(batch.digest))
-        live = set(keys.digest)
-        known = np.array([h and d in live for h, d in zip(hits, batch.digest, strict=True)], dtype=bool)  # verified against the bucket's content
-        new = batch[~known].digest.drop_duplicates()
-        keys = pd.concat([keys[["digest", "keep_id", "group_size"]], batch[["digest", "keep_id", "group_size"]]]).groupby("digest", sort=False, as_index=False).agg({"keep_id": "max", "group_size": "sum"})
-        if not filled.insert(_words(new)):
-            filled = _rebuilt(keys.digest, 2 * len(keys))
-    return _returned(bucket, filled, keys)
+    held = Bucket(stored)
+    held.insert(more)
+    return held.rows(bucket)
 
 
 def _delete_bucket(bucket: int, stored: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
@@ -206,5 +240,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     buckets = max(shuffles(spark), rows.count() // bucket_rows + 1)
     salted = rows.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     index = written(fresh_index(salted, buckets), "cuckoo")
-    live = index.where("digest is not null").select("digest", "keep_id", "group_size").hint("merge")
-    return rows.join(live, "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256"))
+    live = index.where("digest is not null").select("digest", "keep_id", "group_size")
+    hot = F.broadcast(live.where(F.col("group_size") * HOT_SHARE > rows.count()))  # fewer than HOT_SHARE rows, whatever the input
+    rest = rows.join(hot.select("digest"), "digest", "left_anti").join(live.hint("merge"), "digest")
+    joined = rows.join(hot, "digest").unionByName(rest)
+    return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256"))
