@@ -28,7 +28,7 @@ def docs(spark, texts, ids=None):
 
 
 def test_best_fit_packing(spark):
-    texts = [None, "", prose(1, 40), prose(2, 3000), *(prose(i, 10 + 37 * i % 400) for i in range(60)), prose(2, 3000)]
+    texts = [None, "", prose(1, 40) + "<|endoftext|>x", prose(2, 3000), *(prose(i, 10 + 37 * i % 400) for i in range(60)), prose(2, 3000)]
     made = packing.tokenize_pieces(docs(spark, texts, ids=[7, 7, *range(10, 10 + len(texts) - 2)]), queries.tokenizer_path("byte_bpe_50k.json"))
     pieces = made.toPandas()
     from tokenizers import Tokenizer
@@ -51,6 +51,30 @@ def test_best_fit_packing(spark):
     assert packing.pack(packing.tokenize_pieces(docs(spark, [])[["doc_id", "text"]], queries.tokenizer_path("byte_bpe_50k.json")).drop("ids")).count() == 0
 
 
+def test_packing_against_the_optimum(spark):
+    """Small sets: never more than one sequence above the least number that brute force finds."""
+    def least(sizes, bins):
+        if not sizes:
+            return len(bins)
+        tried, out = set(), len(bins) + len(sizes)
+        for i, b in enumerate(bins):
+            if b + sizes[0] <= 20 and b not in tried:
+                tried.add(b)
+                out = min(out, least(sizes[1:], [*bins[:i], b + sizes[0], *bins[i + 1 :]]))
+        return min(out, least(sizes[1:], [*bins, sizes[0]]))
+
+    rng, above = random.Random(2), 0
+    for _ in range(40):
+        sizes = sorted((rng.randrange(2, 13) for _ in range(9)), reverse=True)
+        got = len(packing.improve(packing.best_fit(sizes, 20), 20))
+        above += got - least(sizes, [])
+        assert got <= least(sizes, []) + 1
+    assert above <= 2
+    odd = spark.range(30).selectExpr("id as row_id", "id % 7 + 1L as length", "1 as g", "2 as fill", "'s' as sequence_id", "3 as level")
+    placed = packing.pack(odd, capacity=10)
+    assert placed.columns == ["row_id", "length", "g", "fill", "level", "sequence_id", "offset"] and placed.where("fill = 2 and g = 1").count() == 30
+
+
 def test_packing_groups_stay_bounded(spark):
     items = spark.range(3000).selectExpr("id as row_id", "1000L as length")
     placed = packing.pack(items, group_items=300).toPandas()
@@ -77,7 +101,7 @@ def test_simple_8b_round_trips():
 
 
 def test_token_files(spark):
-    texts = [None, "", "a  b\t c", "Hello WORLD", prose(3, 2000), *(prose(i, 200) for i in range(30))]
+    texts = [None, "", "a  b\t c", "Hello WORLD", "x<|endoftext|> y", prose(3, 2000), *(prose(i, 200) for i in range(30))]
     manifest = token_files.write_token_files(docs(spark, texts, ids=list(range(len(texts)))[::-1]), queries.tokenizer_path("word_bpe_49k.json"), file_ids=3000)
     got = token_files.read_token_files(manifest).toPandas().sort_values("doc_id")
     from tokenizers import Tokenizer
@@ -87,6 +111,12 @@ def test_token_files(spark):
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    tied = docs(spark, ["b", "a b c", "a", "a", None], ids=[3, 3, 3, None, None])
+    got = token_files.read_token_files(token_files.write_token_files(tied, queries.tokenizer_path("word_bpe_49k.json"))).toPandas().sort_values("start")
+    assert got.doc_id.isna().tolist() == [True, True, False, False, False]
+    assert got.start.tolist() == np.cumsum([0, *got.n_tokens.tolist()[:-1]]).tolist()
+    order = sorted(["b", "a b c", "a"], key=lambda t: zlib.crc32(t.encode()))
+    assert got.n_tokens.tolist()[2:] == [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in order]
     assert token_files.read_token_files(token_files.write_token_files(docs(spark, []), queries.tokenizer_path("word_bpe_49k.json"))).count() == 0
 
 
@@ -178,7 +208,7 @@ def test_group_bound_is_lossless(spark):
     dealt = [(1, 100, 4, 1, 0, 10), (2, 109, 4, 2, 0, 20), (3, 110, 4, 3, 0, 20), (4, 100, 4, 4, 0, 20)]
     dealt = spark.createDataFrame(dealt, "id long, n long, need int, label long, band long, g long")
     held = spark.createDataFrame([(k, i) for k in range(4) for i in (1, 2)], "key long, id long")
-    assert (10, 20) in {(r["x"], r["y"]) for r in linking.meetings(held, dealt, 90, 100, True).collect()}
+    assert (10, 20) in {(min(r["x"], r["y"]), max(r["x"], r["y"])) for r in linking.meetings(held, dealt, 90, 100, True).collect()}
 
 
 def test_group_task_finds_what_is_alike():
@@ -189,7 +219,7 @@ def test_group_task_finds_what_is_alike():
     left, right = side(30, 0), side(25, 100)
     got = linking._overlaps([s for *_, s in left], [s for *_, s in right])
     assert got.tolist() == [[len(set(a) & set(b)) for *_, b in right] for *_, a in left]
-    links = linking._matched({1: left, 2: right}, 1, 2, 90, 100)
+    links = linking._matched(left, right, 90, 100)
     assert len(links) < len(left) + len(right)
     joined = {frozenset((a, b)) for a, _, x in left for b, _, y in right if 100 * len(set(x) & set(y)) >= 90 * len(set(x) | set(y))}
     top = {i: i for i, *_ in left + right}
@@ -255,9 +285,37 @@ def test_url_filter(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, "http://a.org/x", "h")], "page_id long, url string, host string")
     got = [(r["rule"], r["verdict"]) for r in url_filter.judge(pages).orderBy("page_id").collect()]
     assert got == [("org/", "allow"), *urls.values()]
+    more = [url_filter.site_rule("block", f"h{i}.example.net", f"/p{i}/") for i in range(700)]  # beyond the inline list
+    wide = pages.union(spark.createDataFrame([(99, "http://x.h699.example.net/p699/?a", "h")], pages.schema))
+    rules = url_filter.SITE_RULES + url_filter.WORD_RULES + more
+    tables = [sorted(map(str, url_filter.judge(wide, rules, inline=n).collect())) for n in (500, 10_000)]
+    assert tables[0] == tables[1] and any("h699.example.net/p699/" in r for r in tables[0])
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+def test_exact_dedup_filter_gates_lookups():
+    """Stored content is read for hits only; misses go in without a lookup, and a full filter grows from the stored keys."""
+    import pandas as pd
+
+    digest = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    frame = lambda d, ids: pd.DataFrame({"digest": d, "keep_id": pd.array(ids, dtype="Int64"), "group_size": 1})
+    held = exact_dedup.Bucket(pd.DataFrame({"digest": [], "keep_id": [], "group_size": [], "slots": []}))
+    held.insert(frame(digest, range(3000)))
+    assert len(held.live) == 3000 and held.verified < 30  # false positives of the filter only
+    before = held.verified
+    held.insert(frame(digest[:500] * 2, [None] * 500 + list(range(9000, 9500))))
+    assert held.verified - before == 500 * 2 and held.live[digest[7]] == (9007, 3)
+    held.filled.contains = lambda keys: np.zeros(len(keys), dtype=bool)  # were the filter bypassed, this would change nothing
+    held.insert(frame(digest[:1], [1]))
+    assert held.live[digest[0]] == (1, 1)
+
+
+def test_exact_dedup_hot_text(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else concat('t', id) end as text", "'x' as digest")
+    got = exact_dedup.classes(rows, salts=2)
+    assert got.count() == 5000 and got.where("kept").count() == 3334 and got.where("keep_id = 4998 and group_size = 1667").count() == 1667
+
+
 def test_substring_dedup(spark):
     passage = prose(99, 60)
     line = prose(98, 70)
@@ -360,6 +418,9 @@ def test_decontaminate(spark):
     assert set(got) == {(0, 0), (1, 1), (2, 2), (2, 3)} and got[0, 0]["edits"] == 0 and 0 < got[1, 1]["edits"] <= 3
     r = got[0, 0]
     assert decontaminate.normal(texts[0][r["start"] : r["stop"]]) == decontaminate.normal(items[0])
+    short = spark.createDataFrame([(1, "Paris is"), (2, "What is 2?"), (3, "a"), (4, " ")], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, ["so paris  IS, there", "parish is", "xwhat is 2?", "(what is 2?)"], ids=[0, 1, 2, None]), short)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 1), (None, 2), (2, 2)}
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, texts), bench.where("false")).count() == 0
 
 
@@ -378,3 +439,28 @@ def test_banded_alignment_against_full_table():
         run = decontaminate.align(np.array(item, dtype=np.uint64), np.array(text, dtype=np.uint64), 12)
         assert run[0] == best
         assert decontaminate.align(np.array(item, dtype=np.uint64), np.array(text, dtype=np.uint64), best - 1) is None
+        low, high = rng.randrange(-4, 4), rng.randrange(4, 12)  # a band: paths that leave it don't count
+        far = [[10**6] * 21 for _ in range(13)]
+        far[0] = [0 if low <= j <= high else 10**6 for j in range(21)]
+        for i, a in enumerate(item):
+            for j in range(21):
+                if low <= j - i - 1 <= high:
+                    far[i + 1][j] = min(far[i][j] + 1 if j - i <= high else 10**6, far[i + 1][j - 1] + 1 if j else 10**6, far[i][j - 1] + (a != text[j - 1]) if j else 10**6)
+        run = decontaminate.align(np.array(item, dtype=np.uint64), np.array(text, dtype=np.uint64), 12, low, high)
+        assert run and run[0] == min(far[-1])
+
+
+def test_decontamination_regions_lose_nothing():
+    """Every window within the edit budget is in a region that meets the bound, by brute force over random edits."""
+    rng = random.Random(8)
+    for _ in range(40):
+        text = prose(rng.randrange(10**6), 25).lower().replace(".", "")
+        items = decontaminate.Items(10, 0.08)
+        items.add(1, text)
+        items.index()
+        edited = list(text)
+        for _ in range(items.edits[0]):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice([[], ["#"], ["#", edited[at]]])
+        doc = decontaminate.codes(prose(rng.randrange(10**6), 30).lower() + " " + "".join(edited) + " " + prose(5, 10))
+        assert decontaminate._found(items, doc, items.regions(doc))
