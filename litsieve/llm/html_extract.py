@@ -1,21 +1,32 @@
 """Main text of web pages by consensus host paths.
 
-Every page's containers are scored by the text they hold outside links and boilerplate; each page casts one vote,
-shared out by score over the generalised tag-class paths of its containers. Spark sums the votes by host and path; the
-winning path of a host is then used to extract each of its pages again. A page that has no container of its host's path
-is extracted by its own best one.
-
-The winning paths are one row per host. Up to `most_hosts` of them go to the tasks as a table; beyond that the pages
-are joined with them instead, with hosts salted, as one host can hold a third of all pages.
+Every page's containers are scored by the text they hold outside links; each page casts one vote, shared out by score
+over the generalised tag-class paths of its containers (a path is a running hash, so deep nesting costs no long names).
+Spark sums the votes by host and path; the winning path of a host is then used to extract each of its pages again. A page
+that has no container of its host's path is extracted by its own best one.
+
+What is inside the winning path and not the article is left to the host as well. A path whose text repeats over the
+host's pages is left out, where the winner's own text does not repeat. A class, id or role that names such things
+(PARTS) only makes a path suspect: each page votes to leave it out if it holds less than a share of the page's text
+(MOST_WHOLE for a name that is such a word, MOST_PART for one that has it as a part), and the host's majority decides.
+So an article in `main has-sidebar` stays, and `ad` goes. Only what HTML itself declares is left out by its tag or
+attribute: navigation, footers, asides, forms, scripts, styles, `hidden` and its like.
+
+The decisions are one row per host. Up to `most_hosts` of them, with as many paths each as `most_paths` allows in all, go
+to the tasks as a table; beyond that the pages are joined with them, with hosts salted, as one host can hold a third of
+all pages.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; a null url has the empty host; repeated
-rows vote and are extracted each; an empty table gives no rows; extra columns are ignored.
+rows vote and are extracted each; of paths with equal votes the deeper wins, then the one of the larger hash; pages of
+any length and any nesting are read whole, in one pass; an empty table gives no rows; extra columns of any name are
+ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,64 +44,99 @@ DROPPED = frozenset("head nav footer aside form button select menu dialog iframe
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-ODD_WORDS = (
+PARTS = (
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments respond disqus share sharing social related recommended newsletter subscribe widget pagination pager"
 ).split()
+MOST_WHOLE, MOST_PART = 0.85, 0.5
+REPEATED = 3  # pages to each text of a path that repeats
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.I | re.S).finditer
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I).findall
-_ODD = re.compile(r"(?:^|[\s_-])(?:" + "|".join(ODD_WORDS) + r")(?:$|[\s_-])").search
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I).search
+_NAMED = frozenset(PARTS)
+_STYLED = re.compile(r"display\s*:\s*none", re.I).search
+_ATTRIBUTES = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""").findall
 _DIGITS = re.compile(r"\d+").sub
+_WORDS = re.compile(r"[a-z]+").findall
+
+
+def _hidden(attributes: str) -> bool:
+    for name, value in _ATTRIBUTES(attributes):
+        name = name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true" or name == "style" and _STYLED(value):
+            return True
+    return False
+
+
+def suspicion(names: str) -> float:
+    """The share of a page below which an element of these names is not its article; 0 if they say nothing."""
+    most = 0.0
+    for name in names.split():
+        if name in _NAMED:
+            return MOST_WHOLE
+        if not most and not _NAMED.isdisjoint(_WORDS(name)):
+            most = MOST_PART
+    return most
+
+
+class Node:
+    """A container, or an element of suspect names, with the text that stands in it directly."""
+
+    __slots__ = ("parent", "path", "depth", "most", "score", "chars", "digest")
+
+    def __init__(self, parent: int, path: int, depth: int, most: float):
+        self.parent, self.path, self.depth, self.most = parent, path, depth, most
+        self.score, self.chars, self.digest = 0.0, 0, 0
 
 
 class _Open:
-    """An open element that matters: a container, or one whose content is dropped."""
+    """An open element that matters: one that is a node, or whose content is left out."""
 
-    __slots__ = ("tag", "path", "drop", "score", "number", "headings")
+    __slots__ = ("tag", "node", "drop", "headings")
 
-    def __init__(self, tag: str, path: str, drop: bool, number: int, headings: bool = False):
-        self.tag, self.path, self.drop, self.score, self.number, self.headings = tag, path, drop, 0.0, number, headings
+    def __init__(self, tag: str, node: int | None, drop: bool = False, headings: bool = False):
+        self.tag, self.node, self.drop, self.headings = tag, node, drop, headings
 
 
 def _clean(parts: list[str]) -> str:
     return " ".join(html_lib.unescape("".join(parts)).split())
 
 
-def read_page(page: str | None) -> tuple[list[tuple[str, float]], list[tuple[tuple[str, ...], str]]]:
-    """The containers with their scores, and the blocks of kept text with the paths of the containers around them."""
+def _step(path: int, name: str) -> int:
+    """The running hash of a path, in 62 bits."""
+    return (path * 0x9E3779B97F4A7C15 + zlib.crc32(name.encode()) * 0xD1B54A32D192ED03 + 1 & 0xFFFFFFFFFFFFFFFF) >> 2
+
+
+def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
+    """The nodes, parents first, and the blocks of text with the number of the node each stands in."""
     page = page or ""
-    stack = [_Open("", "", False, 0)]
-    scored: list[tuple[str, float]] = []
-    blocks: list[tuple[tuple[str, ...], str]] = []
+    nodes, stack = [Node(-1, 0, 0, 0.0)], [_Open("", 0)]
+    open_nodes, open_tags = [0], {"": 1}
+    blocks: list[tuple[int, str]] = []
     parts: list[str] = []
-    links = link_chars = heading = 0
-    at = 0
+    links = link_chars = heading = at = 0
+    drops = plain_drops = 0  # open elements whose content is left out; those that let no heading through
 
     def flush() -> None:
         nonlocal parts, link_chars
         if parts:
-            text = _clean(parts)
-            if text:
-                top = next(x for x in reversed(stack) if x.path is not None)
-                blocks.append((tuple(x.path for x in stack if x.path is not None), text))
-                top.score += max(0, len(text) - 2 * link_chars)
+            if text := _clean(parts):
+                blocks.append((open_nodes[-1], text))
+                nodes[open_nodes[-1]].score += max(0, len(text) - 2 * link_chars)
             parts, link_chars = [], 0
 
     def close(upto: int) -> None:
+        nonlocal drops, plain_drops
         while len(stack) > upto:
             done = stack.pop()
-            if done.path is not None and not done.drop:
-                scored.append((done.path, done.score))
-                parent = next(x for x in reversed(stack) if x.path is not None)
-                parent.score += done.score / 2
-
-    def dropped() -> bool:
-        return any(x.drop and not (x.headings and heading) for x in stack)
+            open_tags[done.tag] -= 1
+            if done.node is not None:
+                open_nodes.pop()
+            drops -= done.drop
+            plain_drops -= done.drop and not done.headings
 
     def take(text: str) -> None:
         nonlocal link_chars
-        if text and not dropped():
+        if text and not plain_drops and (not drops or heading):
             parts.append(text)
             if links:
                 link_chars += len(text)
@@ -102,21 +148,20 @@ def read_page(page: str | None) -> tuple[list[tuple[str, float]], list[tuple[tup
         if not tag:
             continue
         if m[2]:
-            if tag in BLOCKS or any(x.tag == tag for x in stack):
+            if tag in BLOCKS or open_tags.get(tag):
                 flush()
             if tag == "a":
                 links = 0
             if tag in HEADINGS:
                 heading = 0
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if found:
-                close(found)
+            if open_tags.get(tag):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in BLOCKS or tag in DROPPED:
             flush()
             while len(stack) > 1 and stack[-1].tag in CLOSED_BY_BLOCK:
                 close(len(stack) - 1)
-        if tag == "body" and any(x.tag == "head" for x in stack):
+        if tag == "body" and open_tags.get("head"):
             close(next(i for i, x in enumerate(stack) if x.tag == "head"))
         if tag == "a":
             links = 1
@@ -125,78 +170,142 @@ def read_page(page: str | None) -> tuple[list[tuple[str, float]], list[tuple[tup
         if tag in VOID or m[4].endswith("/") and tag not in CONTAINERS:
             continue
         names = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES(m[4])} if m[4] else {}
-        odd = tag not in ("body", "html", "article", "main") and any(_ODD(v) for v in names.values()) or bool(m[4] and _HIDDEN(m[4]))
-        drop = tag in DROPPED or tag == "header" or odd
-        if tag in CONTAINERS:
+        most = 0.0 if tag in ("body", "html", "article", "main") or not names else suspicion(" ".join(names.values()))
+        drop = tag in DROPPED or tag == "header" or bool(m[4]) and _hidden(m[4])
+        node = None
+        if tag in CONTAINERS or most:
+            if tag not in CONTAINERS:
+                flush()
             named = _DIGITS("", (names.get("class") or "").split(" ")[0] or names.get("id") or "")
-            above = next(x for x in reversed(stack) if x.path is not None).path
-            stack.append(_Open(tag, f"{above}>{tag}" + (f".{named}" if named else ""), drop, len(stack)))
-        elif drop:
-            opened = _Open(tag, None, True, len(stack), tag == "header" and not odd)
-            stack.append(opened)
+            above = nodes[open_nodes[-1]]
+            node = len(nodes)
+            nodes.append(Node(open_nodes[-1], _step(above.path, f"{tag}.{named}"), above.depth + 1, most))
+            open_nodes.append(node)
+        if node is not None or drop:
+            stack.append(_Open(tag, node, drop, drop and tag == "header" and not _hidden(m[4])))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            drops += drop
+            plain_drops += drop and not stack[-1].headings
     take(page[at:])
     flush()
-    close(1)
-    scored.append(("", stack[0].score))
-    return scored, blocks
+    for i, text in blocks:
+        nodes[i].chars += len(text)
+        nodes[i].digest = nodes[i].digest * 31 + zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
+    for node in reversed(nodes[1:]):
+        above = nodes[node.parent]
+        above.chars += node.chars
+        above.digest = above.digest + node.digest * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF
+    return nodes, blocks
+
+
+def _left_out(nodes: list[Node], drops: frozenset, keeps: frozenset) -> list[bool]:
+    """Which nodes are left out, by the host's decisions, or by the page's own where it has none."""
+    out = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        if n.path in drops:
+            out[i] = True
+        elif n.most and n.path not in keeps:
+            out[i] = n.chars < n.most * nodes[0].chars
+        out[i] |= i > 0 and out[n.parent]
+    return out
+
+
+def votes(nodes: list[Node], out: list[bool]) -> dict[int, float]:
+    """Shares of one vote by path; a container counts its own text, and half of what its containers count."""
+    score = [0.0 if o else n.score for n, o in zip(nodes, out, strict=True)]
+    for i in range(len(nodes) - 1, 0, -1):
+        score[nodes[i].parent] += score[i] / 2
+    by_path: dict[int, float] = {}
+    for n, x in zip(nodes, score, strict=True):
+        if x > 0:
+            by_path[n.path] = max(by_path.get(n.path, 0.0), x)
+    total = sum(by_path.values())
+    return {p: x / total for p, x in by_path.items()}
 
 
-def votes(scored: list[tuple[str, float]]) -> dict[str, float]:
-    by_path: dict[str, float] = {}
-    for path, score in scored:
-        if score > 0:
-            by_path[path] = max(by_path.get(path, 0.0), score)
-    total = sum(by_path.values())
-    return {p: s / total for p, s in by_path.items()}
+def extract(page: str | None, path: int | None = None, drops: frozenset = frozenset(), keeps: frozenset = frozenset()) -> str:
+    nodes, blocks = read_page(page)
+    out = _left_out(nodes, drops, keeps)
 
+    def inside(path: int) -> list[str]:
+        held = [False] * len(nodes)
+        for i, n in enumerate(nodes):
+            held[i] = n.path == path or i > 0 and held[n.parent]
+        return [text for i, text in blocks if held[i] and not out[i]]
 
-def extract(page: str | None, path: str | None) -> str:
-    scored, blocks = read_page(page)
-    if path is None or not any(path in paths for paths, _ in blocks):
-        own = votes(scored)
-        if not own:
-            return ""
-        path = max(own, key=lambda p: (own[p], p))
-    return " ".join(text for paths, text in blocks if path in paths)
+    found = inside(path) if path is not None else []
+    if not found and (own := votes(nodes, out)):
+        depth = {n.path: n.depth for n in nodes}
+        found = inside(max(own, key=lambda p: (own[p], depth[p], p)))
+    return " ".join(found)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = frozenset()
     for batch in batches:
-        summed: dict[tuple[str, str], float] = {}
-        for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for path, share in votes(read_page(page)[0]).items():
-                summed[h, path] = summed.get((h, path), 0.0) + share
+        summed: dict[tuple, list] = {}
+        for part in slices(batch, "html"):
+            for h, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                nodes, _ = read_page(page)
+                out = _left_out(nodes, none, none)
+                shares = votes(nodes, out)
+                seen: dict[int, list] = {}
+                for n, o in zip(nodes, out, strict=True):
+                    if n.chars:
+                        x = seen.setdefault(n.path, [n.depth, 0, 0])
+                        x[1] = x[1] + n.digest & 0x7FFFFFFFFFFFFFFF
+                        if n.most:
+                            x[2] += 1 if n.chars < n.most * nodes[0].chars else -1
+                for path, (depth, digest, doubt) in seen.items():
+                    x = summed.setdefault((h, path, depth, digest), [0, 0.0, 0])
+                    x[0], x[1], x[2] = x[0] + 1, x[1] + shares.get(path, 0.0), x[2] + (doubt > 0) - (doubt < 0)
         if summed:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in summed]), pa.array([k[1] for k in summed]), pa.array(list(summed.values()))], ["host", "path", "share"])
+            keys, values = zip(*summed), zip(*summed.values())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in keys), *(pa.array(c) for c in values)], VOTES)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], paths) -> Iterator[pa.RecordBatch]:
+    none = (None, [], [])
     for batch in batches:
         for part in slices(batch, "html"):
             pages = part.column("html").to_pylist()
-            best = [paths.value.get(h) for h in part.column("host").to_pylist()] if paths else part.column("path").to_pylist()
-            texts = [extract(p, b) for p, b in zip(pages, best, strict=True)]
+            if paths:
+                best = [paths.value.get(h, none) for h in part.column("host").to_pylist()]
+            else:
+                best = list(zip(*(part.column(c).to_pylist() for c in ("path", "drops", "keeps")), strict=True))
+            texts = [extract(p, path, frozenset(drops or ()), frozenset(keeps or ())) for p, (path, drops, keeps) in zip(pages, best, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): the winning path of each host. pages: (host, html)."""
-    cast = pages.select("host", "html").mapInArrow(_vote, "host string, path string, share double")
-    summed = cast.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
-    best = summed.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best"))
-    return best.select("host", "best.path", "best.votes")
+VOTES = ["host", "path", "depth", "digest", "n", "share", "doubt"]
 
 
-def main_text(pages: DataFrame, most_hosts: int = 100_000, salts: int = 16) -> DataFrame:
+def host_paths(pages: DataFrame) -> DataFrame:
+    """(host, path, votes, drops, keeps): the winning path of each host, and the suspect or repeated ones with its decision. pages: (host, html)."""
+    cast = pages.select("host", "html").mapInArrow(_vote, "host string, path long, depth long, digest long, n long, share double, doubt long")
+    texts = cast.groupBy("host", "path", "digest").agg(F.max("depth").alias("depth"), F.sum("n").alias("n"), F.sum("share").alias("share"), F.sum("doubt").alias("doubt"))
+    paths = texts.groupBy("host", "path").agg(F.max("depth").alias("depth"), F.sum("n").alias("n"), F.count("*").alias("texts"), F.round(F.sum("share"), 6).alias("votes"), F.sum("doubt").alias("doubt"))
+    repeats = F.col("texts") * REPEATED <= F.col("n")
+    best = F.max(F.struct("votes", "depth", "path", repeats.alias("repeats"))).alias("best")
+    doubtful = (F.col("doubt") != 0) | repeats
+    seen = F.collect_list(F.when(doubtful, F.struct("path", "doubt", repeats.alias("repeats")))).alias("seen")
+    hosts = paths.groupBy("host").agg(best, seen)
+    gone = lambda x: (x["doubt"] > 0) | (x["repeats"] & ~F.col("best.repeats"))
+    of = lambda keep: F.array_sort(F.transform(F.filter("seen", lambda x: ~gone(x) & (x["doubt"] < 0) if keep else gone(x)), lambda x: x["path"]))
+    return hosts.select("host", "best.path", "best.votes", of(False).alias("drops"), of(True).alias("keeps"))
+
+
+def main_text(pages: DataFrame, most_hosts: int = 100_000, most_paths: int = 1_000_000, salts: int = 16) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text."""
     spark = pages.sparkSession
     read = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host(F.col("url")))
     winners = written(host_paths(read), "host_paths")
     schema = f"page_id {read.schema['page_id'].dataType.simpleString()}, url string, text string"
-    if winners.count() <= most_hosts:
-        table = spark.sparkContext.broadcast({r["host"]: r["path"] for r in winners.toLocalIterator()})
+    size = winners.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("drops") + F.size("keeps")), F.lit(0)).alias("paths")).first()
+    if size["hosts"] <= most_hosts and size["paths"] <= most_paths:
+        table = spark.sparkContext.broadcast({r["host"]: (r["path"], r["drops"], r["keeps"]) for r in winners.toLocalIterator()})
         return read.mapInArrow(partial(_extract, paths=table), schema)
-    spread = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spread = winners.select("host", "path", "drops", "keeps", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     joined = salted.join(spread.hint("merge"), ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(partial(_extract, paths=None), schema)
+    return joined.select("page_id", "url", "html", "path", "drops", "keeps").mapInArrow(partial(_extract, paths=None), schema)

@@ -130,6 +130,29 @@ def test_html_extract(spark):
     assert html_extract.main_text(pages.where("false")).count() == 0
 
 
+def test_html_names_are_no_veto(spark):
+    """Names only make an element suspect; the page's and the host's text decides."""
+    assert html_extract.extract('<div class="main has-sidebar"><p>article text here</div><footer>foot</footer>') == "article text here"
+    assert html_extract.extract('<div class="overflow-hidden"><p>article</div>') == "article"
+    assert html_extract.extract('<div class="social"><p>a whole article about it</div>') == "a whole article about it"
+    assert html_extract.extract('<p>the article is this one here<div class="ad">buy</div><div hidden>no</div><div style="display: none">no</div><div data-hidden="x">yes</div>') == "the article is this one here yes"
+    page = "<body><div class='c{0}'><p>{1}</p><div class='zz'>same on all pages of this host</div></div><div class='comments'>{2}</div></body>"
+    rows = [(i, f"http://h.net/{i}", page.format(i, prose(i, 30), prose(100 + i, 20))) for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: prose(i, 30) for i in range(7)}
+
+
+def test_html_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 5000 + "<p>low" + "</div>" * 5000 + "<p>x"
+    assert html_extract.extract(deep) == "low"
+    long = "<article>" + "".join(f"<p>{i}</p>" for i in range(200_000)) + "</article>"
+    assert html_extract.extract(long) == " ".join(map(str, range(200_000)))
+    assert time.time() - began < 20
+
+
 def test_toxicity(spark):
     texts = [prose(i, 60) + (" filthword slurry trashy" if i % 4 == 0 else "") for i in range(240)] + [None, ""]
     table = docs(spark, texts)
