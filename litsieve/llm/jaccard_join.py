@@ -35,7 +35,7 @@ from .linking import link
 from .shingles import shingles, word_hashes
 
 COUNTERS, BLOCKS, NEED = 1 << 20, 64, 6
-SETS = "doc_id long, place long, n long, node long, keys array<long>"
+SETS = "doc_id long, mark long, place long, n long, node long, keys array<long>"
 
 
 def _sets(part: pa.RecordBatch, k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, lower: bool, num: int,
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             place = (seen + np.arange(len(n_keys))) | task << 33
             seen += len(n_keys)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(place), pa.array(np.diff(bounds), pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "place", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(place), pa.array(np.diff(bounds), pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "mark", "place", "n", "node", "keys"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
@@ -115,12 +115,17 @@ def _tokens(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "set"])
 
 
+def text_mark(column: str):
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its component), and, to tell
+    rows of one doc_id apart, mark (text_mark) and component (a number of the component, null for empty sets)."""
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(read, k, lower))
-    made = written(read.mapInArrow(partial(_describe, k=k, lower=lower, num=num, den=den, levels=levels), SETS), "described")
+    made = written(read.withColumn("mark", text_mark("text")).mapInArrow(partial(_describe, k=k, lower=lower, num=num, den=den, levels=levels), SETS), "described")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
     equal = made.where("node is not null").groupBy("node").agg(first.alias("first"))
     equal = written(equal.select("node", "first.doc_id", F.col("first.place").alias("place")), "equal")
@@ -136,6 +141,6 @@ def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, lower: b
     found = link(keys, sets_of, num, den, prefixes=True).withColumnRenamed("id", "node")
     reached = equal.select("node", "doc_id").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = written(reached.select("node", "component").join(least.hint("merge"), "component").select("node", "component_id"), "named")
-    joined = made.select("doc_id", "n", "node").join(named.hint("merge"), "node", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(reached.select("node", "component").join(least.hint("merge"), "component").select("node", "component", "component_id"), "named")
+    joined = made.select("doc_id", "mark", "n", "node").join(named.hint("merge"), "node", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark", "component")
