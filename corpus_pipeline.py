@@ -2,7 +2,8 @@
 
 Stages other than the last return rows of documents with all their columns. Defined cases: rows with a null text are
 empty documents; rows that repeat another in doc_id and text are equal texts, of which exact dedup keeps one; null ids
-take part in every stage, where near dedup leaves them and decontamination treats them as one id; an empty table runs
+take part in every stage, where near dedup keeps them only if all of a component are null (then the least text mark),
+and decontamination treats them as one id; columns of documents may have any names; an empty table runs
 through to no rows.
 """
 
@@ -24,23 +25,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays. The join is on digest and id, so a hot text is spread."""
-    live = exact_dedup.classes(docs).where("kept").select(F.col("text_sha256").alias("_digest"), F.col("doc_id").alias("_id")).distinct()
-    marked = docs.withColumn("_digest", F.sha2(text_or_empty().cast("binary"), 256)).withColumn("_id", F.col("doc_id").cast("long"))
-    same = marked["_id"].eqNullSafe(live["_id"]) & (marked["_digest"] == live["_digest"])
-    return marked.join(live.hint("merge"), same, "left_semi").dropDuplicates(["_digest", "_id"]).select(*docs.columns)
+    live = exact_dedup.classes(docs).where("kept").select(F.col("text_sha256").alias("_live"), F.col("doc_id").alias("_of")).distinct()
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.sha2(text_or_empty().cast("binary"), 256).alias("_digest"), F.col("doc_id").cast("long").alias("_id"))
+    same = packed["_id"].eqNullSafe(live["_of"]) & (packed["_digest"] == live["_live"])
+    return packed.join(live.hint("merge"), same, "left_semi").dropDuplicates(["_digest", "_id"]).select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of documents with Jaccard >= 0.8 over five-word shingles, the one with the smallest doc_id stays."""
-    found = jaccard_join.classes(docs, k=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of a component of documents with Jaccard >= 0.8 over five-word shingles, the one with the smallest doc_id stays.
+
+    Rows are told apart by doc_id and text, so another text under the same doc_id has its own component.
+    """
+    found = jaccard_join.classes(docs, k=5, num=80, den=100).where("component is not null")
+    found = written(found.select("doc_id", "mark", "component").distinct(), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    stay = found.groupBy("component").agg(F.min(first).alias("stay"), F.count("*").alias("rows")).where("rows > 1")
+    gone = found.join(stay.hint("merge"), "component").where(~first.eqNullSafe(F.col("stay"))).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark"))
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), jaccard_join.text_mark("text").alias("_text"))
+    same = packed["_id"].eqNullSafe(gone["_gone"]) & (packed["_text"] == gone["_mark"])
+    return packed.join(gone.hint("merge"), same, "left_anti").select("_row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose doc_id holds a benchmark item go."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     leaks = written(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(leaks.hint("merge"), docs["doc_id"].eqNullSafe(leaks["_gone"]), "left_anti")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return packed.join(leaks.hint("merge"), packed["_id"].eqNullSafe(leaks["_gone"]), "left_anti").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
