@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .shingles import mix
 
 BLOCK_CHARS, BITS = 8 << 20, 22
@@ -228,6 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, share: floa
     """Runs of docs (doc_id, text) that hold an item of benchmark (item_id, text) with at most share * length edits:
     doc_id, item_id, start, stop (code points of the text), edits."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = chars // BLOCK_CHARS + 1

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 from .url_filter import host
 
 # Element kinds, and words in class, id or role that mark what isn't the article.
@@ -298,6 +298,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, most_hosts: int = 100_000, most_paths: int = 1_000_000, salts: int = 16) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text."""
     spark = pages.sparkSession
+    small_batches(spark)
     read = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host(F.col("url")))
     winners = written(host_paths(read), "host_paths")
     schema = f"page_id {read.schema['page_id'].dataType.simpleString()}, url string, text string"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_ids, slices, written
+from .common import only_ids, slices, small_batches, written
 from .linking import link
 from .shingles import shingles, word_hashes
 
@@ -123,6 +123,7 @@ def classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, lower: b
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its component), and, to tell
     rows of one doc_id apart, mark (text_mark) and component (a number of the component, null for empty sets)."""
     spark = docs.sparkSession
+    small_batches(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(read, k, lower))
     made = written(read.withColumn("mark", text_mark("text")).mapInArrow(partial(_describe, k=k, lower=lower, num=num, den=den, levels=levels), SETS), "described")

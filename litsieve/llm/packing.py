@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 from .tokens import encode_column
 
 LAST = 4
@@ -54,6 +54,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
 
 def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids, row_id), written to the shared folder; ids are little-endian uint32."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = read.mapInArrow(partial(_pieces, path=path, end_id=end_id, capacity=capacity), PIECES)
     return written(made.withColumn("row_id", F.monotonically_increasing_id()), "pieces")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only_ids, slices, written
+from .common import only_ids, slices, small_batches, written
 from .linking import link
 from .shingles import mix, runs, shingles, word_hashes
 
@@ -200,6 +200,7 @@ ORDER = "struct(doc_id is null as none, doc_id, start, row) as place"
 def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, line_words: int = 50, long_words: int = 300, passage_words: int = 45, recall: float = 0.9998) -> DataFrame:
     """Paragraphs of docs (doc_id, text) that repeat: doc_id, line, start, stop (code points), n_words, kind, component,
     members, keep_doc_id, keep_start, removed. line is null for passages, which can cross lines."""
+    small_batches(docs.sparkSession)
     bands, width = tune_bands(num / den, recall)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     describe = partial(_describe, k=k, line_words=line_words, long_words=long_words, passage_words=passage_words, bands=bands, width=width)

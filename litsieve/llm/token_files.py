@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffles, slices, written
+from .common import new_path, shuffles, slices, small_batches, written
 from .tokens import encode_column
 
 MAGIC, BLOCK, FILE_IDS = b"S8B1", 1 << 16, 1 << 25
@@ -220,6 +220,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
 def write_token_files(docs: DataFrame, path: str, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes docs (doc_id, text) as token files in ascending doc_id order; returns the manifest in that order's keys."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = new_path(spark, "tokens")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = ["doc_id", "crc", "size"]  # so that rows of one id, or of none, are split too

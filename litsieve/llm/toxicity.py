@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_ids, slices, written
+from .common import only_ids, slices, small_batches, written
 from .shingles import mix
 
 STEM, DISCOUNT, RARE, BLOCK = 5, 0.75, 4.0, 1 << 14
@@ -250,6 +250,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold
     With a threshold: the rows of docs with a score below it instead, with all their columns.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     taught = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     taught = taught.where(~held_out(F.col("doc_id")))
