@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.text import title_fingerprint, title_key
 from litsieve.operators.library import find_ids
+from litsieve.store import written
 
 FIRSTS = ["pmid", "pmcid", "doi", "journal", "source", "language"]
 
@@ -66,6 +67,7 @@ def numbered(df: DataFrame, order: str, after: int) -> DataFrame:
     """df with paper_id = after + 1, ... in the order's sequence, without one task for all: range parts, counts, then ranks."""
     spark = df.sparkSession
     parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id())
+    parts = written(parts, "numbered")  # one dealing for the counts and the rows
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
     place = F.row_number().over(Window.partitionBy("_p").orderBy(order))

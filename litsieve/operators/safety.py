@@ -5,29 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Credentials, as (name, before, value); the value is masked, what stands before it stays.
-VALUE = r"([A-Za-z0-9._\-+/]{8,}"
+# Credentials, as (name, before, sign of the value, what may end it); the value is masked, what stands before it stays.
+VALUE = r"[A-Za-z0-9\-._~+/]"
 SECRETS = [
     ("openai_key", r"(?<![A-Za-z0-9_-])()", r"(sk-[A-Za-z0-9_-]{8,})"),
     ("github_token", r"\b()", r"(ghp_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,})"),
-    ("bearer_token", r"(?i)\b(Bearer\s+)", VALUE + "=*)"),
-    ("authorization_header", r"(?i)\b(Authorization\s*:\s*(?:Bearer\s+|Basic\s+|Token\s+)?)", VALUE + "=*)"),
-    ("api_key_param", r"(?i)\b((?:api[_-]?key|apikey|access[_-]?token|auth[_-]?token|secret[_-]?key|client[_-]?secret|password|passwd|token)\b[\"']?\s*[:=]\s*[\"']?)", VALUE + ")"),
-    ("private_key_header", r"(-----BEGIN )", r"([A-Z0-9 ]*)(?=PRIVATE KEY-----)"),
+    ("bearer_token", r"(?i)\b(Bearer\s+)", "(" + VALUE + "{8,}=*)"),
+    ("authorization_header", r"(?i)\b(Authorization\s*:\s*(?:Bearer\s+|Basic\s+|Token\s+)?)", "(" + VALUE + "{8,}=*)"),
+    ("api_key_param", r"(?i)\b((?:api[_-]?key|apikey|access[_-]?token|auth[_-]?token|secret[_-]?key|client[_-]?secret|password|passwd|token)\b[\"']?\s*[:=]\s*[\"']?)", "(" + VALUE + "{8,})"),
+    ("private_key_header", r"(-----BEGIN )", r"([A-Z0-9 ]*)PRIVATE KEY-----"),
 ]
 PEM_BLOCK, PEM_MASK = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[已脱敏：私钥块]"
+# A literal of each pattern, lower-cased: where none is in a text, no expression is run on it.
+SIGNS = ["sk-", "ghp_", "github_pat_", "bearer", "authorization", "key", "token", "secret", "passw", "private key-----"]
+
+
+def has_sign(text: Column) -> Column:
+    lower = F.lower(text)
+    out = F.contains(lower, F.lit(SIGNS[0]))
+    for sign in SIGNS[1:]:
+        out = out | F.contains(lower, F.lit(sign))
+    return out
 
 
 def redact(text: Column) -> Column:
     """Credentials as their first four and last two characters around ***; values of at most six characters as ***."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), PEM_BLOCK, PEM_MASK)
-    for name, before, value in SECRETS[:5]:
-        out = F.regexp_replace(out, before + r"(?=" + value + r")(.{4}).*?(?<=(.{2}))(?![A-Za-z0-9._\-+/=])", "$1$3***$4") if name != "openai_key" else F.regexp_replace(out, r"(?<![A-Za-z0-9_-])(sk-[A-Za-z0-9_-])([A-Za-z0-9_-]{5,}?)([A-Za-z0-9_-]{2})(?![A-Za-z0-9_-])", "$1***$3")
-    return out
+    text = F.coalesce(text, F.lit(""))
+    word = "[A-Za-z0-9_-]"
+    out = F.regexp_replace(text, PEM_BLOCK, PEM_MASK)
+    # possessive runs take each value whole; the lookbehind then reads its last two signs
+    out = F.regexp_replace(out, rf"(?<!{word})(sk-[A-Za-z0-9_-])(?={word}{{7}}){word}*+(?<=(..))", "$1***$2")
+    out = F.regexp_replace(out, r"\b(ghp_)(?=[A-Za-z0-9]{16})[A-Za-z0-9]*+(?<=(..))", "$1***$2")
+    out = F.regexp_replace(out, r"\b(gith)(?=ub_pat_[A-Za-z0-9_]{20})\w*+(?<=(..))", "$1***$2")
+    for _, before, _ in SECRETS[2:4]:
+        out = F.regexp_replace(out, rf"{before}({VALUE}{{4}})(?={VALUE}{{4}}){VALUE}*+=*+(?<=(..))", "$1$2***$3")
+    out = F.regexp_replace(out, rf"{SECRETS[4][1]}({VALUE}{{4}})(?={VALUE}{{4}}){VALUE}*+(?<=(..))", "$1$2***$3")
+    out = F.regexp_replace(out, r"(-----BEGIN )[A-Z0-9 ]{1,6}(?=PRIVATE KEY-----)", "$1***")
+    out = F.regexp_replace(out, r"(-----BEGIN )([A-Z0-9 ]{4})[A-Z0-9 ]+([A-Z0-9 ]{2})(?=PRIVATE KEY-----)", "$1$2***$3")
+    return F.when(has_sign(text), out).otherwise(text)
 
 
 def secret_kinds(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(before + value)), F.lit(name)) for name, before, value in SECRETS]))
+    found = F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(before + value)), F.lit(name)) for name, before, value in SECRETS]))
+    return F.when(has_sign(text), found).otherwise(F.array().cast("array<string>"))
 
 
 def neutralize_brackets(text: Column) -> Column:

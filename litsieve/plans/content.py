@@ -16,9 +16,11 @@ def drafts(spark, d):
 
 
 def sources(spark, d):
-    """Sources 1 to 3 of every draft: the first three documents."""
-    held = table(spark, d, "documents").where("doc_id between 1 and 3").select(F.col("doc_id").alias("cite_id"), F.col("text").alias("source_text"))
-    return drafts(spark, d).select("draft_id").join(F.broadcast(held))  # three rows
+    """Sources 1 to 3 of every draft: the documents that the labels' order puts 1 to 3 places after it, so each text is a source of three drafts."""
+    labels = table(spark, d, "labels").select("doc_id").distinct()
+    cites = labels.select(F.col("doc_id").alias("draft_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("cite_id"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text"))
+    return cites.withColumn("source_id", F.col("draft_id") + F.col("cite_id")).join(texts.hint("merge"), "source_id").select("draft_id", "cite_id", "source_text")
 
 
 SENTENCES = """lines as (select draft_id, unnest(string_split(draft, chr(10))) as raw, generate_subscripts(string_split(draft, chr(10)), 1) - 1 as line from drafts_v),
@@ -38,7 +40,7 @@ def _(spark, d):
     return claims.coverage(drafts(spark, d))
 
 
-@query("clm_04_missing_sources", f"with {SENTENCES} select draft_id, line, md5(substr(s, 1, 400)) as digest from sent where list_contains(c, 4)", "drafts_v")
+@query("clm_04_missing_sources", f"with {SENTENCES} select draft_id, line, md5(substr(s, 1, 400)) as digest from sent where exists (select 1 from unnest(c) as t(x) where x not between 1 and 3 or draft_id + x not in (select doc_id from documents))", "drafts_v")
 def _(spark, d):
     held = claims.with_sources(claims.claims(drafts(spark, d)), sources(spark, d))
     return held.where(F.size("missing") > 0).select("draft_id", "line", F.md5(F.col("claim").cast("binary")).alias("digest"))
@@ -86,10 +88,26 @@ def _(spark, d):
     return claims.merge_tiers(own, judged).select(F.col("claim_id").alias("doc_id"), "verdict")
 
 
-@query("saf_02_redact")
+def saf_02_sql() -> str:
+    """RE2 has neither lookarounds nor possessive runs: a value that ends in no, one or more = is masked by a replacement each."""
+    v, replaces = safety.VALUE, [(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", safety.PEM_MASK)]
+    replaces += [(r"(^|[^A-Za-z0-9_-])(sk-[A-Za-z0-9_-])[A-Za-z0-9_-]{5,}([A-Za-z0-9_-]{2})", r"\1\2***\3"), (r"\b(ghp_)[A-Za-z0-9]{14,}([A-Za-z0-9]{2})", r"\1***\2"), (r"\b(gith)ub_pat_\w{18,}(\w{2})", r"\1***\2")]
+    for _, before, _ in safety.SECRETS[2:4]:
+        replaces += [(rf"{before}({v}{{4}}){v}{{4,}}=*(==)", r"\1\2***\3"), (rf"{before}({v}{{4}}){v}{{3,}}({v}=)", r"\1\2***\3"), (rf"{before}({v}{{4}}){v}{{2,}}({v}{{2}})", r"\1\2***\3")]
+    replaces += [(rf"{safety.SECRETS[4][1]}({v}{{4}}){v}{{2,}}({v}{{2}})", r"\1\2***\3"), (r"(-----BEGIN )[A-Z0-9 ]{1,6}(PRIVATE KEY-----)", r"\1***\2"), (r"(-----BEGIN )([A-Z0-9 ]{4})[A-Z0-9 ]+([A-Z0-9 ]{2}PRIVATE KEY-----)", r"\1\2***\3")]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = "coalesce(text, '')"
+    for pattern, by in replaces:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    plain = lambda before: before.replace(r"(?<![A-Za-z0-9_-])()", "(?:^|[^A-Za-z0-9_-])").replace(r"\b()", r"\b")
+    kinds = ", ".join(f"case when regexp_matches(text, {quoted(plain(b) + value)}) then '{n}' end" for n, b, value in safety.SECRETS)
+    return f"select doc_id, md5({out}) as digest, array_to_string(list_filter([{kinds}], lambda x: x is not null), ',') as kinds from documents"
+
+
+@query("saf_02_redact", saf_02_sql())
 def _(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", (safety.redact(text) != text).alias("redacted"), F.array_join(safety.secret_kinds(text), ",").alias("kinds"))
+    return table(spark, d, "documents").select("doc_id", F.md5(safety.redact(text).cast("binary")).alias("digest"), F.array_join(safety.secret_kinds(text), ",").alias("kinds"))
 
 
 @query("saf_03_output_check", "select doc_id, length(text) > 20000 as too_long, contains(text, 'Licensed under') as forbidden from documents where length(text) > 20000 or contains(text, 'Licensed under')")

@@ -210,7 +210,7 @@ def _(spark, d):
     return kept.groupBy("project_id").agg(F.count("*").alias("n"))
 
 
-@query("agg_07_failures", "select case when error like '%429%' then '其他原因' end as label, false as permanent, count(*) as n, arg_min(error, id) as example from search_logs_v where error is not null group by 1, 2", "search_logs_v")
+@query("agg_07_failures", "select case error when 'HTTP 503' then '对方服务端错误（5xx，可重试）' when 'read timed out' then '网络超时/连接失败（可重试）' when 'HTTP 405' then '链接是落地页而非 PDF（405）' else '其他原因' end as label, error = 'HTTP 405' as permanent, count(*) as n, arg_min(error, id) as example from search_logs_v where error is not null group by 1, 2", "search_logs_v")
 def _(spark, d):
     failed = view(spark, d, "search_logs_v").where("error is not null").withColumn("c", rules.classify_fulltext_error(F.col("error")))
     return analytics.failure_stats(failed.select(F.col("id").alias("seq"), "c.label", "c.permanent", F.col("error").alias("example")))
@@ -338,7 +338,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate(F.col("text"), 100).alias("short"))
 
 
-@query("sca_14_failures", "select id, case when error is null then '' else 'rate_limited' end as kind from search_logs_v", "search_logs_v")
+@query("sca_14_failures", "select id, case coalesce(error, '') when '' then '' when 'HTTP 429' then 'rate_limited' when 'read timed out' then 'timeout' when 'HTTP 503' then 'server_error' when 'connection reset' then 'connection' when 'HTTP 404' then 'not_found' when 'HTTP 401' then 'auth' when 'maximum context exceeded' then 'context_overflow' when 'HTTP 422' then 'bad_request' when 'json decode error' then 'parse' when 'request cancelled' then 'cancelled' else 'unknown' end as kind from search_logs_v", "search_logs_v")
 def _(spark, d):
     return view(spark, d, "search_logs_v").select("id", rules.classify_failure(F.col("error")).alias("kind"))
 

@@ -13,7 +13,7 @@ select doc_id as paper_id,
   case when n_chars % 5 = 0 then 'PMC' || cast(doc_id as string) end as pmcid,
   case when n_chars % 2 = 0 then '10.1000/' || substr(md5(text), 1, 12) end as doi,
   replace(substr(text, 1, 80), chr(10), ' ') as title,
-  replace(substr(text, 81, 4000), chr(10), ' ') as abstract,
+  replace(substr(text, 81), chr(10), ' ') as abstract,
   'J-' || lang as journal, cast(1990 + doc_id % 35 as int) as pub_year, source, lang as language,
   cast(n_chars % 600 as int) as cited_by_count, doc_id % 3 = 0 as is_open_access, doc_id as ingest_seq
 from {documents}""",
@@ -21,7 +21,9 @@ from {documents}""",
 select event_id as id, 'q' || cast(user_id % 20 as string) as query, event_type as source,
   cast(floor(value) as bigint) as result_count, cast(floor(value / 2) as bigint) as new_count,
   cast(floor(value * 10) as bigint) as duration_ms,
-  case when event_type = 'error' then 'HTTP 429' end as error, ts as created_at
+  case when event_type = 'error' then case user_id % 12
+    when 0 then 'HTTP 429' when 1 then 'read timed out' when 2 then 'HTTP 503' when 3 then 'connection reset' when 4 then 'HTTP 404' when 5 then 'HTTP 401'
+    when 6 then 'maximum context exceeded' when 7 then 'HTTP 422' when 8 then 'json decode error' when 9 then 'request cancelled' when 10 then 'HTTP 405' else 'odd' end end as error, ts as created_at
 from {events}""",
     "llm_usage_v": """
 select event_id as id,
@@ -56,7 +58,7 @@ from {orders}""",
     "queries_v": "select item_id as query_id, text as query from {benchmark}",
     "qrels_v": """
 select b.item_id as query_id, d.doc_id, 1.0 as gain
-from {benchmark} b join {documents} d on contains(d.text, substr(b.text, 1, 60))""",
+from {benchmark} b join {documents} d on contains(d.text, b.text)""",
     "drafts_v": """
 select d.doc_id as draft_id,
   replace(d.text, '. ', ' [' || cast(1 + d.doc_id % 4 as string) || ']. ') as draft

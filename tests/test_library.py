@@ -114,3 +114,36 @@ def test_windows_and_costs(spark):
     assert {r["run_id"]: list(r["phases"]) for r in windows.phases_of(rows, ["a", "b"]).collect()} == {"r": ["a", "b"], "q": ["z"]}
     usage = spark.createDataFrame([("deepseek-reasoner", 1_000_000, 0), ("qwen3:8b", 10, 10), ("new", 1, 1)], "model string, prompt_tokens long, completion_tokens long")
     assert [r["cost"] for r in analytics.with_cost(usage).collect()] == [4.0, 0.0, 0.0]
+
+
+def test_redaction_leaves_no_tail(spark):
+    masked = lambda t: one(spark, safety.redact(F.col("t")), t=t)
+    assert masked('password = "abcd~efghSECRETTAIL"') == 'password = "abcd***IL"'
+    assert masked("token=abcdefgh12~SECRETTAIL9, x") == "token=abcd***L9, x"
+    assert masked("-----BEGIN RSA PRIVATE KEY-----\nMIIB") == "-----BEGIN ***PRIVATE KEY-----\nMIIB"
+    assert masked("-----BEGIN ENCRYPTED PRIVATE KEY-----") == "-----BEGIN ENCR***D PRIVATE KEY-----"
+    assert masked("Authorization: Bearer abcdefghij==\nsk-abcdefghijk ghp_abcdefghijklmnop") == "Authorization: Bearer abcd***==\nsk-a***jk ghp_***op"
+    assert masked(masked("api_key: 'abcdefgh/ij+k'")) == "api_key: 'abcd***+k'" and masked("token: subword") == "token: subword" and masked(None) == ""
+
+
+def test_phrase_search_equals_contains(spark):
+    docs = spark.createDataFrame([(1, "the red fox ran"), (2, "a blue foxglove"), (3, "bored fox ranks high"), (4, None)], "doc_id long, text string")
+    phrases = spark.createDataFrame([(10, "red fox ran"), (11, "fox"), (12, "nothing here at all"), (13, "")], "query_id long, query string")
+    assert {(r["query_id"], r["id"]) for r in retrieval.holding(docs, phrases).collect()} == {(10, 1), (10, 3), (11, 1), (11, 3)}
+
+
+def test_knn_hands_on_k_rows_a_task(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    held = rng.normal(size=(300, 8))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "id long, vector array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = retrieval.knn(corpus, corpus.where("id < 3").withColumnRenamed("id", "query_id"), 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = held / np.linalg.norm(held, axis=1, keepdims=True)
+    for q in range(3):
+        want = np.argsort(-(unit @ unit[q]))[:5].tolist()
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
