@@ -127,26 +127,35 @@ def align(item: np.ndarray, window: np.ndarray, most: int, low: int | None = Non
     Banded: of each row only the places on the diagonals low to high (place in the window minus place in the item).
     """
     n, m, far = len(window), len(item), 1 << 40
-    diagonal = np.arange(-m if low is None else low, (n if high is None else high) + 1)
-    step = np.arange(len(diagonal))
+    low, high = -m if low is None else low, n if high is None else high
+    whole = window.tobytes().find(item.tobytes())
+    if whole >= 0 and whole % item.itemsize == 0 and low <= whole // item.itemsize <= high:
+        return 0, whole // item.itemsize, whole // item.itemsize + m
+    diagonal = np.arange(low, high + 1)
+    step, wide = np.arange(len(diagonal)), len(diagonal)
+    before, after = max(0, -low), max(0, high + m - n)
+    # outside the window nothing matches; what runs past its end is left out at last, and nothing begins before it
+    none = np.full(before + after + 1, 1 << 60, dtype=np.uint64)
+    padded = np.concatenate([none[:before], window, none[:after]])
     cost, origin = np.where((diagonal >= 0) & (diagonal <= n), 0, far), diagonal.copy()
-    for r in range(1, m + 1):
-        at = diagonal + r
-        inside = (at >= 0) & (at <= n)
-        same = np.zeros(len(at), dtype=bool)
-        both = inside & (at > 0)
-        same[both] = window[at[both] - 1] == item[r - 1]
-        diag = np.where(at > 0, cost + ~same, far)
-        up = np.append(cost[1:], far) + 1
-        down = np.where(inside, np.minimum(diag, up), far)
-        begun = np.where(diag <= up, origin, np.append(origin[1:], 0))
-        slid = down - step
+    for r in range(m):
+        begin = low + r + before
+        diag = cost + (padded[begin : begin + wide] != item[r])
+        up = cost[1:] + 1
+        shorter = up < diag[:-1]
+        begun = origin.copy()
+        np.copyto(begun[:-1], origin[1:], where=shorter)
+        np.minimum(diag[:-1], up, out=diag[:-1])
+        slid = diag - step
         lead = np.minimum.accumulate(slid)
         source = np.maximum.accumulate(np.where(slid == lead, step, 0))
-        cost, origin = np.where(inside, lead + step, far), begun[source]
-        if cost.min() > most:
+        cost, origin = lead + step, begun[source]
+        if r % 8 == 7 and cost.min() > most:
             return None
+    cost[diagonal + m > n] = far
     best = int(np.argmin(cost))
+    if cost[best] > most:
+        return None
     return int(cost[best]), int(origin[best]), int(diagonal[best]) + m
 
 
