@@ -48,6 +48,41 @@ def citations_of(text: Column, max_span: int = 20) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, numbers))))
 
 
+def sanitized(text: Column, valid: Column) -> Column:
+    """text with only the valid numbers (array<int>) left in its citation marks, ranges written out, and empty marks gone."""
+    body = F.coalesce(text, F.lit(""))
+
+    def numbers(token: Column) -> Column:
+        ends = F.split(F.regexp_replace(token, r"\s", ""), "[-–]")
+        low, high = F.try_element_at(ends, F.lit(1)).cast("int"), F.try_element_at(ends, F.lit(2)).cast("int")
+        every = F.when(F.size(ends) == 1, F.array(low)).when((F.size(ends) == 2) & (low <= high), F.sequence(low, F.greatest(low, high)))
+        return F.filter(F.coalesce(every, F.array().cast("array<int>")), lambda n: F.array_contains(valid, n))
+
+    def mark(group: Column) -> Column:
+        kept = F.flatten(F.transform(F.split(group, "[,，]"), numbers))
+        return F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(kept.cast("array<string>"), ","), F.lit("]"))).otherwise("")
+
+    marks = F.transform(F.regexp_extract_all(body, F.lit(CITATION), 1), mark)
+    joined = F.array_join(F.zip_with(F.split(body, CITATION, -1), marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    joined = F.regexp_replace(F.regexp_replace(joined, r"\s+([，。；、）])", "$1"), r"\(\s*\)", "")
+    return F.regexp_replace(joined, r"^\s+|\s+$", "")
+
+
+def citation_check(drafts: DataFrame) -> DataFrame:
+    """drafts (draft_id, draft, valid array<int>): distinct numbers cited, those missing from the list, and those never cited."""
+    made = drafts.select("draft_id", F.array_sort(F.array_distinct("valid")).alias("valid"), citations_of(F.col("draft")).alias("cited"))
+    missing, never = F.array_except("cited", "valid"), F.array_except("valid", "cited")
+    return made.select("draft_id", "cited", missing.alias("missing"), never.alias("never_cited"), (F.size(missing) == 0).alias("ok"))
+
+
+def cited_entries(entries: DataFrame, drafts: DataFrame) -> DataFrame:
+    """entries (draft_id, number, ...) that their draft cites, under their numbers; all of a draft that cites none of them."""
+    marks = drafts.select("draft_id", citations_of(F.col("draft")).alias("_cited"))
+    hit = F.coalesce(F.array_contains("_cited", F.col("number")), F.lit(False))
+    joined = entries.join(marks, "draft_id", "left").withColumn("_hit", hit)
+    return joined.withColumn("_any", F.max("_hit").over(Window.partitionBy("draft_id"))).where("_hit or not _any").drop("_cited", "_hit", "_any")
+
+
 def sentences(drafts: DataFrame, least: int = 8) -> DataFrame:
     """draft_id, line, place, section, sentence, citations; without headings, reference lists and short sentences."""
     lines = drafts.select("draft_id", F.posexplode(F.split("draft", "\n")).alias("line", "raw"))

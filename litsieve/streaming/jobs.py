@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from litsieve.operators.resolve import merge_papers
+from litsieve.operators.resolve import merge_papers, upsert
 
 
 def ingest(papers: DataFrame, target: str, checkpoint: str, after: list[Callable[[DataFrame], None]] = ()) -> StreamingQuery:
@@ -23,6 +23,21 @@ def ingest(papers: DataFrame, target: str, checkpoint: str, after: list[Callable
     return papers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_into(papers: DataFrame, library: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Merges each micro-batch into the library and writes its next snapshot under target/version=<batch>.
+
+    The first batch starts from `library`, later ones from the snapshot before, so a paper that comes again in a later
+    batch is merged with its row; a batch that is run again writes the same snapshot.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        held = library if epoch == 0 else batch.sparkSession.read.schema(library.schema).parquet(f"{target}/version={epoch - 1}")
+        made = upsert(held, batch).drop("action")
+        made.select(*library.columns).write.mode("overwrite").parquet(f"{target}/version={epoch}")
+
+    return papers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def log_windows(logs: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Per window and source: results, new ones, failures, searches."""
     held = logs.withWatermark("created_at", late).groupBy(F.window("created_at", size).alias("w"), "source")

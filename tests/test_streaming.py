@@ -27,3 +27,15 @@ def test_ingest_matches_merge(spark, tmp_path):
     seen = []
     jobs.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state", [lambda df: seen.append(df.count())]).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == merge_papers(papers).count() == 4 and seen == [4]
+
+
+def test_ingest_into_merges_across_batches(spark, tmp_path):
+    kinds = "ingest_seq long, doi string, pmid string, title string, abstract string, journal string, source string, language string, pub_year int, cited_by_count int, is_open_access boolean"
+    row = lambda seq, doi, title, abstract: (seq, doi, None, title, abstract, "J", "s", "en", 2000, seq, False)
+    for i, rows in enumerate([[row(1, "10.1/a", "T one", "short")], [row(2, "10.1/a", "T one longer", "a longer one"), row(3, "10.1/b", "T two", "x")]]):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        library = spark.createDataFrame([], "paper_id long, " + kinds.split(", ", 1)[1]).drop("source")
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        jobs.ingest_into(stream, library, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/version=1").orderBy("paper_id").collect()
+    assert [(r["paper_id"], r["title"], r["cited_by_count"]) for r in got] == [(1, "T one longer", 2), (2, "T two", 3)]
