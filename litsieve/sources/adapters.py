@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Letters and the Chinese characters that stand for them where a view needs such text.
+HAN_FOR = ("abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄")
+
 VIEWS = {
     "papers_v": """
 select doc_id as paper_id,
@@ -17,6 +20,12 @@ select doc_id as paper_id,
   'J-' || lang as journal, cast(1990 + doc_id % 35 as int) as pub_year, source, lang as language,
   cast(n_chars % 600 as int) as cited_by_count, doc_id % 3 = 0 as is_open_access, doc_id as ingest_seq
 from {documents}""",
+    "mixed_papers_v": f"""
+select doc_id as paper_id,
+  case when doc_id % 4 = 0 then translate(lower(replace(substr(text, 1, 80), chr(10), ' ')), '{HAN_FOR[0]}', '{HAN_FOR[1]}')
+    else replace(substr(text, 1, 80), chr(10), ' ') end as title,
+  replace(substr(text, 81), chr(10), ' ') as abstract, 'J-' || lang as journal
+from {{documents}}""",
     "search_logs_v": """
 select event_id as id, 'q' || cast(user_id % 20 as string) as query, event_type as source,
   cast(floor(value) as bigint) as result_count, cast(floor(value / 2) as bigint) as new_count,
