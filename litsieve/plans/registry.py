@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, lexical, records, relational, retrieval  # noqa: F401  they fill the register
+from . import content, imports, lexical, records, relational, retrieval  # noqa: F401  they fill the register
 from .base import ORACLES, QUERIES
 
 

@@ -54,13 +54,13 @@ def parsed(records: DataFrame, schema: str, column: str) -> DataFrame:
 
 
 def as_papers(rows: DataFrame, source: str, **given: Column) -> DataFrame:
-    """rows as papers: given columns, the rest empty; rows without a title go."""
+    """rows as papers: given columns, the rest empty, columns beyond those of a paper last; rows without a title go."""
     blank = dict.fromkeys(TEXTS, F.lit("")) | dict.fromkeys(IDS, F.lit(None).cast("string")) | dict.fromkeys(LISTS, F.array().cast("array<string>"))
     blank |= {"pub_year": F.lit(None).cast("int"), "cited_by_count": F.lit(0).cast("long"), "is_open_access": F.lit(False), "source": F.lit(source)}
     out = blank | given
     out |= {c: F.coalesce(out[c], blank[c]) for c in [*TEXTS, *LISTS, "cited_by_count", "is_open_access"]}
     out |= {c: F.nullif(out[c], F.lit("")) for c in IDS}
-    return rows.select(*(out[c].alias(c) for c in PAPER)).where(F.trim("title") != "")
+    return rows.select(*(out[c].alias(c) for c in [*PAPER, *(c for c in given if c not in PAPER)])).where(F.trim("title") != "")
 
 
 def text_of_index(index: Column) -> Column:
