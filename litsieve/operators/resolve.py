@@ -40,11 +40,11 @@ def merge_papers(papers: DataFrame) -> DataFrame:
     )
 
 
-def upsert(library: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert(library: DataFrame, incoming: DataFrame, highest: int | None = None) -> DataFrame:
     """The library's next snapshot: matched records enriched, new ones added with the next ids; action tells which.
 
     Incoming records are merged among themselves first. A library value that is there wins, longer titles and abstracts
-    win, citations take the larger, open access if either.
+    win, citations take the larger, open access if either. New ids follow `highest`, by default the library's largest.
     """
     fresh = merge_papers(incoming).drop("found_in", "merged", "dedup_key").withColumn("title_key", title_key(F.col("title")))
     keyed = library.withColumn("title_key", title_key(F.col("title")))
@@ -58,7 +58,8 @@ def upsert(library: DataFrame, incoming: DataFrame) -> DataFrame:
     rule = {"title": longer("title"), "abstract": longer("abstract"), "cited_by_count": F.greatest("cited_by_count", "_cited_by_count"), "is_open_access": F.col("is_open_access") | F.coalesce("_is_open_access", F.lit(False))}
     kept = ["paper_id", "title", "abstract", "pub_year", "cited_by_count", "is_open_access", *[c for c in FIRSTS if c in library.columns]]
     old = joined.select(*[(rule.get(c) if c in rule else F.col(c) if c == "paper_id" else filled(c)).alias(c) for c in kept], F.when(F.col("_first_seq").isNull(), "kept").otherwise("updated").alias("action"))
-    highest = library.agg(F.coalesce(F.max("paper_id"), F.lit(0)).alias("m")).first()["m"]
+    if highest is None:
+        highest = library.agg(F.coalesce(F.max("paper_id"), F.lit(0)).alias("m")).first()["m"]
     added = numbered(matched.where("paper_id is null").drop("paper_id"), "first_seq", highest)
     return old.unionByName(added.select(*kept, F.lit("new").alias("action")))
 

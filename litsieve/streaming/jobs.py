@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from litsieve.operators import embedding
 from litsieve.operators.resolve import merge_papers, upsert
+from litsieve.operators.snapshots import Library
 
 # The states of a run that has not ended, and the state of one that went silent.
 OPEN, SILENT = ["running", "awaiting_approval"], "interrupted"
@@ -44,6 +45,13 @@ def ingest_into(papers: DataFrame, library: DataFrame, target: str, checkpoint:
     return papers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_keyed(papers: DataFrame, library: Library, checkpoint: str, first_version: int = 0) -> StreamingQuery:
+    """Merges each micro-batch into a keyed library as version first_version + batch, which rewrites only the buckets it
+    touches; a batch that is run again finds its version there."""
+    write = lambda batch, epoch: library.apply(batch, first_version + epoch)
+    return papers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def log_windows(logs: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Per window and source: results, new ones, failures, searches."""
     held = logs.withWatermark("created_at", late).groupBy(F.window("created_at", size).alias("w"), "source")
