@@ -79,7 +79,7 @@ def cited_entries(entries: DataFrame, drafts: DataFrame) -> DataFrame:
     """entries (draft_id, number, ...) that their draft cites, under their numbers; all of a draft that cites none of them."""
     marks = drafts.select("draft_id", citations_of(F.col("draft")).alias("_cited"))
     hit = F.coalesce(F.array_contains("_cited", F.col("number")), F.lit(False))
-    joined = entries.join(marks, "draft_id", "left").withColumn("_hit", hit)
+    joined = entries.join(marks.hint("merge"), "draft_id", "left").withColumn("_hit", hit)
     return joined.withColumn("_any", F.max("_hit").over(Window.partitionBy("draft_id"))).where("_hit or not _any").drop("_cited", "_hit", "_any")
 
 
@@ -110,10 +110,10 @@ def with_sources(claim_rows: DataFrame, sources: DataFrame) -> DataFrame:
     """claims with source (texts of the cited sources in order), known and held. sources: draft_id, cite_id, source_text[, publication_type]."""
     own = claim_rows.select("claim_id", "draft_id", F.explode("citations").alias("cite_id"))
     kind = F.col("publication_type") if "publication_type" in sources.columns else F.lit(None).cast("string")
-    joined = own.join(sources.select("draft_id", "cite_id", "source_text", kind.alias("_kind"), F.lit(True).alias("_known")), ["draft_id", "cite_id"], "left")
+    joined = own.join(sources.select("draft_id", "cite_id", "source_text", kind.alias("_kind"), F.lit(True).alias("_known")).hint("merge"), ["draft_id", "cite_id"], "left")
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(F.trim("source_text"), F.lit("")) != "", F.struct("cite_id", "source_text")))), lambda x: x["source_text"])
     held = joined.groupBy("claim_id").agg(F.array_join(texts, "\n").alias("source"), F.array_sort(F.collect_list(F.when(F.col("_known").isNull(), F.col("cite_id")))).alias("missing"), F.min_by("_kind", "cite_id").alias("source_type"))
-    return claim_rows.join(held, "claim_id")
+    return claim_rows.join(held.hint("merge"), "claim_id")
 
 
 def cues(text: Column, words: list[str]) -> Column:
@@ -196,7 +196,7 @@ def report(checked: DataFrame, covered: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("verdict") == v).alias(v) for v in SEVERITY]
     made = checked.groupBy("draft_id").agg(F.count("*").alias("claims"), *counts)
     rate = F.round(F.col("supported") / F.col("claims"), 4).alias("supported_rate")
-    return made.join(covered, "draft_id", "left").select("draft_id", "claims", *SEVERITY, rate, F.round(F.col("cited") / F.col("sentences"), 4).alias("coverage"))
+    return made.join(covered.hint("merge"), "draft_id", "left").select("draft_id", "claims", *SEVERITY, rate, F.round(F.col("cited") / F.col("sentences"), 4).alias("coverage"))
 
 
 def issues(checked: DataFrame, most: int = 6) -> DataFrame:
@@ -209,7 +209,7 @@ def number_provenance(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     """Per draft: its distinct numbers, how many its sources do not hold, and pass, warn, fail or no_numbers."""
     texts = sources.groupBy("draft_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cite_id", "source_text"))), lambda x: x["source_text"]), "\n").alias("source"))
     bare = F.regexp_replace("draft", CITATION, " ")
-    own = drafts.join(texts, "draft_id", "left").select("draft_id", F.array_distinct(numbers_of(bare)).alias("numbers"), F.coalesce("source", F.lit("")).alias("source"))
+    own = drafts.join(texts.hint("merge"), "draft_id", "left").select("draft_id", F.array_distinct(numbers_of(bare)).alias("numbers"), F.coalesce("source", F.lit("")).alias("source"))
     lost = F.size(F.filter("numbers", lambda v: ~F.exists(number_variants(v), lambda x: F.contains(F.col("source"), x))))
     made = own.select("draft_id", F.size("numbers").alias("numbers"), lost.alias("unknown"))
     status = F.when(F.col("numbers") == 0, "no_numbers").when(F.col("unknown") == 0, "pass").when(F.col("unknown") <= F.greatest(F.lit(2), F.floor(F.col("numbers") * 0.1)), "warn").otherwise("fail")

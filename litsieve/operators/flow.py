@@ -15,7 +15,7 @@ def review_flow(logs: DataFrame, decisions: DataFrame) -> DataFrame:
     found = logs.groupBy("review_id").agg(F.sum("result_count").alias("identified"), F.greatest(F.sum(F.col("result_count") - F.col("new_count")), F.lit(0)).alias("duplicates"))
     stages = ["excluded_at_screening", "not_retrieved", "excluded_at_fulltext", "included"]
     held = decisions.groupBy("review_id").agg(*[F.coalesce(F.sum(F.when(F.col("stage") == s, F.greatest("n", F.lit(0)))), F.lit(0)).alias(s) for s in stages])
-    df = found.join(held, "review_id", "left").na.fill(0, stages)
+    df = found.join(held.hint("merge"), "review_id", "left").na.fill(0, stages)
     df = df.withColumn("screened", F.greatest(F.col("identified") - F.col("duplicates"), F.lit(0)))
     df = df.withColumn("sought", F.greatest(F.col("screened") - F.col("excluded_at_screening"), F.lit(0)))
     df = df.withColumn("assessed", F.greatest(F.col("sought") - F.col("not_retrieved"), F.lit(0)))

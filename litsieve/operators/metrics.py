@@ -17,7 +17,7 @@ def evaluate(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     judged = qrels.where("gain > 0").groupBy("query_id", "id").agg(F.max("gain").cast("double").alias("gain"))
     ideal_place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "id"))
     ideal = judged.withColumn("place", ideal_place).groupBy("query_id").agg(F.count("*").alias("n_relevant"), F.sum(F.when(F.col("place") <= k, F.col("gain") / F.log2(F.col("place") + 1))).alias("ideal"))
-    joined = cut.join(judged, ["query_id", "id"], "full")
+    joined = cut.join(judged.hint("merge"), ["query_id", "id"], "full")
     hits = F.sum(F.when(F.col("gain").isNotNull() & F.col("rank").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("query_id").orderBy(F.col("rank").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     marked = joined.withColumn("running", hits).withColumn("is_hit", F.col("gain").isNotNull() & F.col("rank").isNotNull())
     ids = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("id")))).cast("array<string>"), ",")
@@ -26,7 +26,7 @@ def evaluate(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
         F.sum(F.when(F.col("is_hit"), F.col("running") / F.col("rank"))).alias("precisions"), F.sum(F.when(F.col("is_hit"), F.col("gain") / F.log2(F.col("rank") + 1))).alias("dcg"),
         ids(F.col("is_hit")).alias("hit"), ids(F.col("rank").isNull()).alias("missed"), ids(F.col("gain").isNull()).alias("noise"),
     )
-    out = ideal.join(sums, "query_id")
+    out = ideal.join(sums.hint("merge"), "query_id")
     value = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return out.select(
         "query_id", "n_relevant", value(F.col("hits") / F.col("n_relevant")).alias("recall"), value(F.col("hits") / F.lit(max(k, 1))).alias("precision"),
@@ -36,7 +36,7 @@ def evaluate(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 def means(per_query: DataFrame, queries: DataFrame, by: list[str] = ()) -> DataFrame:
     """Means over the queries with labels; the others are counted as skipped."""
-    joined = queries.join(per_query, "query_id", "left")
+    joined = queries.join(per_query.hint("merge"), "query_id", "left")
     values = [F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "mrr", "map", "ndcg")]
     return joined.groupBy(*by).agg(F.count("recall").alias("evaluated"), F.count_if(F.col("recall").isNull()).alias("skipped"), *values)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
-from litsieve.sources import articles, exports, zotero
+from litsieve.sources import articles, exports, indexes, zotero
 from litsieve.sources.adapters import table
 from litsieve.store import folder
 
@@ -203,3 +203,53 @@ def _(spark, d):
 
 
 ORACLES["src_15_zotero"] = "with " + ", ".join(f"{name} as ({ZOTERO[name].format(text='varchar')})" for name in ("itemCreators", "creators", "itemTags", "tags")) + ORACLES["src_15_zotero"]
+
+
+# indexes --------------------------------------------------------------------------------------------------------------
+@query(
+    "src_09_europe_pmc",
+    """select cast(doc_id as varchar) as source_id, 'On H2O ' || doc_id as title, 'The aim: ' || source || ' & more' as abstract, case doc_id % 3 when 0 then 'Group;Li Na;Zhang Wei' when 1 then 'Smith John;Doe J' else '' end as authors,
+    'J ' || lang as journal, cast(case when doc_id % 4 = 0 then 1980 else 1990 + doc_id % 30 end as int) as pub_year, case when doc_id % 2 = 0 then 'PMC' || doc_id end as pmcid, '10.9/p' || doc_id as doi, 'Stroke;Mood' as mesh_terms, lang as keywords,
+    coalesce(n_chars, 0) as cited_by_count, doc_id % 5 = 0 as is_open_access, case when doc_id % 6 = 0 then 'https://x/html' when doc_id % 2 = 0 then 'https://europepmc.org/article/PMC/PMC' || doc_id else '' end as full_text_url,
+    'https://europepmc.org/article/MED/' || doc_id as url from documents""",
+)
+def _(spark, d):
+    record = F.expr("""to_json(named_struct('id', cast(doc_id as string), 'source', 'MED', 'title', concat('On <i>H2O</i> ', doc_id), 'abstractText', concat('<h4>The aim:</h4> ', source, ' &amp; more'),
+        'authorList', if(doc_id % 3 = 0, named_struct('author', array(named_struct('collectiveName', 'Group', 'fullName', 'x', 'lastName', '', 'firstName', ''), named_struct('collectiveName', '', 'fullName', 'y', 'lastName', 'Li', 'firstName', 'Na'),
+          named_struct('collectiveName', null, 'fullName', 'Wei Zhang', 'lastName', null, 'firstName', null))), null), 'authorString', if(doc_id % 3 = 1, 'John Smith, J Doe.', null),
+        'doi', concat('https://doi.org/10.9/P', doc_id), 'pmcid', if(doc_id % 2 = 0, concat('PMC', doc_id), ''), 'meshHeadingList', named_struct('meshHeading', array(named_struct('descriptorName', 'Stroke'), named_struct('descriptorName', 'Mood'))),
+        'keywordList', named_struct('keyword', array(lang, null)), 'pubYear', if(doc_id % 4 = 0, 'soon', cast(1990 + doc_id % 30 as string)), 'journalInfo', named_struct('journal', named_struct('title', concat('J ', lang)), 'yearOfPublication', 1980),
+        'citedByCount', n_chars, 'isOpenAccess', if(doc_id % 5 = 0, 'y', 'N'), 'fullTextUrlList', if(doc_id % 6 = 0, named_struct('fullTextUrl', array(named_struct('documentStyle', 'pdf', 'availability', 'Free', 'url', 'https://x/pdf'),
+          named_struct('documentStyle', 'html', 'availability', 'Open access', 'url', 'https://x/html'))), null)))""")
+    made = indexes.europe_pmc(table(spark, d, "documents").select(record.alias("record")))
+    return joined(made.select("source_id", "title", "abstract", "authors", "journal", "pub_year", "pmcid", "doi", "mesh_terms", "keywords", "cited_by_count", "is_open_access", "full_text_url", "url"), "authors", "mesh_terms", "keywords")
+
+
+@query(
+    "src_11_doaj",
+    """select cast(doc_id as varchar) as source_id, 'T ' || doc_id as title, 'A B;C' as authors, 'J ' || lang as journal, cast(case when doc_id % 3 = 0 then 2011 else 1990 + doc_id % 30 end as int) as pub_year,
+    case when doc_id % 4 <> 0 then '10.9/d' || doc_id end as doi, 'k;' || lang as keywords, case doc_id % 5 when 0 then 'u2' when 1 then 'f2' else case when doc_id % 4 <> 0 then 'https://doi.org/10.9/D' || doc_id else '' end end as url,
+    case when doc_id % 5 in (0, 1) then 'f1' else '' end as full_text_url, true as is_open_access from documents where doc_id % 7 <> 0""",
+)
+def _(spark, d):
+    record = F.expr("""to_json(named_struct('id', cast(doc_id as string), 'bibjson', named_struct('title', if(doc_id % 7 = 0, ' ', concat(' T ', doc_id)), 'author', array(named_struct('name', ' A B'), named_struct('name', ''), named_struct('name', 'C')),
+        'journal', named_struct('title', concat('J ', lang)), 'year', if(doc_id % 3 = 0, null, cast(1990 + doc_id % 30 as string)), 'month', if(doc_id % 3 = 0, '2011-05', '3'),
+        'identifier', array(named_struct('type', 'pissn', 'id', '1'), named_struct('type', if(doc_id % 4 = 0, 'eissn', 'DOI'), 'id', concat('10.9/D', doc_id))), 'keywords', array(' k ', '', lang),
+        'link', case doc_id % 5 when 0 then array(named_struct('type', 'fulltext', 'url', 'f1'), named_struct('type', 'other', 'url', 'u2')) when 1 then array(named_struct('type', 'fulltext', 'url', ''), named_struct('type', 'FullText', 'url', 'f1'), named_struct('type', 'fulltext', 'url', 'f2')) end)))""")
+    made = indexes.doaj(table(spark, d, "documents").select(record.alias("record")))
+    return joined(made.select("source_id", "title", "authors", "journal", "pub_year", "doi", "keywords", "url", "full_text_url", "is_open_access"), "authors", "keywords")
+
+
+@query(
+    "src_13_arxiv",
+    f"""select '2401.' || doc_id as source_id, 'On flows & x ' || doc_id as title, md5({LINE.format("coalesce(text, '')")}) as abstract, 'Zhang Wei;Li' as authors, case when doc_id % 2 = 0 then 'J ' || lang else 'arXiv preprint' end as journal,
+    cast(2000 + doc_id % 25 as int) as pub_year, case when doc_id % 3 = 0 then '10.9/x' || doc_id end as doi, 'cs.CL;' || lang as keywords, 'https://arxiv.org/pdf/2401.' || doc_id as full_text_url from documents where doc_id % 8 <> 0""",
+)
+def _(spark, d):
+    entry = """concat('<entry>\n<id>http://arxiv.org/abs/2401.', doc_id, 'v', 1 + doc_id % 3, '</id><title>', if(doc_id % 8 = 0, ' ', concat('On\n  flows &amp; x ', doc_id)), '</title><summary> ', line, '</summary><published>', 2000 + doc_id % 25, '-01-02T00:00:00Z</published>',
+        '<author><name>Wei Zhang</name><arxiv:affiliation>U</arxiv:affiliation></author><author><name>Li</name></author>', if(doc_id % 3 = 0, concat('<arxiv:doi>10.9/X', doc_id, '</arxiv:doi>'), ''), if(doc_id % 2 = 0, concat('<arxiv:journal_ref>J ', lang, '</arxiv:journal_ref>'), ''),
+        '<category term="cs.CL"/><category term="', lang, '"/></entry>')"""
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.expr(ONE_LINE).alias("line")).select(F.expr(entry).alias("value"))
+    made = indexes.arxiv(spark, wrote(rows, place(spark, "arxiv")))
+    made = joined(made.select("source_id", "title", "abstract", "authors", "journal", "pub_year", "doi", "keywords", "full_text_url"), "authors", "keywords")
+    return made.withColumn("abstract", F.md5(F.col("abstract").cast("binary")))
