@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from litsieve.functions import styles
 from litsieve.operators import bulk, formatting
 from litsieve.operators.snapshots import Library
 from litsieve.sources import artifacts
@@ -118,3 +119,48 @@ def _(spark, d):
     for part in (0, 1):
         library.apply(papers.where(F.col("paper_id") % 2 == part))
     return library.read()
+
+
+# bibliographies: four kinds of author lists, with and without volume, issue, pages, DOI and journal.
+STYLES = ["apa7", "vancouver", "gb7714", "chicago", "bibtex", "ris"]
+HELD = """h as (select doc_id as n, doc_id % 4 as k, case when doc_id % 9 = 0 then 'n.d.' else cast(1990 + doc_id % 30 as varchar) end as y, case when doc_id % 6 = 0 then '（期刊信息缺失）' else 'J & ' || lang end as j, 'The {T} of ' || source || ' ' || doc_id % 3 as t,
+    case when doc_id % 5 = 0 then '' else cast(doc_id % 80 as varchar) || case when doc_id % 2 = 0 then '(' || doc_id % 12 || ')' else '' end end as vi, case when doc_id % 7 = 0 then '' else doc_id || '-' || (doc_id + 9) end as p, case when doc_id % 3 = 0 then '' else '10.1/' || doc_id end as d,
+    ['[J]', '[D]', '[C]', '[M]', '[EB/OL]'][1 + doc_id % 5] as mark, doc_id % 5 as g, case when doc_id % 5 = 0 then '' else cast(doc_id % 80 as varchar) end as v, case when doc_id % 2 = 0 then cast(doc_id % 12 as varchar) else '' end as i, lang, doc_id % 9 = 0 as nd from documents)"""
+MANY = {"apa7": "array_to_string(list_transform(range(1, 20), lambda i: 'A' || i || ', B. C.'), ', ') || ', …, & A20, B. C.'", "vancouver": "array_to_string(list_transform(range(1, 7), lambda i: 'A' || i || ' BC'), ', ') || ', et al.'"}
+APA = f"case k when 0 then 'Anonymous' when 1 then 'Zhang, W.' when 2 then 'van der Berg Jan, P., & 王伟' else {MANY['apa7']} end"
+BIBLIOGRAPHY = f"""with {HELD}, s as (
+  select n, 'apa7' as style, {APA} || ' (' || y || '). ' || t || '. ' || j || case when vi = '' then '' else ', ' || vi end || case when p = '' then '' else ', ' || p end || '.' || case when d = '' then '' else ' https://doi.org/' || d end as text from h
+  union all select n, 'chicago', rtrim({APA}, '.') || '. ' || y || '. “' || t || '.” ' || j || case when vi = '' then '' else ' ' || vi end || case when p = '' then '' else ': ' || p end || '.' || case when d = '' then '' else ' https://doi.org/' || d end from h
+  union all select n, 'vancouver', n || '. ' || case k when 0 then 'Anonymous.' when 1 then 'Zhang W.' when 2 then 'van der Berg Jan P, 王伟.' else {MANY['vancouver']} end || ' ' || t || '. ' || j || '. ' || y || case when vi = '' then '' else ';' || vi end
+    || case when p = '' then '' else ':' || p end || '.' || case when d = '' then '' else ' doi:' || d end from h
+  union all select n, 'gb7714', '[' || n || '] ' || case k when 0 then '佚名' when 1 then 'Zhang Wei' when 2 then 'van der Berg Jan P, 王伟' else 'A1 B1-C, A2 B2-C, A3 B3-C, 等' end || '. ' || t || mark || '. ' || j || ', ' || y || case when vi = '' then '' else ', ' || vi end
+    || case when p = '' then '' else ': ' || p end || '.' || case when d = '' then '' else ' DOI: ' || d || '.' end from h
+  union all select n, 'ris', 'TY  - ' || case g when 1 then 'THES' when 2 then 'CONF' else 'JOUR' end || chr(10) || case k when 0 then '' when 1 then 'AU  - Zhang Wei' || chr(10) when 2 then 'AU  - van der Berg Jan P' || chr(10) || 'AU  - 王伟' || chr(10)
+      else array_to_string(list_transform(range(1, 23), lambda i: 'AU  - A' || i || ' B' || i || '-C'), chr(10)) || chr(10) end || 'TI  - ' || t || '.' || chr(10) || case when j like '（%' then '' else 'JO  - ' || j || chr(10) || 'T2  - ' || j || chr(10) end
+    || case when nd then '' else 'PY  - ' || y || chr(10) end || case when v = '' then '' else 'VL  - ' || v || chr(10) end || case when i = '' then '' else 'IS  - ' || i || chr(10) end || case when p = '' then '' else 'SP  - ' || n || chr(10) || 'EP  - ' || (n + 9) || chr(10) end
+    || case when d = '' then '' else 'DO  - ' || d || chr(10) end || 'KW  - k1' || chr(10) || 'KW  - ' || lang || chr(10) || 'ER  - ' from h
+  union all select n, 'bibtex', '@' || case g when 1 then 'phdthesis' when 2 then 'inproceedings' else 'article' end || chr(123) || b || case when r between 2 and 11 then 'abcdefghij'[r - 1] else '' end || ',' || chr(10)
+    || array_to_string(list_transform(list_filter(f, lambda x: x[2] <> ''), lambda x: '  ' || rpad(x[1], cast(list_max(list_transform(list_filter(f, lambda z: z[2] <> ''), lambda z: length(z[1]))) as int), ' ') || ' = ' || chr(123) || x[2] || chr(125)), ',' || chr(10)) || chr(10) || chr(125)
+    from (select *, row_number() over (partition by b order by n) as r from (select *, case k when 0 then 'anon' when 1 then 'zhang' when 2 then 'vanderbergjan' else 'a1' end || case when nd then 'nd' else y end || 't' as b,
+      [['author', case k when 0 then '' when 1 then 'Zhang Wei' when 2 then 'van der Berg Jan P and 王伟' else array_to_string(list_transform(range(1, 23), lambda i: 'A' || i || ' B' || i || '-C'), ' and ') end],
+       ['title', replace(replace(t, '{{', '\\{{'), '}}', '\\}}') || '.'], [case when g in (1, 2) then 'booktitle' else 'journal' end, case when j like '（%' then '' else replace(j, '&', '\\&') end], ['year', case when nd then '' else y end],
+       ['volume', v], ['number', i], ['pages', replace(p, '-', '--')], ['doi', d], ['keywords', 'k1, ' || lang]] as f from h)))
+select n as number, style, md5(text) as text from s"""
+
+
+@query("snk_03_bibliographies", BIBLIOGRAPHY)
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    names = F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 4 == 1, F.array(F.lit("Zhang Wei"))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("van der Berg Jan P"), F.lit("王伟")))
+    names = names.otherwise(F.transform(F.sequence(F.lit(1), F.lit(22)), lambda i: F.concat(F.lit("A"), i, F.lit(" B"), i, F.lit("-C"))))
+    papers = docs.select(
+        F.col("doc_id").alias("number"), names.alias("authors"), F.expr("'The {T} of ' || source || ' ' || doc_id % 3 || '.'").alias("title"), F.expr("if(doc_id % 6 = 0, '', 'J & ' || lang)").alias("journal"),
+        F.expr("if(doc_id % 9 = 0, null, 1990 + doc_id % 30)").alias("pub_year"), F.expr("if(doc_id % 5 = 0, '', cast(doc_id % 80 as string))").alias("volume"), F.expr("if(doc_id % 2 = 0, cast(doc_id % 12 as string), '')").alias("issue"),
+        F.expr("if(doc_id % 7 = 0, null, doc_id || '-' || (doc_id + 9))").alias("pages"), F.expr("if(doc_id % 3 = 0, null, '10.1/' || doc_id)").alias("doi"), F.lit("").alias("url"), F.array(F.lit("k1"), F.col("lang")).alias("keywords"), F.lit(None).cast("string").alias("abstract"),
+        F.expr("element_at(array('journal-article', 'Thesis', 'conference-paper', 'book', 'preprint'), cast(1 + doc_id % 5 as int))").alias("publication_type"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("pmid"),
+    )
+    made = [styles.records(papers, s).select("number", F.lit(s).alias("style"), F.md5(F.col("text").cast("binary")).alias("text")) for s in STYLES]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
