@@ -253,3 +253,28 @@ def _(spark, d):
     made = indexes.arxiv(spark, wrote(rows, place(spark, "arxiv")))
     made = joined(made.select("source_id", "title", "abstract", "authors", "journal", "pub_year", "doi", "keywords", "full_text_url"), "authors", "keywords")
     return made.withColumn("abstract", F.md5(F.col("abstract").cast("binary")))
+
+
+# tables and formats ---------------------------------------------------------------------------------------------------
+@query(
+    "src_05_csv",
+    f"""select 'T ' || doc_id as title, md5({LINE.format("coalesce(text, '')")}) as abstract, 'Zhang Wei;A' || (doc_id % 9) as authors, case when doc_id % 3 = 0 then 'Alt' else 'J; ' || lang end as journal, cast(1980 + doc_id % 40 as int) as pub_year,
+    '10.7/x' || doc_id as doi, 'a;' || lang as keywords, coalesce(n_chars, 0) as cited_by_count, 'https://doi.org/10.7/X' || doc_id as url from documents where doc_id % 6 <> 0""",
+)
+def _(spark, d):
+    rows = table(spark, d, "documents").select(
+        F.expr("if(doc_id % 6 = 0, ' ', concat('T ', doc_id))").alias("题名"), F.expr(ONE_LINE).alias("Abstract"), F.expr("concat('Zhang Wei; A', doc_id % 9)").alias("AUTHORS"), F.expr("concat('J; ', lang)").alias("Journal"),
+        F.expr("if(doc_id % 3 = 0, 'Alt', null)").alias("Source Title"), F.expr("concat(1980 + doc_id % 40, '-05')").alias("Date"), F.expr("concat('10.7/X', doc_id)").alias("DI"), F.lit("a").alias("Keywords"), F.col("lang").alias("Author Keywords"), F.col("n_chars").alias("Cited by"), F.lit("z").alias("Odd"),
+    )
+    path = place(spark, "csv")
+    rows.write.option("header", "true").option("sep", "\t").option("escape", '"').csv(path)
+    made = exports.csv_files(spark, path).select("title", "abstract", "authors", "journal", "pub_year", "doi", "keywords", "cited_by_count", "url")
+    return joined(made, "authors", "keywords").withColumn("abstract", F.md5(F.col("abstract").cast("binary")))
+
+
+@query("src_06_formats", "select doc_id, ['ris', 'wos', 'tagged', 'bibtex', 'csv', ''][1 + doc_id % 6] as format from documents")
+def _(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", F.expr(ONE_LINE).alias("line"))
+    forms = [RIS.replace("if(doc_id % 8 = 0, '', '\nER  - ')", "'\nER  - '"), "concat('FN x\n', " + WOS + ")", TAGGED, BIBTEX, "concat('Title,Year,Odd\n', line, ',2000,x')", "concat('plain text, ', line)"]
+    value = F.expr("case doc_id % 6 " + " ".join(f"when {i} then {f}" for i, f in enumerate(forms)) + " end")
+    return rows.select("doc_id", exports.format_of(value, F.lit("/x/file.dat")).alias("format"))

@@ -14,9 +14,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litsieve.functions.text import clean_abstract, coerce_int, normalize_doi, spaced
 from litsieve.sources.records import as_papers, filled, present
@@ -50,7 +52,10 @@ LATEX = [
 ITEM = "\u001f"  # stands between the items of a value that goes over several lines
 
 
-def records_of(spark: SparkSession, path: str, line_sep: str) -> DataFrame:
+def records_of(spark: SparkSession, path: str | DataFrame, line_sep: str) -> DataFrame:
+    """(value) between separators: of the files at path, or of whole texts (value) that are there already."""
+    if isinstance(path, DataFrame):
+        return path.select(F.explode(F.split("value", f"\\Q{line_sep}\\E")).alias("value"))
     return spark.read.option("lineSep", line_sep).option("recursiveFileLookup", "true").text(path)
 
 
@@ -94,14 +99,14 @@ def line_papers(rows: DataFrame, tags: dict[str, str], source: str, types: dict[
     )
 
 
-def ris(spark: SparkSession, path: str, source: str = "import") -> DataFrame:
+def ris(spark: SparkSession, path: str | DataFrame, source: str = "import") -> DataFrame:
     """'TY  - JOUR' to 'ER  - '; a record may lack either."""
     ended = records_of(spark, path, "\nER  -").select(F.explode(F.split("value", "(?m)(?=^TY\\s{1,2}-)")).alias("record"))
     lines = pairs(F.col("record"), "^([A-Z][A-Z0-9])\\s{1,2}-\\s?(.*)$", " ", "\\s*\\r?\\n(?!\\s*[A-Z][A-Z0-9]\\s{1,2}-)\\s*")
     return line_papers(ended.select(lines.alias("pairs")), RIS_TAGS, source, RIS_TYPES, True)
 
 
-def wos(spark: SparkSession, path: str, source: str = "import") -> DataFrame:
+def wos(spark: SparkSession, path: str | DataFrame, source: str = "import") -> DataFrame:
     """'PT J' to 'ER'; indented lines go on, for authors and keywords as further items. What follows 'EF' is not read."""
     read = F.regexp_replace("value", "(?s)(^|\\n)EF\\s*(\\n.*)?$", "")
     ended = records_of(spark, path, "\nER").select(F.explode(F.split(read, "(?m)(?=^PT\\s)")).alias("record"))
@@ -110,7 +115,7 @@ def wos(spark: SparkSession, path: str, source: str = "import") -> DataFrame:
     return line_papers(ended.select(lines.alias("pairs")), RIS_TAGS, source, WOS_TYPES, True)
 
 
-def tagged(spark: SparkSession, path: str, source: str = "import") -> DataFrame:
+def tagged(spark: SparkSession, path: str | DataFrame, source: str = "import") -> DataFrame:
     """'%0 Journal Article' begins a record; a file without %0 is one."""
     begun = records_of(spark, path, "\n%0 ").select(F.when(F.startswith("value", F.lit("%")), F.col("value")).otherwise(F.concat(F.lit("%0 "), "value")).alias("record"))
     lines = pairs(F.col("record"), "^\\s*%(\\S+) ?(.*)$", " ", "\\r(?=\\n)")
@@ -184,9 +189,9 @@ def latex_to_text(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[{}]", ""), "\\\\[a-zA-Z]+\\s*", ""), "\\s{2,}", " "))
 
 
-def bibtex(spark: SparkSession, path: str, source: str = "import") -> DataFrame:
+def bibtex(spark: SparkSession, path: str | DataFrame, source: str = "import") -> DataFrame:
     """Entries of .bib files, one file a row; a file has at most 2 GB."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    files = path.select("value") if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     rows = files.mapInArrow(_bibtex, "kind string, fields map<string,string>")
     raw = lambda name: F.trim(F.coalesce(F.col("fields")[name], F.lit("")))
     authors = F.filter(F.transform(F.split(latex_to_text(F.col("fields")["author"]), "\\s+and\\s+"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "others"))
@@ -198,3 +203,85 @@ def bibtex(spark: SparkSession, path: str, source: str = "import") -> DataFrame:
         doi=normalize_doi(F.nullif(raw("doi"), F.lit(""))), pmid=raw("pmid"), pmcid=raw("pmcid"), keywords=keywords, volume=raw("volume"), issue=raw("number"), pages=raw("pages"),
         publication_type=mapped(F.col("kind"), BIB_TYPES), url=filled(raw("url"), F.when(raw("doi") != "", F.concat(F.lit("https://doi.org/"), raw("doi")))), is_open_access=raw("eprint") != "",
     )
+
+
+# Heads of columns, in lower case, of each field; encodings in the order in which they are tried.
+CSV_HEADS = {
+    "title": ["title", "标题", "题名", "ti", "article title"], "authors": ["author", "authors", "作者", "au"], "abstract": ["abstract", "摘要", "ab"],
+    "journal": ["journal", "期刊", "来源", "刊名", "so", "source title", "publication name"], "pub_year": ["year", "年份", "年", "py", "publication year", "date"], "doi": ["doi", "di"],
+    "pmid": ["pmid", "pubmed id"], "keywords": ["keywords", "关键词", "author keywords"], "volume": ["volume", "卷"], "issue": ["issue", "期"], "pages": ["pages", "页码", "page start"],
+    "url": ["url", "链接", "link"], "language": ["language", "语种"], "publication_type": ["document type", "文献类型"], "cited_by_count": ["cited by", "被引频次", "citations"],
+}
+ENCODINGS = ["utf-8-sig", "gb18030", "utf-16"]
+
+
+def csv_files(spark: SparkSession, path: str | list[str], source: str = "import", encoding: str = "utf-8") -> DataFrame:
+    """Papers of tables with one head (comma, tab or semicolon, as often as it stands in the head); a table without a
+    title column gives none. Of several columns for a field the last with a value stands; lists take all."""
+    head = (spark.read.option("encoding", encoding).text(path).head(1) or [[""]])[0][0].lstrip("\ufeff")
+    sep = max((",", "\t", ";"), key=head.count)
+    rows = spark.read.csv(path, sep=sep, header=True, multiLine=True, escape='"', encoding=encoding)
+    own = {f: [c for c in rows.columns if c.lstrip("\ufeff").strip().lower() in names] for f, names in CSV_HEADS.items()}
+    texts = lambda f: [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in own[f]]
+    one = lambda f: F.coalesce(*reversed(texts(f)), F.lit(""))
+    many = lambda f: present(F.flatten(F.array(F.array().cast("array<string>"), *(F.transform(F.split(F.coalesce(t, F.lit("")), "[;|]"), lambda x: F.trim(x)) for t in texts(f)))))
+    return as_papers(
+        rows if own["title"] else rows.limit(0), source, title=spaced(one("title")), abstract=clean_abstract(one("abstract"), compose=False), authors=many("authors"), journal=one("journal"),
+        pub_year=coerce_int(one("pub_year")), doi=normalize_doi(F.nullif(one("doi"), F.lit(""))), pmid=one("pmid"), keywords=many("keywords"), volume=one("volume"), issue=one("issue"), pages=one("pages"),
+        language=one("language"), publication_type=one("publication_type"), cited_by_count=F.coalesce(coerce_int(one("cited_by_count")), F.lit(0)).cast("long"),
+        url=filled(one("url"), F.when(one("doi") != "", F.concat(F.lit("https://doi.org/"), one("doi")))),
+    )
+
+
+def decoded(content: bytes) -> tuple[str, str]:
+    """The text and the first encoding that fits; what fits none is read as UTF-8 with signs for its faults."""
+    for name in ENCODINGS:
+        try:
+            return content.decode(name), name
+        except UnicodeDecodeError:
+            continue
+    return content.decode("utf-8", "replace"), "utf-8"
+
+
+@F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("encoding", T.StringType())]))
+def decode(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([decoded(c) for c in content], columns=["value", "encoding"])
+
+
+def format_of(value: Column, path: Column) -> Column:
+    """ris, bibtex, tagged, wos, csv or an empty text: by what stands in the file, then by its name."""
+    has = lambda pattern: F.rlike(value, F.lit(pattern))
+    head = F.lower(F.regexp_extract(value, "^\\s*([^\r\n]*)", 1))
+    first_lines = F.regexp_extract(value, "^((?:[^\n]*\n?){0,12})", 1)
+    wos_like = F.rlike(first_lines, F.lit("(?m)^(FN|VR|PT)\\s")) & F.rlike(first_lines, F.lit("(?m)^(AU|TI|SO)\\s")) & ~F.rlike(first_lines, F.lit("(?m)^[A-Z][A-Z0-9]\\s{1,2}-"))
+    counts = [(s, F.char_length(head) - F.char_length(F.replace(head, F.lit(s), F.lit("")))) for s in (",", "\t", ";")]
+    best = F.greatest(*(n for _, n in counts))
+    sep = F.coalesce(*(F.when(n == best, F.lit(s)) for s, n in counts))
+    columns = F.transform(F.split(head, F.concat(F.lit("\\Q"), sep, F.lit("\\E"))), lambda c: F.btrim(F.trim(c), F.lit('"')))
+    names = F.array(*(F.lit(n) for heads in CSV_HEADS.values() for n in heads))
+    known = F.size(F.filter(columns, lambda c: F.array_contains(names, c)))
+    table = (best >= 1) & (known >= 2) & (known * 2 >= F.size(columns)) & ~F.rlike(head, F.lit("^(@|%|ty |fn |pt )"))
+    ending = F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
+    return (
+        F.when(has("@[a-zA-Z]+\\s*[{(]"), "bibtex").when(has("(?m)^TY\\s{1,2}-") & has("(?m)^ER\\s{1,2}-"), "ris").when(wos_like, "wos").when(has("(?m)^%[0-9A-Z@]"), "tagged").when(has("(?m)^TY\\s{1,2}-"), "ris")
+        .when(ending == "ris", "ris").when(ending.isin("bib", "bibtex"), "bibtex").when(ending.isin("enw", "ref", "note"), "tagged").when(ending.isin("csv", "tsv") | table, "csv").otherwise("")
+    )
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, encoding, format) of all files at path, decoded; a file has at most 2 GB."""
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", decode("content").alias("x")).select("path", "x.*")
+    return held.withColumn("format", format_of(F.col("value"), F.col("path")))
+
+
+def any_export(spark: SparkSession, path: str, source: str = "import") -> DataFrame:
+    """Papers of all exports at path, each file by its own format and encoding; tables of different heads are read one by one."""
+    held = files_of(spark, path)
+    readers = {"ris": ris, "wos": wos, "tagged": tagged, "bibtex": bibtex}
+    parts = [reader(spark, held.where(F.col("format") == name).select("value"), source) for name, reader in readers.items()]
+    tables = held.where("format = 'csv'").select("path", "encoding").collect()  # names only; a list of files that a driver can list
+    parts += [csv_files(spark, r["path"], source, "utf-8" if r["encoding"] == "utf-8-sig" else r["encoding"]) for r in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

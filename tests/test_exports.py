@@ -141,3 +141,29 @@ def test_bibtex(spark, tmp_path):
     assert r.abstract == "With a line @insidebrace and = sign" and r.keywords == ["a", "b", "c"]
     s = next(r for t, r in got.items() if t.startswith("Quoted"))
     assert (s.journal, s.pub_year, s.publication_type) == ("Proc", 2018, "conference-paper")
+
+
+CSV = '''标题;Authors;Year;DOI;Author Keywords;Keywords;Abstract;Odd
+Effects;Zhang Wei| Li Na;2020;10.5/Q;a;b|c;"two
+lines ""quoted""";x
+;Nobody;2000;;;;;
+'''
+
+
+def test_tables(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(CSV)
+    r, = exports.csv_files(spark, str(tmp_path)).collect()
+    assert (r.title, r.authors, r.pub_year, r.doi, r.keywords, r.abstract, r.url) == ("Effects", ["Zhang Wei", "Li Na"], 2020, "10.5/q", ["a", "b", "c"], 'two lines "quoted"', "https://doi.org/10.5/Q")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "c.csv").write_text("name,year\nx,1\n")
+    assert exports.csv_files(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_any_export_finds_format_and_encoding(spark, tmp_path):
+    files = {"a.txt": RIS.encode(), "b.txt": WOS.encode(), "c.dat": TAGGED.replace("Effects", "疗效研究").encode("gb18030"), "d.txt": BIB.encode("utf-16"), "e.txt": b"\xef\xbb\xbf" + CSV.encode(), "f.txt": b"Just prose, with a title.", "g.ris": b"odd", "h.txt": b"TY  - JOUR\nTI  - Only"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.format, r.encoding) for r in exports.files_of(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("ris", "utf-8-sig"), "b.txt": ("wos", "utf-8-sig"), "c.dat": ("tagged", "gb18030"), "d.txt": ("bibtex", "utf-16"), "e.txt": ("csv", "utf-8-sig"), "f.txt": ("", "utf-8-sig"), "g.ris": ("ris", "utf-8-sig"), "h.txt": ("ris", "utf-8-sig")}
+    titles = sorted(r.title for r in exports.any_export(spark, str(tmp_path)).collect())
+    assert titles == sorted(["Effects of rTMS on mood", "No end tag", "Third", "Bare record", "Effects of rTMS", "Second", "疗效研究", "Page", "Effects of rTMS & mood - ä", 'Quoted \\" sign', "Effects", "Only"])
