@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from litsieve.functions import styles
-from litsieve.operators import bulk, formatting
+from litsieve.operators import assessment, bulk, formatting
 from litsieve.operators.snapshots import Library
 from litsieve.sources import artifacts
 from litsieve.sources.adapters import table, view
@@ -164,3 +164,34 @@ def _(spark, d):
     for m in made[1:]:
         out = out.unionByName(m)
     return out
+
+
+# assessment: designs, sample sizes, citations, years and conclusions planted by doc_id, so that each branch occurs.
+PLANTED = """select doc_id as paper_id, coalesce(n_chars, 0) % 700 * cast(doc_id % 3 <> 0 as int) as cited_by_count, case when doc_id % 11 = 0 then null else 2000 + doc_id % 27 end as pub_year,
+    case doc_id % 10 when 0 then 'A meta-analysis' when 1 then 'Practice guideline' when 2 then 'An RCT' when 3 then 'Prospective study' when 4 then 'Case-control' when 5 then 'A survey' when 6 then 'Overview' when 7 then 'Murine models' when 8 then 'Case series' else 'Thing' end
+      || case doc_id % 4 when 0 then ' of stroke rehabilitation' when 1 then ' of mood' else '' end as title,
+    case when doc_id % 13 = 0 then ' ' else 'Opening words' || case doc_id % 3 when 0 then ' on stroke' else '' end || '. ' || case doc_id % 5 when 0 then 'We had n = ' || (doc_id % 40) || '. ' when 1 then '120 patients. ' when 2 then '纳入 450 例。' when 3 then '2000 adults! ' else '' end
+      || case doc_id % 6 when 0 then '结论： It works. More' when 1 then 'Conclusion: no' when 2 then '结果:' else '' end || case when doc_id % 7 = 0 then ' rehabilitation ' || repeat('z', 100) else '' end end as abstract from {documents}"""
+LEVELS = ["Meta分析/系统评价", "指南/共识", "RCT", "队列研究", "病例对照", "横断面", "综述", "动物实验", "病例报告", "其他"]
+SCORES = [8.5, 7.5, 7.5, 5.5, 4.5, 4.0, 4.5, 3.0, 2.5, 4.0]
+
+
+@query(
+    "sca_19_assessment",
+    f"""with p as ({plain(PLANTED)}), f as (select *, {LEVELS}[1 + paper_id % 10] as evidence_level, {SCORES}[1 + paper_id % 10] as base, trim(abstract) = '' as blank,
+      case when paper_id % 13 = 0 then null else case paper_id % 5 when 0 then case when paper_id % 40 >= 5 then paper_id % 40 end when 1 then 120 when 2 then 450 when 3 then 2000 end end as n, 2026 - pub_year as age from p),
+    t as (select *, cast(contains(title, 'stroke') as int) + cast(contains(title, 'rehabilitation') as int) as a, cast(contains(abstract, 'stroke') as int) + cast(contains(abstract, 'rehabilitation') as int) as b from f),
+    r as (select *, least(1.0, (a * 2.0 + b) / 6.0) as c from t), s as (select *, round(round(least(10.0, 3.0 + c * 7.0 + case when a > 0 and c >= 0.5 then 0.8 else 0 end)::double, 6), 1) as rel from r)
+    select paper_id, evidence_level, round(round(greatest(0.0, least(10.0, base + case when n is null then 0 when n >= 1000 then 1.2 when n >= 300 then 0.8 when n >= 100 then 0.4 when n < 30 then -0.8 else 0 end
+        + case when cited_by_count >= 500 then 1.2 when cited_by_count >= 100 then 0.8 when cited_by_count >= 30 then 0.4 when cited_by_count = 0 then -0.3 else 0 end + case when age <= 3 then 0.5 when age >= 12 then -0.6 else 0 end
+        + case when blank then -1.2 else 0 end))::double, 6), 1) as quality, case when blank then round(round((rel * 0.7 + 1.8)::double, 6), 1) else rel end as relevance,
+      case when n < 30 then '样本量偏小（n=' || n || '）' when evidence_level = '动物实验' then '动物实验，外推至临床需谨慎' when evidence_level in ('病例报告', '横断面') then '设计证据等级较低，难以推断因果' when blank then '缺少摘要，无法评估方法学细节'
+        when cited_by_count = 0 and coalesce(age, 0) >= 1 then '尚无被引记录' else '' end as limitation,
+      case when blank then '' when paper_id % 6 = 0 then 'It works。' when paper_id % 6 = 1 then left('no' || case when paper_id % 7 = 0 then ' rehabilitation ' || repeat('z', 100) else '' end, 80) || '。'
+        when paper_id % 6 = 2 and paper_id % 7 = 0 then left('rehabilitation ' || repeat('z', 100), 80) || '。' else 'Opening words' || case paper_id % 3 when 0 then ' on stroke' else '' end || '。' end as key_finding,
+      case when blank then round(round((rel * 0.7 + 1.8)::double, 6), 1) else rel end >= 4 as use_in_review from s""",
+)
+def _(spark, d):
+    papers = spark.sql(PLANTED, documents=table(spark, d, "documents"))
+    made = assessment.assess(papers, F.lit("Effects of stroke and rehabilitation therapy"), 2026)
+    return made.select("paper_id", "evidence_level", "quality", "relevance", "limitation", "key_finding", "use_in_review")
