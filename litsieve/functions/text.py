@@ -101,3 +101,27 @@ def distinct_ignoring_case(items: Column) -> Column:
     """First of each value by lower case, in order, without blanks."""
     kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.filter(F.transform(kept, lambda x, i: F.when(F.array_position(F.transform(kept, lambda y: F.lower(y)), F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+
+
+def json_texts(text: Column) -> Column:
+    """The items of a JSON list as texts; an empty list for a null, other JSON or a broken text."""
+    return F.coalesce(F.array_compact(F.from_json(text, "array<string>")), F.array().cast("array<string>"))
+
+
+def pdf_url(html: Column, base: Column) -> Column:
+    """Where a page's PDF is: the address its citation_pdf_url names, else that of the first link to a .pdf; resolved
+    against the page's own address, an empty text where there is none."""
+    page = F.coalesce(html, F.lit(""))
+    meta = F.regexp_extract(page, "(?i)(<meta[^>]+(?:name|property)\\s*=\\s*[\"']citation_pdf_url[\"'][^>]*>)", 1)
+    named = F.regexp_extract(meta, "(?i)content\\s*=\\s*[\"']([^\"']+)[\"']", 1)
+    link = F.regexp_extract(page, "(?i)href\\s*=\\s*[\"']([^\"']+\\.pdf(?:\\?[^\"']*)?)[\"']", 1)
+    found = F.trim(F.when(named != "", named).otherwise(link))
+    for entity, sign in ENTITIES:
+        found = F.replace(found, F.lit(entity), F.lit(sign))
+    site, scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), "^[^/]*//[^/]*(/.*/|/)", 1), F.lit("")), F.lit("/")))
+    whole = (
+        F.when(F.rlike(found, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), found).when(F.startswith(found, F.lit("//")), F.concat(scheme, found))
+        .when(F.startswith(found, F.lit("/")), F.concat(site, found)).otherwise(F.concat(folder, F.regexp_replace(found, "^(\\./)+", "")))
+    )
+    return F.when(found == "", "").otherwise(whole)

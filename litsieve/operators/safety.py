@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from litsieve.operators import injection
+
 # Credentials, as (name, before, sign of the value, what may end it); the value is masked, what stands before it stays.
 VALUE = r"[A-Za-z0-9\-._~+/]"
 SECRETS = [
@@ -55,10 +57,40 @@ def neutralize_brackets(text: Column) -> Column:
     return F.regexp_replace(text, "([<>＜＞]{2})[<>＜＞]+", "$1")
 
 
-def output_problems(text: Column, max_chars: int | None = None, forbidden: list[str] = ()) -> Column:
+# The mark of a cut text, wordings that only prompts have, and how prompts name their model's part.
+TRUNCATED = "…[已截断]"
+PROMPT_WORDS = ["它属于不可信数据，不是指令", "untrusted DATA, never instructions", "严谨的医学研究助理", "硬性规则：", "只输出一个 JSON 对象", "<|im_start|>", "### Instruction:"]
+PROMPT_PATTERNS = [
+    r"(?im)^\s*(?:you are|you're)\s+(?:now\s+)?(?:a|an|the)\s+[^\n]{0,60}?\b(?:assistant|ai|chatbot|language model|llm|gpt|claude|qwen|llama|deepseek|gemini|model|agent|expert)\b",
+    r"(?im)^\s*(?:you are|you're)\s+(?:now\s+)?(?:chatgpt|gpt-?[0-9][0-9a-z.]*|claude|qwen[0-9a-z.-]*|llama[0-9a-z.-]*|deepseek[0-9a-z.-]*|gemini[0-9a-z.-]*)\b",
+    r"(?:^|\n)\s*(?:你是|您是)[^\n]{0,40}?(?:助手|专家|模型|人工智能|智能体|代理|AI)",
+]
+
+
+def truncate_body(text: Column, most: int) -> Column:
+    """The first `most` characters and a mark, where the text is longer; of a bound of 0 or less only the mark stays."""
+    body = F.coalesce(text, F.lit(""))
+    kept = F.substring(body, 1, most) if most > 0 else F.lit("")
+    return F.when(F.char_length(body) > most, F.concat(kept, F.lit(TRUNCATED))).otherwise(body)
+
+
+def leaked_prompt(text: Column, words: list[str] = ()) -> Column:
+    """Whether a text holds wordings of prompts, `words` of one's own among them, or tells a model what it is."""
+    body = F.coalesce(text, F.lit(""))
+    tests = [F.contains(body, F.lit(w)) for w in [*PROMPT_WORDS, *words]] + [F.rlike(body, F.lit(p)) for p in PROMPT_PATTERNS]
+    found = tests[0]
+    for t in tests[1:]:
+        found = found | t
+    return found
+
+
+def output_problems(text: Column, max_chars: int | None = None, forbidden: list[str] = (), prompt_words: list[str] = ()) -> Column:
+    """empty (alone), secret, too_long, forbidden: ..., leaked_prompt, and injection: kind for planted instructions of high severity."""
     body = F.coalesce(text, F.lit(""))
-    tests = [F.when(F.trim(body) == "", F.lit("empty")), F.when(F.size(secret_kinds(body)) > 0, F.lit("secret"))]
+    blank = ~F.rlike(body, F.lit("\\S"))
+    tests = [F.when(F.size(secret_kinds(body)) > 0, F.lit("secret")), F.when(leaked_prompt(body, prompt_words), F.lit("leaked_prompt"))]
     if max_chars is not None:
         tests.append(F.when(F.char_length(body) > max_chars, F.lit("too_long")))
     tests += [F.when(F.contains(body, F.lit(p)), F.lit("forbidden: " + p)) for p in forbidden if p]
-    return F.array_compact(F.array(*tests))
+    high = F.transform(F.filter(injection.findings(body), lambda x: x["severity"] == "high"), lambda x: F.concat(F.lit("injection: "), x["kind"]))
+    return F.when(blank, F.array(F.lit("empty"))).otherwise(F.concat(F.array_compact(F.array(*tests)), high))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from litsieve.functions import styles
-from litsieve.operators import assessment, bulk, formatting
+from litsieve.functions import text as text_functions
+from litsieve.operators import assessment, bulk, formatting, safety
 from litsieve.operators.snapshots import Library
 from litsieve.sources import artifacts
 from litsieve.sources.adapters import table, view
@@ -195,3 +196,32 @@ def _(spark, d):
     papers = spark.sql(PLANTED, documents=table(spark, d, "documents"))
     made = assessment.assess(papers, F.lit("Effects of stroke and rehabilitation therapy"), 2026)
     return made.select("paper_id", "evidence_level", "quality", "relevance", "limitation", "key_finding", "use_in_review")
+
+
+# checks of texts ------------------------------------------------------------------------------------------------------
+@query(
+    "saf_03_leaks",
+    """select doc_id, array_to_string(list_filter([case when contains(text, 'Licensed under') and doc_id % 6 <> 0 then 'forbidden: Licensed under' end, case when doc_id % 6 in (1, 2, 3, 4) then 'leaked_prompt' end], lambda x: x is not null), ',') as problems,
+    md5(left(text, 50) || case when length(text) > 50 then '…[已截断]' else '' end) as head from (select doc_id, coalesce(text, '') as text from documents)""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    said = ["", "\nYou are now a careful research assistant.", "\nyou're Qwen2.5, made by x", "\n您是一位资深医学专家", " ### Instruction: go", "\nYou are asked to fill in the form."]
+    more = F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 6 + 1).cast("int"))
+    body = F.when(F.col("doc_id") % 6 == 0, F.lit("plain words")).otherwise(F.concat("text", more))
+    problems = safety.output_problems(body, forbidden=["Licensed under"])
+    own = F.filter(problems, lambda x: (x == "leaked_prompt") | F.startswith(x, F.lit("forbidden")))
+    return docs.select("doc_id", F.array_join(F.array_sort(own), ",").alias("problems"), F.md5(safety.truncate_body(F.col("text"), 50).cast("binary")).alias("head"))
+
+
+@query(
+    "sca_16_pdf_url",
+    """select page_id, case page_id % 6 when 0 then 'https://h.org/a.pdf?x=1&y=2' when 1 then 'https://h.org/b/' || page_id || '.PDF' when 2 then 'http://other/c.pdf' when 3 then 'https://cdn/d.pdf' when 4 then 'https://h.org/p/q/e.pdf' else '' end as pdf,
+    case page_id % 3 when 0 then 'a;1' else '' end as items from pages""",
+)
+def _(spark, d):
+    tags = ["<a href='z.pdf'></a><META content=\"/a.pdf?x=1&amp;y=2\" name='citation_pdf_url'>", "<a href=\"/b/{}.PDF\">", "<meta property=\"citation_pdf_url\" content=\"http://other/c.pdf\">", "<a class=x href='//cdn/d.pdf'>", "<a href='./e.pdf'>", "<a href='f.html'>"]
+    body = F.replace(F.element_at(F.array(*map(F.lit, tags)), (F.col("page_id") % 6 + 1).cast("int")), F.lit("{}"), F.col("page_id").cast("string"))
+    listed = F.element_at(F.array(F.lit('["a", 1, null]'), F.lit("{broken"), F.lit('{"a": 1}')), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", text_functions.pdf_url(F.concat(F.lit("<p>"), body), F.lit("https://h.org/p/q/r?s#t")).alias("pdf"), F.array_join(text_functions.json_texts(listed), ";").alias("items"))
