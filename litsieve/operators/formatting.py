@@ -66,7 +66,7 @@ def sections(draft: Column) -> Column:
 
 def selfcheck(drafts: DataFrame) -> DataFrame:
     """drafts (draft_id, draft, valid array<int>) -> missing and never cited numbers, empty and short sections, verdict, characters."""
-    cited = citation_check(drafts).select("draft_id", "missing", "never_cited", "ok")
+    cited = citation_check(drafts.withColumn("draft", F.coalesce("draft", F.lit("")))).select("draft_id", "missing", "never_cited", "ok")
     clean = lambda s: F.regexp_replace(s["body"], "^\\s+|\\s+$", "")
     made = drafts.select("draft_id", sections(F.col("draft")).alias("s"), F.char_length(F.coalesce("draft", F.lit(""))).cast("long").alias("char_count"))
     empty = F.transform(F.filter("s", lambda s: clean(s) == ""), lambda s: s["head"])

@@ -278,3 +278,44 @@ def _(spark, d):
     forms = [RIS.replace("if(doc_id % 8 = 0, '', '\nER  - ')", "'\nER  - '"), "concat('FN x\n', " + WOS + ")", TAGGED, BIBTEX, "concat('Title,Year,Odd\n', line, ',2000,x')", "concat('plain text, ', line)"]
     value = F.expr("case doc_id % 6 " + " ".join(f"when {i} then {f}" for i, f in enumerate(forms)) + " end")
     return rows.select("doc_id", exports.format_of(value, F.lit("/x/file.dat")).alias("format"))
+
+
+# edges of index records: orders with their lines as reference lists -----------------------------------------------------
+PLACED = "select *, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as int) as place from lineitem"
+
+
+def lined(spark, d, entry):
+    """One row an order: its number and its lines as structs, in order."""
+    lines = table(spark, d, "lineitem")
+    held = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(entry).alias("x")))), lambda x: x["x"]).alias("entries"))
+    return held
+
+
+@query(
+    "src_18_europe_pmc_edges",
+    f"""select 'MED:' || l_orderkey as paper, place, case when l_orderkey % 2 = 0 then 'cites' else 'cited_by' end as direction, case when l_linenumber % 3 = 0 then cast(l_partkey as varchar) end as pmid,
+    case when l_linenumber % 3 = 1 then cast(l_partkey as varchar) end as pmcid, '10.2/p' || l_partkey as doi, 'On x ' || l_suppkey as title, case when l_linenumber % 2 = 0 then 'Abbr' else 'Full' end as journal, cast(1990 + l_linenumber as varchar) as year, 'A, B' as authors
+    from ({PLACED})""",
+)
+def _(spark, d):
+    entry = """named_struct('source', case l_linenumber % 3 when 0 then 'med' when 1 then 'PMC' else 'AGR' end, 'id', concat(' ', l_partkey), 'doi', concat('doi:10.2/P', l_partkey), 'title', concat('On <i>x</i> ', l_suppkey), 'pubYear', 1990 + l_linenumber,
+        'journalAbbreviation', if(l_linenumber % 2 = 0, 'Abbr', ''), 'journalTitle', 'Full', 'authorString', 'A, B')"""
+    record = F.expr("""if(l_orderkey % 2 = 0, to_json(named_struct('id', l_orderkey, 'source', 'MED', 'referenceList', named_struct('reference', entries))), to_json(named_struct('id', l_orderkey, 'source', 'MED', 'citationList', named_struct('citation', entries))))""")
+    return indexes.europe_pmc_edges(lined(spark, d, entry).select(record.alias("record")))
+
+
+@query(
+    "src_18_semantic_edges",
+    f"""select 's' || l_orderkey as paper, place, case when l_orderkey % 2 = 0 then 'cites' else 'cited_by' end as direction, 'p' || l_partkey as s2_id, case when l_linenumber % 2 = 0 then cast(l_suppkey as varchar) end as pmid, '10.2/p' || l_partkey as doi,
+    'T ' || l_suppkey as title, '' as journal, cast(1990 + l_linenumber as varchar) as year, 'A B, C' as authors, l_partkey as cited_by_count from ({PLACED}) where l_linenumber <> 5""",
+)
+def _(spark, d):
+    other = "named_struct('paperId', concat('p', l_partkey), 'title', concat('T ', l_suppkey), 'year', 1990 + l_linenumber, 'venue', '', 'citationCount', l_partkey, 'externalIds', named_struct('DOI', concat('10.2/P', l_partkey), 'PubMed', if(l_linenumber % 2 = 0, cast(l_suppkey as string), '')), 'authors', array(named_struct('name', 'A B'), named_struct('name', ''), named_struct('name', 'C')))"
+    entry = f"if(l_linenumber = 5, named_struct('citedPaper', null, 'citingPaper', null), named_struct('citedPaper', if(l_orderkey % 2 = 0, {other}, null), 'citingPaper', if(l_orderkey % 2 = 1, {other}, null)))"
+    return indexes.semantic_scholar_edges(lined(spark, d, entry).select(F.expr("to_json(named_struct('paperId', concat('s', l_orderkey), 'data', entries))").alias("record")))
+
+
+@query("src_18_pubmed_edges", f"select cast(l_orderkey as varchar) as paper, 'pubmed_pubmed_refs' as linkname, place, cast(l_partkey as varchar) as pmid from ({PLACED})")
+def _(spark, d):
+    record = F.expr("to_json(named_struct('linksets', array(named_struct('ids', array(l_orderkey), 'linksetdbs', array(named_struct('dbto', 'pmc', 'linkname', 'x', 'links', array(1L)), named_struct('dbto', 'pubmed', 'linkname', 'pubmed_pubmed_refs', 'links', entries))))))")
+    return indexes.pubmed_edges(lined(spark, d, "l_partkey").select(record.alias("record")))

@@ -90,3 +90,41 @@ def arxiv(spark: SparkSession, path: str) -> DataFrame:
         pub_year=whole(F.nullif(F.regexp_extract("published", "^(\\d{4})", 1), F.lit(""))), source_id=number, doi=normalize_doi(F.col("doi")), keywords=present(F.col("categories")), is_open_access=F.lit(True),
         full_text_url=F.concat(F.lit("https://arxiv.org/pdf/"), number), url=filled(F.concat(F.lit("https://arxiv.org/abs/"), number), F.col("id")), publication_type=F.lit("preprint"), language=F.lit("en"),
     )
+
+
+EDGE = "source string, id string, doi string, title string, pubYear string, journalAbbreviation string, journalTitle string, authorString string"
+EUROPE_LISTS = f"id string, source string, referenceList struct<reference: array<struct<{EDGE.replace(' string', ': string')}>>>, citationList struct<citation: array<struct<{EDGE.replace(' string', ': string')}>>>"
+OTHER = "struct<paperId: string, title: string, year: int, venue: string, citationCount: long, externalIds: struct<DOI: string, PubMed: string>, authors: array<struct<name: string>>>"
+SEMANTIC_LISTS = f"paperId string, data array<struct<citedPaper: {OTHER}, citingPaper: {OTHER}>>"
+
+
+def europe_pmc_edges(records: DataFrame, column: str = "record") -> DataFrame:
+    """Edges (paper, place, direction, pmid, pmcid, doi, title, journal, year, authors) of each record's reference or citation list."""
+    r = parsed(records, EUROPE_LISTS, column)
+    listed = F.when(F.col("referenceList").isNotNull(), F.col("referenceList.reference")).otherwise(F.col("citationList.citation"))
+    rows = r.select(F.concat_ws(":", "source", "id").alias("paper"), F.when(F.col("referenceList").isNotNull(), "cites").otherwise("cited_by").alias("direction"), F.posexplode(listed).alias("place", "x"))
+    number = F.nullif(F.trim("x.id"), F.lit(""))
+    own = lambda kind: F.when(F.upper("x.source") == kind, number)
+    return rows.select(
+        "paper", "place", "direction", own("MED").alias("pmid"), own("PMC").alias("pmcid"), normalize_doi(F.col("x.doi")).alias("doi"), clean_abstract(F.col("x.title"), compose=False).alias("title"),
+        filled(F.col("x.journalAbbreviation"), F.col("x.journalTitle")).alias("journal"), F.col("x.pubYear").alias("year"), filled(F.col("x.authorString")).alias("authors"),
+    )
+
+
+def semantic_scholar_edges(records: DataFrame, column: str = "record") -> DataFrame:
+    """Edges of lists of cited or citing papers; entries without either are left out."""
+    r = parsed(records, SEMANTIC_LISTS, column).select("paperId", F.posexplode("data").alias("place", "e"))
+    rows = r.select(F.col("paperId").alias("paper"), "place", F.when(F.col("e.citedPaper").isNotNull(), "cites").otherwise("cited_by").alias("direction"), F.coalesce("e.citedPaper", "e.citingPaper").alias("x")).where("x is not null")
+    return rows.select(
+        "paper", "place", "direction", F.col("x.paperId").alias("s2_id"), F.nullif(F.col("x.externalIds.PubMed"), F.lit("")).alias("pmid"), normalize_doi(F.col("x.externalIds.DOI")).alias("doi"), filled(F.col("x.title")).alias("title"),
+        filled(F.col("x.venue")).alias("journal"), F.col("x.year").cast("string").alias("year"), F.array_join(present(F.col("x.authors.name")), ", ").alias("authors"), F.col("x.citationCount").alias("cited_by_count"),
+    )
+
+
+LINKS = "linksets array<struct<ids: array<string>, linksetdbs: array<struct<dbto: string, linkname: string, links: array<string>>>>>"
+
+
+def pubmed_edges(records: DataFrame, column: str = "record") -> DataFrame:
+    """Edges (paper, linkname, place, pmid) of link sets into PubMed; other databases are left out."""
+    sets = parsed(records, LINKS, column).select(F.explode("linksets").alias("s")).select(F.get("s.ids", F.lit(0)).alias("paper"), F.explode("s.linksetdbs").alias("d"))
+    return sets.where("d.dbto = 'pubmed'").select("paper", F.col("d.linkname").alias("linkname"), F.posexplode("d.links").alias("place", "pmid"))
