@@ -9,8 +9,16 @@ What is inside the winning path and not the article is left to the host as well.
 host's pages is left out, where the winner's own text does not repeat. A class, id or role that names such things
 (PARTS) only makes a path suspect: each page votes to leave it out if it holds less than a share of the page's text
 (MOST_WHOLE for a name that is such a word, MOST_PART for one that has it as a part), and the host's majority decides.
-So an article in `main has-sidebar` stays, and `ad` goes. Only what HTML itself declares is left out by its tag or
-attribute: navigation, footers, asides, forms, scripts, styles, `hidden` and its like.
+So an article in `main has-sidebar` stays, and `ad` goes. A form is suspect as well: one that holds most of the page wraps
+it and stays, without its controls. Only what HTML itself declares is left out by its tag or attribute: navigation,
+footers, asides, form controls and their labels, scripts, styles, `hidden` and its like.
+
+Reader comments are found by structure, whatever their names: siblings of one path after the article, two or more, most
+of them of several blocks without a heading, the first or last of which is short and holds a name and a date. A host
+leaves out such a path where a third of its pages that have the path show it so, and thereby single comments too.
+
+A link counts as one from an `a` with an address to its end tag; the text after one that is never closed is no link. A
+page whose text is all links votes by plain length.
 
 The decisions are one row per host. Up to `most_hosts` of them, with as many paths each as `most_paths` allows in all, go
 to the tasks as a table; beyond that the pages are joined with them, with hosts salted, as one host can hold a third of
@@ -29,6 +37,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +49,10 @@ from .url_filter import host
 # Element kinds, and words in class, id or role that mark what isn't the article.
 CONTAINERS = frozenset("body main article section div td".split())
 BLOCKS = CONTAINERS | frozenset("address blockquote br caption center dd dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr li ol p pre table tbody tfoot th thead tr ul nav footer aside form details summary".split())
-DROPPED = frozenset("head nav footer aside form button select menu dialog iframe object".split())
+LISTS = frozenset("ul ol li".split())
+DROPPED = frozenset("head nav footer aside button select label legend datalist menu dialog iframe object".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li".split())
+CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PARTS = (
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -50,11 +60,17 @@ PARTS = (
 ).split()
 MOST_WHOLE, MOST_PART = 0.85, 0.5
 REPEATED = 3  # pages to each text of a path that repeats
+TALKS = 3  # pages that have a path to each that shows it as comments, at most
+BYLINE, LEAST_ARTICLE = 80, 200  # the longest line with a name and a date; the least text before comments
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.I | re.S).finditer
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I).findall
 _NAMED = frozenset(PARTS)
 _STYLED = re.compile(r"display\s*:\s*none", re.I).search
 _ATTRIBUTES = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""").findall
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I).search
+_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+_DATE = re.compile(rf"\d{{4}}[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.]\d{{2,4}}|\d\d?(?:st|nd|rd|th)?\.? {_MONTH},? \d{{4}}|{_MONTH} \d\d?(?:st|nd|rd|th)?,? \d{{4}}|(?:\d+|an?) (?:second|minute|hour|day|week|month|year)s? ago", re.I)
+_NAME = re.compile(r"[^\W\d_]{2}").search
 _DIGITS = re.compile(r"\d+").sub
 _WORDS = re.compile(r"[a-z]+").findall
 
@@ -79,13 +95,18 @@ def suspicion(names: str) -> float:
 
 
 class Node:
-    """A container, or an element of suspect names, with the text that stands in it directly."""
+    """A container, a list or its item, or an element of suspect names, with the text that stands in it directly.
+
+    score counts text outside links, plain all of it; chars is the text with that of the nodes inside. first and last
+    number its blocks. heads: it holds a heading. talk: it is a reader comment, or holds nothing but comments.
+    """
 
-    __slots__ = ("parent", "path", "depth", "most", "score", "chars", "digest")
+    __slots__ = ("parent", "path", "depth", "most", "listed", "score", "plain", "chars", "digest", "first", "last", "heads", "talk")
 
-    def __init__(self, parent: int, path: int, depth: int, most: float):
-        self.parent, self.path, self.depth, self.most = parent, path, depth, most
-        self.score, self.chars, self.digest = 0.0, 0, 0
+    def __init__(self, parent: int, path: int, depth: int, most: float, listed: bool = False, first: int = 0):
+        self.parent, self.path, self.depth, self.most, self.listed = parent, path, depth, most, listed
+        self.score, self.plain, self.chars, self.digest = 0.0, 0, 0, 0
+        self.first, self.last, self.heads, self.talk = first, first, False, False
 
 
 class _Open:
@@ -114,6 +135,7 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
     links = link_chars = heading = at = 0
+    linked: list[tuple[int, int]] = []  # what the blocks of the open link would count if it is never closed
     drops = plain_drops = 0  # open elements whose content is left out; those that let no heading through
 
     def flush() -> None:
@@ -121,9 +143,18 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if parts:
             if text := _clean(parts):
                 blocks.append((open_nodes[-1], text))
-                nodes[open_nodes[-1]].score += max(0, len(text) - 2 * link_chars)
+                worth = max(0, len(text) - 2 * link_chars)
+                nodes[open_nodes[-1]].score += worth
+                nodes[open_nodes[-1]].plain += len(text)
+                if links:
+                    linked.append((open_nodes[-1], len(text) - worth))
             parts, link_chars = [], 0
 
+    def never_closed() -> None:
+        for i, more in linked:
+            nodes[i].score += more
+        linked.clear()
+
     def close(upto: int) -> None:
         nonlocal drops, plain_drops
         while len(stack) > upto:
@@ -131,6 +162,7 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             open_tags[done.tag] -= 1
             if done.node is not None:
                 open_nodes.pop()
+                nodes[done.node].last = len(blocks)
             drops -= done.drop
             plain_drops -= done.drop and not done.headings
 
@@ -152,6 +184,7 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
             if tag == "a":
                 links = 0
+                linked.clear()
             if tag in HEADINGS:
                 heading = 0
             if open_tags.get(tag):
@@ -163,23 +196,31 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 close(len(stack) - 1)
         if tag == "body" and open_tags.get("head"):
             close(next(i for i, x in enumerate(stack) if x.tag == "head"))
+        if tag == "li" and open_tags.get("li"):
+            above = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in LISTS)
+            if stack[above].tag == "li":
+                close(above)
         if tag == "a":
-            links = 1
+            never_closed()
+            links = 1 if _HREF(m[4]) else 0
         if tag in HEADINGS:
             heading = 1
+            nodes[open_nodes[-1]].heads = True
         if tag in VOID or m[4].endswith("/") and tag not in CONTAINERS:
             continue
         names = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES(m[4])} if m[4] else {}
         most = 0.0 if tag in ("body", "html", "article", "main") or not names else suspicion(" ".join(names.values()))
+        if tag == "form":
+            most = most or MOST_PART
         drop = tag in DROPPED or tag == "header" or bool(m[4]) and _hidden(m[4])
         node = None
-        if tag in CONTAINERS or most:
+        if tag in CONTAINERS or tag in LISTS or most:
             if tag not in CONTAINERS:
                 flush()
             named = _DIGITS("", (names.get("class") or "").split(" ")[0] or names.get("id") or "")
             above = nodes[open_nodes[-1]]
             node = len(nodes)
-            nodes.append(Node(open_nodes[-1], _step(above.path, f"{tag}.{named}"), above.depth + 1, most))
+            nodes.append(Node(open_nodes[-1], _step(above.path, f"{tag}.{named}"), above.depth + 1, most, tag in LISTS, len(blocks)))
             open_nodes.append(node)
         if node is not None or drop:
             stack.append(_Open(tag, node, drop, drop and tag == "header" and not _hidden(m[4])))
@@ -188,36 +229,73 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             plain_drops += drop and not stack[-1].headings
     take(page[at:])
     flush()
+    never_closed()
+    close(1)
+    nodes[0].last = len(blocks)
     for i, text in blocks:
         nodes[i].chars += len(text)
         nodes[i].digest = nodes[i].digest * 31 + zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
     for node in reversed(nodes[1:]):
         above = nodes[node.parent]
         above.chars += node.chars
+        above.heads |= node.heads
         above.digest = above.digest + node.digest * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF
+    _mark_talk(nodes, blocks)
     return nodes, blocks
 
 
+def _signed(node: Node, blocks: list[tuple[int, str]]) -> bool:
+    """Whether a node of several blocks begins or ends with a line of a name and a date."""
+    if node.last - node.first < 2 or node.heads:
+        return False
+    for _, line in (blocks[node.first], blocks[node.last - 1]):
+        if len(line) <= BYLINE and _DATE.search(line) and _NAME(_DATE.sub("", line)):
+            return True
+    return False
+
+
+def _mark_talk(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
+    """Marks the comments, and the node they stand in if it holds little else."""
+    alike: dict[tuple[int, int], list[Node]] = {}
+    for n in nodes[1:]:
+        if n.last - n.first >= 2 and not n.heads:
+            alike.setdefault((n.parent, n.path), []).append(n)
+    before = None
+    for (parent, _), group in alike.items():
+        if len(group) < 2 or 2 * sum(_signed(n, blocks) for n in group) < max(4, len(group)):
+            continue
+        before = before or [0, *accumulate(len(text) for _, text in blocks)]
+        held, above = sum(n.chars for n in group), nodes[parent]
+        if before[group[0].first] < max(LEAST_ARTICLE, held / len(group)):
+            continue
+        for n in group:
+            n.talk = True
+        if parent and before[above.first] >= LEAST_ARTICLE and 4 * (above.chars - held) < held:
+            above.talk = True
+
+
 def _left_out(nodes: list[Node], drops: frozenset, keeps: frozenset) -> list[bool]:
     """Which nodes are left out, by the host's decisions, or by the page's own where it has none."""
     out = [False] * len(nodes)
     for i, n in enumerate(nodes):
         if n.path in drops:
             out[i] = True
-        elif n.most and n.path not in keeps:
-            out[i] = n.chars < n.most * nodes[0].chars
+        elif n.path not in keeps:
+            out[i] = n.talk or n.most > 0 and n.chars < n.most * nodes[0].chars
         out[i] |= i > 0 and out[n.parent]
     return out
 
 
 def votes(nodes: list[Node], out: list[bool]) -> dict[int, float]:
-    """Shares of one vote by path; a container counts its own text, and half of what its containers count."""
+    """Shares of one vote by path; a container counts its own text and its lists', and half of what its containers count."""
     score = [0.0 if o else n.score for n, o in zip(nodes, out, strict=True)]
+    if not any(score):
+        score = [0.0 if o else float(n.plain) for n, o in zip(nodes, out, strict=True)]
     for i in range(len(nodes) - 1, 0, -1):
-        score[nodes[i].parent] += score[i] / 2
+        score[nodes[i].parent] += score[i] if nodes[i].listed else score[i] / 2
     by_path: dict[int, float] = {}
     for n, x in zip(nodes, score, strict=True):
-        if x > 0:
+        if x > 0 and not n.listed:
             by_path[n.path] = max(by_path.get(n.path, 0.0), x)
     total = sum(by_path.values())
     return {p: x / total for p, x in by_path.items()}
@@ -252,13 +330,14 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen: dict[int, list] = {}
                 for n, o in zip(nodes, out, strict=True):
                     if n.chars:
-                        x = seen.setdefault(n.path, [n.depth, 0, 0])
+                        x = seen.setdefault(n.path, [n.depth, 0, 0, 0])
+                        x[3] |= n.talk
                         x[1] = x[1] + n.digest & 0x7FFFFFFFFFFFFFFF
                         if n.most:
                             x[2] += 1 if n.chars < n.most * nodes[0].chars else -1
-                for path, (depth, digest, doubt) in seen.items():
-                    x = summed.setdefault((h, path, depth, digest), [0, 0.0, 0])
-                    x[0], x[1], x[2] = x[0] + 1, x[1] + shares.get(path, 0.0), x[2] + (doubt > 0) - (doubt < 0)
+                for path, (depth, digest, doubt, talk) in seen.items():
+                    x = summed.setdefault((h, path, depth, digest), [0, 0.0, 0, 0])
+                    x[0], x[1], x[2], x[3] = x[0] + 1, x[1] + shares.get(path, 0.0), x[2] + (doubt > 0) - (doubt < 0), x[3] + talk
         if summed:
             keys, values = zip(*summed), zip(*summed.values())
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in keys), *(pa.array(c) for c in values)], VOTES)
@@ -277,21 +356,22 @@ def _extract(batches: Iterator[pa.RecordBatch], paths) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-VOTES = ["host", "path", "depth", "digest", "n", "share", "doubt"]
+VOTES = ["host", "path", "depth", "digest", "n", "share", "doubt", "talk"]
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path, votes, drops, keeps): the winning path of each host, and the suspect or repeated ones with its decision. pages: (host, html)."""
-    cast = pages.select("host", "html").mapInArrow(_vote, "host string, path long, depth long, digest long, n long, share double, doubt long")
-    texts = cast.groupBy("host", "path", "digest").agg(F.max("depth").alias("depth"), F.sum("n").alias("n"), F.sum("share").alias("share"), F.sum("doubt").alias("doubt"))
-    paths = texts.groupBy("host", "path").agg(F.max("depth").alias("depth"), F.sum("n").alias("n"), F.count("*").alias("texts"), F.round(F.sum("share"), 6).alias("votes"), F.sum("doubt").alias("doubt"))
+    cast = pages.select("host", "html").mapInArrow(_vote, "host string, path long, depth long, digest long, n long, share double, doubt long, talk long")
+    texts = cast.groupBy("host", "path", "digest").agg(F.max("depth").alias("depth"), F.sum("n").alias("n"), F.sum("share").alias("share"), F.sum("doubt").alias("doubt"), F.sum("talk").alias("talk"))
+    paths = texts.groupBy("host", "path").agg(F.max("depth").alias("depth"), F.sum("n").alias("n"), F.count("*").alias("texts"), F.round(F.sum("share"), 6).alias("votes"), F.sum("doubt").alias("doubt"), F.sum("talk").alias("talk"))
     repeats = F.col("texts") * REPEATED <= F.col("n")
     best = F.max(F.struct("votes", "depth", "path", repeats.alias("repeats"))).alias("best")
-    doubtful = (F.col("doubt") != 0) | repeats
-    seen = F.collect_list(F.when(doubtful, F.struct("path", "doubt", repeats.alias("repeats")))).alias("seen")
+    talks = (F.col("talk") > 0) & (F.col("talk") * TALKS >= F.col("n"))
+    doubtful = (F.col("doubt") != 0) | (F.col("talk") > 0) | repeats
+    seen = F.collect_list(F.when(doubtful, F.struct("path", "doubt", "talk", (talks | (F.col("doubt") > 0)).alias("out"), repeats.alias("repeats")))).alias("seen")
     hosts = paths.groupBy("host").agg(best, seen)
-    gone = lambda x: (x["doubt"] > 0) | (x["repeats"] & ~F.col("best.repeats"))
-    of = lambda keep: F.array_sort(F.transform(F.filter("seen", lambda x: ~gone(x) & (x["doubt"] < 0) if keep else gone(x)), lambda x: x["path"]))
+    gone = lambda x: x["out"] | (x["repeats"] & ~F.col("best.repeats"))
+    of = lambda keep: F.array_sort(F.transform(F.filter("seen", lambda x: ~gone(x) & ((x["doubt"] < 0) | (x["talk"] > 0)) if keep else gone(x)), lambda x: x["path"]))
     return hosts.select("host", "best.path", "best.votes", of(False).alias("drops"), of(True).alias("keeps"))
 
 

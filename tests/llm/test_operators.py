@@ -142,6 +142,31 @@ def test_html_names_are_no_veto(spark):
     assert got == {i: prose(i, 30) for i in range(7)}
 
 
+def test_html_shapes_that_hide_articles(spark):
+    """Pages wrapped in one form, open anchors, articles inside a link, comments under any name; each on a host of its own."""
+    article = lambda i: "".join(f"<p>{prose(i * 10 + j, 40)}</p>" for j in range(3))
+    text = lambda i: " ".join(prose(i * 10 + j, 40) for j in range(3))
+    said = lambda i, n: "".join(f"<div class='b-{k}'><span>Ann</span> <i>{k + 1} May 2021</i><p>{prose(5000 + i * 10 + k, 15)}</p></div>" for k in range(n))
+    items = lambda i, n: "".join(f"<li>Bob, 2021-05-0{k + 1}<p>{prose(7000 + i * 10 + k, 15)}" for k in range(n))
+    shapes = {
+        "form.net": lambda i: f"<body><form action='x'><div class='c'>{article(i)}</div><label>Name</label><input><select><option>a</select></form></body>",
+        "anchor.net": lambda i: f"<body><a name='top'><div class='c'>{article(i)}</div><div class='box'>boxed text {i}</div></body>",
+        "open.net": lambda i: f"<body><a href='/'>home<div class='c'>{article(i)}</div><div class='box'>boxed <a href='/b'>text</a> {i}</div></body>",
+        "link.net": lambda i: f"<body><a href='/x'><div class='c'>{article(i)}</div></a></body>",
+        "replies.net": lambda i: f"<body><div class='c'>{article(i)}</div><div class='replies'><h3>{i} replies</h3>{said(i, i % 4)}</div></body>",
+        "inner.net": lambda i: f"<body><div class='c'>{article(i)}<ol class='thread'>{items(i, i % 4)}</ol></div></body>",
+        "signup.net": lambda i: f"<body><div class='c'>{article(i)}</div><form><p>Your {i} mails a week</p><input></form></body>",
+        "list.net": lambda i: f"<body><div class='c'>{article(i)}<ul><li>{prose(i, 9)}<li><p>{prose(i + 1, 9)}</ul></div></body>",
+        "notes.net": lambda i: f"<body><div class='c'>{article(i)}<section><h2>Two 2021-05-02</h2><p>new {i}</p></section><section><h2>One 2021-05-01</h2><p>old {i}</p></section></div></body>",
+    }
+    tails = {"list.net": lambda i: f" {prose(i, 9)} {prose(i + 1, 9)}", "notes.net": lambda i: f" Two 2021-05-02 new {i} One 2021-05-01 old {i}"}
+    rows = [(n * 100 + i, f"http://{h}/{i}", make(i)) for n, (h, make) in enumerate(shapes.items()) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n, h in enumerate(shapes):
+        for i in range(8):
+            assert got[n * 100 + i] == text(i) + tails.get(h, lambda i: "")(i), (h, i)
+
+
 def test_html_deep_and_long_pages():
     import time
 
@@ -153,6 +178,13 @@ def test_html_deep_and_long_pages():
     assert time.time() - began < 20
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    items = spark.createDataFrame([(i, 30 + i, f"t{i}") for i in range(9)], "row_id long, length long, `a.b c` string")
+    got = packing.pack(items, capacity=100)
+    assert got.columns == ["row_id", "length", "a.b c", "sequence_id", "offset"]
+    assert {(r["row_id"], r["a.b c"]) for r in got.collect()} == {(i, f"t{i}") for i in range(9)}
+
+
 def test_toxicity(spark):
     texts = [prose(i, 60) + (" filthword slurry trashy" if i % 4 == 0 else "") for i in range(240)] + [None, ""]
     table = docs(spark, texts)
