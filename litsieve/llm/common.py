@@ -113,7 +113,7 @@ def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
     ids = ids.select(F.col(column).cast("long").alias("_id")).distinct()
     n = ids.count()
     if n > MOST_BITS // 4:
-        spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(16)).cast("int"))
+        spread = rows.withColumn("_salt", F.pmod(F.xxhash64(F.struct("*")), F.lit(16)).cast("int"))
         every = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         same = spread[column].eqNullSafe(every["_id"]) & (spread["_salt"] == every["_salt"])
         return spread.join(every.hint("merge"), same, "left_semi").drop("_salt")

@@ -188,7 +188,7 @@ def _pack_group(key: tuple, rows: pd.DataFrame, capacity: int, level: int) -> pd
 def pack(items: DataFrame, capacity: int = 2048, group_items: int = 20_000) -> DataFrame:
     """items (row_id, length, any more columns) with sequence_id and offset added. No length may exceed capacity."""
     more = [c for c in items.columns if c not in ("row_id", "length", "sequence_id", "offset")]
-    items = items.select("row_id", "length", *(F.col(c).alias(f"more{i}") for i, c in enumerate(more)))
+    items = items.select("row_id", "length", *(F.col(f"`{c.replace('`', '``')}`").alias(f"more{i}") for i, c in enumerate(more)))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, sequence_id long, offset long, fill long"
     blank = {"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "fill": F.lit(capacity).cast("long")}
     full = items.where(F.col("length") == capacity).withColumns(blank).withColumn("sequence_id", F.lit(1 << 62).bitwiseOR(F.col("row_id")))

@@ -250,7 +250,7 @@ def _equal_passages(passages: DataFrame, passage_words: int) -> DataFrame:
 def without_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """docs with the removed runs cut out of their texts; other columns stay as they are. Rows that share a doc_id share its runs."""
     gone = repeated.where("removed").groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_gone"))
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     cut = packed.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_of")), "left")
     blank = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
 

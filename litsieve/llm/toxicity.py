@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import only_ids, slices, small_batches, written
 from .shingles import mix
@@ -270,8 +271,8 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold
     x = np.array(fitted.x.tolist(), dtype=float).reshape(-1, 4)
     weights = fit_logistic(x, fitted.y.to_numpy(dtype=float)) if totals["t_co"] and totals["t_ct"] else fit_logistic(np.zeros((len(fitted), 4)), fitted.y.to_numpy(dtype=float))
     if threshold is not None:
-        packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-        scored = packed.mapInArrow(partial(_score, model=model, weights=weights.tolist()), f"row {packed.schema['row'].dataType.simpleString()}, score double")
+        packed = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+        scored = packed.mapInArrow(partial(_score, model=model, weights=weights.tolist()), StructType([packed.schema["row"], StructField("score", DoubleType())]))
         return scored.where(F.col("score") < threshold).select("row.*")
     out = read.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "text")
     return out.mapInArrow(partial(_score, model=model, weights=weights.tolist()), "doc_id long, held_out boolean, score double")
