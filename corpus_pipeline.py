@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays. The join is on digest and id, so a hot text is spread."""
     live = exact_dedup.classes(docs).where("kept").select(F.col("text_sha256").alias("_live"), F.col("doc_id").alias("_of")).distinct()
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.sha2(text_or_empty().cast("binary"), 256).alias("_digest"), F.col("doc_id").cast("long").alias("_id"))
+    packed = docs.select(F.struct("*").alias("_row"), F.sha2(text_or_empty().cast("binary"), 256).alias("_digest"), F.col("doc_id").cast("long").alias("_id"))
     same = packed["_id"].eqNullSafe(live["_of"]) & (packed["_digest"] == live["_live"])
     return packed.join(live.hint("merge"), same, "left_semi").dropDuplicates(["_digest", "_id"]).select("_row.*")
 
@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     stay = found.groupBy("component").agg(F.min(first).alias("stay"), F.count("*").alias("rows")).where("rows > 1")
     gone = found.join(stay.hint("merge"), "component").where(~first.eqNullSafe(F.col("stay"))).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark"))
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), jaccard_join.text_mark("text").alias("_text"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), jaccard_join.text_mark("text").alias("_text"))
     same = packed["_id"].eqNullSafe(gone["_gone"]) & (packed["_text"] == gone["_mark"])
     return packed.join(gone.hint("merge"), same, "left_anti").select("_row.*")
 
@@ -50,7 +50,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose doc_id holds a benchmark item go."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     leaks = written(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return packed.join(leaks.hint("merge"), packed["_id"].eqNullSafe(leaks["_gone"]), "left_anti").select("_row.*")
 
 
