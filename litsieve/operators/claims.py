@@ -199,6 +199,13 @@ def report(checked: DataFrame, covered: DataFrame) -> DataFrame:
     return made.join(covered.hint("merge"), "draft_id", "left").select("draft_id", "claims", *SEVERITY, rate, F.round(F.col("cited") / F.col("sentences"), 4).alias("coverage"))
 
 
+def rule_counts(checked: DataFrame) -> DataFrame:
+    """(draft_id, by_rule map<string, long>): how often each rule objected in a draft; drafts without objections have an empty map."""
+    each = checked.select("draft_id", F.explode_outer("rules").alias("rule")).groupBy("draft_id", "rule").count()
+    pairs = F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "count"))))
+    return each.groupBy("draft_id").agg(F.map_from_entries(pairs).alias("by_rule"))
+
+
 def issues(checked: DataFrame, most: int = 6) -> DataFrame:
     level = F.when(F.col("verdict").isin("contradicted", "unsupported"), 0).when(F.col("verdict") == "overclaim", 1)
     rows = checked.withColumn("level", level).where("level is not null")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, drafts, imports, lexical, records, relational, retrieval, streams  # noqa: F401  they fill the register
+from . import content, drafts, evaluation, imports, lexical, records, relational, retrieval, streams  # noqa: F401  they fill the register
 from .base import ORACLES, QUERIES
 
 
