@@ -233,6 +233,29 @@ def _(spark, d):
     return resolve.upsert(papers.where("paper_id % 3 > 0"), papers.where("paper_id % 3 = 0").drop("paper_id")).groupBy("action").agg(F.count("*").alias("n"), F.max("paper_id").alias("highest"))
 
 
+UPSERTED = f"""lib as (select *, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') as tk from papers_v where paper_id % 3 > 0),
+    inc as (select *, {KEY} as dedup_key from (select *, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') as tk from papers_v where paper_id % 3 = 0)),
+    mp as (select dedup_key, min(ingest_seq) as first_seq, arg_max(title, (length(title), -ingest_seq)) as title, arg_max(abstract, (length(abstract), -ingest_seq)) as abstract,
+      arg_max(pub_year, (length(abstract), cited_by_count, -ingest_seq)) as pub_year, max(cited_by_count) as cited_by_count, bool_or(is_open_access) as is_open_access,
+      arg_min(pmid, ingest_seq) filter (pmid <> '') as pmid, arg_min(doi, ingest_seq) filter (doi <> '') as doi from inc group by 1),
+    fresh as (select *, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') as tk from mp),
+    met as (select f.*, coalesce(d.id, p.id, t.id) as paper_id from fresh f left join (select doi, min(paper_id) as id from lib where doi <> '' group by 1) d on f.doi = d.doi
+      left join (select pmid, min(paper_id) as id from lib where pmid <> '' group by 1) p on f.pmid = p.pmid left join (select tk, min(paper_id) as id from lib where tk <> '' group by 1) t on f.tk = t.tk),
+    once as (select * from (select *, row_number() over (partition by paper_id order by first_seq) as n from met where paper_id is not null) where n = 1),
+    old as (select l.paper_id, case when length(coalesce(o.title, '')) > length(coalesce(l.title, '')) then o.title else l.title end as title, case when length(coalesce(o.abstract, '')) > length(coalesce(l.abstract, '')) then o.abstract else l.abstract end as abstract,
+      coalesce(l.pub_year, o.pub_year) as pub_year, greatest(l.cited_by_count, coalesce(o.cited_by_count, l.cited_by_count)) as cited_by_count, l.is_open_access or coalesce(o.is_open_access, false) as is_open_access,
+      coalesce(l.pmid, o.pmid) as pmid, coalesce(l.doi, o.doi) as doi, case when o.first_seq is null then 'kept' else 'updated' end as action from lib l left join once o using (paper_id)),
+    added as (select (select max(paper_id) from lib) + row_number() over (order by first_seq) as paper_id, title, abstract, pub_year, cited_by_count, is_open_access, pmid, doi, 'new' as action from met where paper_id is null)"""
+
+
+@query("ded_03_upserted_rows", f"with {UPSERTED} select paper_id, md5(title) as title, md5(abstract) as abstract, pub_year, cited_by_count, is_open_access, pmid, doi, action from (select * from old union all select * from added)", "papers_v")
+def _(spark, d):
+    papers = view(spark, d, "papers_v")
+    made = resolve.upsert(papers.where("paper_id % 3 > 0"), papers.where("paper_id % 3 = 0").drop("paper_id"))
+    mark = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return made.select("paper_id", mark("title"), mark("abstract"), "pub_year", "cited_by_count", "is_open_access", "pmid", "doi", "action")
+
+
 @query("ded_04_merge_unique", "select paper_id from (select paper_id, row_number() over (partition by coalesce(case when doi <> '' then doi end, lower(title)) order by case when source = 'src1' then 0 else 1 end, ingest_seq) as n from papers_v where source in ('src1', 'src2', 'src3')) where n = 1", "papers_v")
 def _(spark, d):
     papers = view(spark, d, "papers_v")

@@ -50,3 +50,23 @@ def test_checklist_and_gaps(spark):
     use = [("a", "动物实验", "样本量偏小（n=9）", True)] * 2 + [("a", "RCT", "", False), ("b", "RCT", None, True), ("b", "其他", None, True), ("c", "RCT", "", False), ("d", "RCT", "", True)] + [("d", "Meta分析/系统评价", "", True)] * 4
     made = evaluation.gaps(spark.createDataFrame(use, "run string, evidence_level string, limitation string, use_in_review boolean"), "run")
     assert {r.run: r.missing for r in made.collect()} == {"a": ["no_high_level", "few_usable", "animals_only", "small_samples"], "b": ["few_high_level", "few_usable", "unclear_designs"], "c": ["nothing_usable"], "d": []}
+
+
+def test_hashing_embedding_against_plain_python(spark):
+    """Words weigh 1, their character pairs 0.5; places by xxHash64 with Spark's seed."""
+    import math
+
+    import xxhash
+
+    from litsieve.operators import retrieval
+
+    texts = {1: "Alpha beta alpha x", 2: "Über naïve 12", 3: "one-two one"}
+    words = {1: ["alpha", "beta", "alpha", "x"], 2: ["uber", "naive", "12"], 3: ["one", "two", "one"]}
+    got = {r.id: r.vector for r in retrieval.hashing_embedding(spark.createDataFrame(list(texts.items()), "id int, t string"), "id", "t").collect()}
+    for key, found in words.items():
+        want = [0.0] * 256
+        for w in found:
+            for term, weight in [(w, 1.0), *((w[i : i + 2], 0.5) for i in range(max(len(w) - 1, 1)))]:
+                want[xxhash.xxh64_intdigest(term.encode(), seed=42) % 256] += weight
+        norm = math.sqrt(sum(x * x for x in want))
+        assert all(abs(a - b / norm) < 1e-9 for a, b in zip(got[key], want, strict=True)), key
