@@ -19,8 +19,8 @@ def dedup_key(df: DataFrame) -> Column:
     return F.coalesce(F.concat(F.lit("doi:"), filled("doi")), F.concat(F.lit("pmid:"), filled("pmid")), F.concat(F.lit("title:"), F.when(print_ != "", print_)), F.concat_ws(":", "source", F.substring("title", 1, 40)))
 
 
-def merge_papers(papers: DataFrame) -> DataFrame:
-    """One record per dedup key, in order of first_seq.
+def merge_papers(papers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One record per dedup key (within each value of `by`), in order of first_seq.
 
     The longest title and abstract win (ties: the first), the year is the richest record's, citations the largest, open
     access if any is; other fields take the first non-empty value by ingest_seq; found_in is the ordered union of sources.
@@ -33,7 +33,7 @@ def merge_papers(papers: DataFrame) -> DataFrame:
     union = F.transform(F.array_sort(F.collect_list(F.struct("ingest_seq", "source"))), lambda x: x["source"])
     from litsieve.functions.text import distinct_ignoring_case
 
-    return df.groupBy("dedup_key").agg(
+    return df.groupBy(*by, "dedup_key").agg(
         F.min("ingest_seq").alias("first_seq"), F.count("*").alias("merged"), longest("title").alias("title"), longest("abstract").alias("abstract"),
         F.coalesce(F.max_by("pub_year", richness), F.min("pub_year")).alias("pub_year"), F.max("cited_by_count").alias("cited_by_count"), F.bool_or("is_open_access").alias("is_open_access"),
         distinct_ignoring_case(union).alias("found_in"), *firsts,

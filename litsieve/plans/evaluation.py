@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from litsieve import sinks
 from litsieve.operators import claims, evaluation
+from litsieve.sources import records
 from litsieve.sources.adapters import table, view
 
 from .base import query
+from .retrieval import KEY
 
 # Drafts of nine claims, each with its own fault by doc_id % 9, and a last line without a mark. Every tenth document's claim is labelled as supported.
 FAULTS = [
@@ -192,3 +194,36 @@ def _(spark, d):
     documents = table(spark, d, "documents")
     assessed = spark.sql(ASSESSED.replace("from documents", "from {documents}"), documents=documents)
     return evaluation.gaps(assessed, "run_id").withColumn("missing", F.array_join("missing", "+"))
+
+
+# searches over several sources: a query is a language, ranks are ids; src2 leads. Each source gives 60, a query returns 2 * 80.
+ORDER = ["src2", "src0", "src1"]
+FOUND = f"""r as (select language as query_id, *, row_number() over (partition by language, source order by paper_id) as n from papers_v),
+    c as (select * exclude (ingest_seq), row_number() over (partition by query_id order by case source when 'src2' then 1 when 'src0' then 2 when 'src1' then 3 else 4 end, source, paper_id) as ingest_seq, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') as tk from r where n <= 60),
+    m as (select query_id, dedup_key, min(ingest_seq) as first_seq, count(*) as merged, max(cited_by_count) as cited_by_count, arg_max(title, (length(title), -ingest_seq)) as title from (select *, {KEY} as dedup_key from c) group by 1, 2),
+    s as (select *, row_number() over (partition by query_id order by first_seq) as place from m)"""
+
+
+def found(spark, d):
+    return view(spark, d, "papers_v").withColumns({"query_id": F.col("language"), "rank": F.col("paper_id")})
+
+
+@query("src_17_merged", f"with {FOUND} select query_id, place, merged, cited_by_count, md5(title) as title from s where place <= 160", "papers_v")
+def _(spark, d):
+    made = records.merged_search(found(spark, d), ORDER, 60, 80)
+    return made.select("query_id", F.col("place").cast("long").alias("place"), "merged", "cited_by_count", F.md5(F.col("title").cast("binary")).alias("title"))
+
+
+@query(
+    "src_17_status",
+    f"""with {FOUND}, q as (select distinct language as query_id from papers_v), o as (select unnest(['src2', 'src0', 'src1', 'gone']) as source),
+    f as (select query_id, source, count(*) as found from c group by all), a as (select query_id, count(*) as raw_count from c group by 1), b as (select query_id, count(*) as merged_count from s where place <= 160 group by 1)
+    select query_id, source, source <> 'gone' as ok, coalesce(found, 0) as found, case when source = 'gone' then 'HTTP 503' end as error, coalesce(raw_count, 0) as raw_count, coalesce(merged_count, 0) as merged_count
+    from q cross join o left join f using (query_id, source) left join a using (query_id) left join b using (query_id)""",
+    "papers_v",
+)
+def _(spark, d):
+    rows = found(spark, d)
+    queries = rows.select("query_id").distinct()
+    errors = queries.select("query_id", F.lit("gone").alias("source"), F.lit("HTTP 503").alias("error"))
+    return records.search_status(queries, rows, errors, [*ORDER, "gone"], 60, 80)

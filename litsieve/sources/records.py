@@ -142,3 +142,36 @@ def combined(results: DataFrame, per_source: int) -> DataFrame:
     from pyspark.sql import Window
 
     return results.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))).where(F.col("_n") <= per_source).drop("_n")
+
+
+def merged_search(results: DataFrame, sources: list[str], per_source: int, limit: int) -> DataFrame:
+    """What a search over several sources returns: per query at most 2 * limit merged records in order of first_seq.
+
+    results: (query_id, source, rank, paper fields). Each source gives its first per_source; they are put together in the
+    order of `sources` (others after them by name), then by rank, and merged by dedup key within the query.
+    """
+    from pyspark.sql import Window
+
+    from litsieve.operators.resolve import merge_papers
+
+    turn = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, sources)).cast("array<string>"), F.col("source")), F.lit(0)), F.lit(len(sources) + 1))
+    order = Window.partitionBy("query_id").orderBy(turn, "source", "rank")
+    merged = merge_papers(combined(results, per_source).withColumn("ingest_seq", F.row_number().over(order)), by=("query_id",))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("first_seq"))
+    return merged.withColumn("place", place).where(F.col("place") <= 2 * limit)
+
+
+def search_status(queries: DataFrame, results: DataFrame, errors: DataFrame, sources: list[str], per_source: int, limit: int) -> DataFrame:
+    """(query_id, source, ok, found, error, raw_count, merged_count): a row for each query and source, also for those that gave nothing.
+
+    queries: (query_id); errors: (query_id, source, error), a source that failed. raw_count is the query's records before
+    the merge, merged_count those that merged_search returns.
+    """
+    capped = combined(results, per_source).groupBy("query_id", "source").agg(F.count("*").alias("found"))
+    raw = capped.groupBy("query_id").agg(F.sum("found").alias("raw_count"))
+    merged = merged_search(results, sources, per_source, limit).groupBy("query_id").agg(F.count("*").alias("merged_count"))
+    failed = errors.groupBy("query_id", "source").agg(F.min("error").alias("error"))
+    rows = queries.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, sources)).cast("array<string>")).alias("source"))
+    joined = rows.join(capped.hint("merge"), ["query_id", "source"], "left").join(failed.hint("merge"), ["query_id", "source"], "left").join(raw.hint("merge"), "query_id", "left").join(merged.hint("merge"), "query_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return joined.select("query_id", "source", F.col("error").isNull().alias("ok"), none("found"), "error", none("raw_count"), none("merged_count"))

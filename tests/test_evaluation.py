@@ -70,3 +70,19 @@ def test_hashing_embedding_against_plain_python(spark):
                 want[xxhash.xxh64_intdigest(term.encode(), seed=42) % 256] += weight
         norm = math.sqrt(sum(x * x for x in want))
         assert all(abs(a - b / norm) < 1e-9 for a, b in zip(got[key], want, strict=True)), key
+
+
+def test_searches_over_sources(spark):
+    from litsieve.sources import records
+
+    kinds = "query_id string, source string, rank int, pmid string, doi string, title string, abstract string, pub_year int, cited_by_count int, is_open_access boolean"
+    rows = [("q", "b", 1, "1", None, "T one", None, 2000, 1, False), ("q", "a", 1, None, "10/x", "Two", "abs", 2001, 5, True), ("q", "a", 2, None, "10/x", "Two longer", None, None, 7, None), ("q", "a", 3, "3", None, "late", None, 2002, 0, False), ("r", "z", 1, "1", None, "T one", None, 2000, 1, False)]
+    results = spark.createDataFrame(rows, kinds)
+    got = [(r.query_id, r.place, r.title, r.merged, r.cited_by_count) for r in records.merged_search(results, ["b", "a"], 2, 5).orderBy("query_id", "place").collect()]
+    assert got == [("q", 1, "T one", 1, 1), ("q", 2, "Two longer", 2, 7), ("r", 1, "T one", 1, 1)]
+    assert [r.title for r in records.merged_search(results.where("query_id = 'q'"), ["a"], 3, 1).orderBy("place").collect()] == ["Two longer", "late"]
+    queries = spark.createDataFrame([("q",), ("none",)], "query_id string")
+    errors = spark.createDataFrame([("q", "c", "timeout")], "query_id string, source string, error string")
+    status = {(r.query_id, r.source): (r.ok, r.found, r.raw_count, r.merged_count) for r in records.search_status(queries, results, errors, ["b", "a", "c"], 2, 5).collect()}
+    assert status == {("q", "b"): (True, 1, 3, 2), ("q", "a"): (True, 2, 3, 2), ("q", "c"): (False, 0, 3, 2), ("none", "b"): (True, 0, 0, 0), ("none", "a"): (True, 0, 0, 0), ("none", "c"): (True, 0, 0, 0)}
+    assert records.merged_search(results.where("false"), ["a"], 2, 5).count() == 0
