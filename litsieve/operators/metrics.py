@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,26 +13,49 @@ def evaluate(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
     rankings (query_id, id, rank): of an id that comes twice the first place counts. qrels (query_id, id, gain), gain > 0.
     """
-    first = rankings.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))
-    cut = first.withColumn("rank", place).where(F.col("rank") <= k)
     judged = qrels.where("gain > 0").groupBy("query_id", "id").agg(F.max("gain").cast("double").alias("gain"))
     ideal_place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "id"))
     ideal = judged.withColumn("place", ideal_place).groupBy("query_id").agg(F.count("*").alias("n_relevant"), F.sum(F.when(F.col("place") <= k, F.col("gain") / F.log2(F.col("place") + 1))).alias("ideal"))
-    joined = cut.join(judged.hint("merge"), ["query_id", "id"], "full")
+    joined = _cut(rankings, k).join(judged.hint("merge"), ["query_id", "id"], "full")
+    ids = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("id")))).cast("array<string>"), ",")
+    is_hit = F.col("gain").isNotNull() & F.col("rank").isNotNull()
+    sums = _sums(joined, ids(is_hit).alias("hit"), ids(F.col("rank").isNull()).alias("missed"), ids(F.col("gain").isNull()).alias("noise"))
+    return _values(ideal.join(sums.hint("merge"), "query_id"), k, "hit", "missed", "noise")
+
+
+def evaluate_counted(rankings: DataFrame, found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """`evaluate` without the lists, where all gains are 1 and the number of relevant ids of a query is known.
+
+    found (query_id, id): the ranked ids that are relevant; relevant (query_id, n_relevant), n_relevant > 0, names all judged
+    queries. So nothing is made of what is relevant and not ranked.
+    """
+    sums = _sums(_cut(rankings, k).join(found.select("query_id", "id", F.lit(1.0).alias("gain")).distinct().hint("merge"), ["query_id", "id"], "left"))
+    best = F.array(*(F.lit(sum(1 / math.log2(i + 1) for i in range(1, n + 1))) for n in range(1, k + 1)))
+    ideal = relevant.withColumn("ideal", F.get(best, F.least(F.col("n_relevant"), F.lit(k)).cast("int") - 1))
+    return _values(ideal.join(sums.hint("merge"), "query_id", "left"), k)
+
+
+def _cut(rankings: DataFrame, k: int) -> DataFrame:
+    first = rankings.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))
+    return first.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _sums(joined: DataFrame, *more: Column) -> DataFrame:
+    """Per query of (query_id, id, rank, gain)."""
     hits = F.sum(F.when(F.col("gain").isNotNull() & F.col("rank").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("query_id").orderBy(F.col("rank").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     marked = joined.withColumn("running", hits).withColumn("is_hit", F.col("gain").isNotNull() & F.col("rank").isNotNull())
-    ids = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("id")))).cast("array<string>"), ",")
-    sums = marked.groupBy("query_id").agg(
+    return marked.groupBy("query_id").agg(
         F.count_if("is_hit").alias("hits"), F.min(F.when(F.col("is_hit"), F.col("rank"))).alias("first_hit"),
-        F.sum(F.when(F.col("is_hit"), F.col("running") / F.col("rank"))).alias("precisions"), F.sum(F.when(F.col("is_hit"), F.col("gain") / F.log2(F.col("rank") + 1))).alias("dcg"),
-        ids(F.col("is_hit")).alias("hit"), ids(F.col("rank").isNull()).alias("missed"), ids(F.col("gain").isNull()).alias("noise"),
+        F.sum(F.when(F.col("is_hit"), F.col("running") / F.col("rank"))).alias("precisions"), F.sum(F.when(F.col("is_hit"), F.col("gain") / F.log2(F.col("rank") + 1))).alias("dcg"), *more,
     )
-    out = ideal.join(sums.hint("merge"), "query_id")
+
+
+def _values(out: DataFrame, k: int, *more: str) -> DataFrame:
     value = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return out.select(
         "query_id", "n_relevant", value(F.col("hits") / F.col("n_relevant")).alias("recall"), value(F.col("hits") / F.lit(max(k, 1))).alias("precision"),
-        value(1 / F.col("first_hit")).alias("mrr"), value(F.col("precisions") / F.col("n_relevant")).alias("map"), value(F.col("dcg") / F.col("ideal")).alias("ndcg"), "hit", "missed", "noise",
+        value(1 / F.col("first_hit")).alias("mrr"), value(F.col("precisions") / F.col("n_relevant")).alias("map"), value(F.col("dcg") / F.col("ideal")).alias("ndcg"), *more,
     )
 
 
