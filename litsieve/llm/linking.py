@@ -6,7 +6,8 @@ the keys are the first n - ceil(t * n) + need tokens of each set in one order (`
 most n - prefix + c tokens in common, so for sizes n and m the pair must share as many more keys as t * (n + m) / (1 + t)
 exceeds the larger of t * n and t * m. The steps:
 
-1. Keys held by one id only are dropped, then ids that hold too few of the others.
+1. Keys held by one id only are dropped, then ids that hold too few of the others; once more, where a key counts only if
+   two ids of near sizes hold it.
 2. A star round. In each key every id meets one chosen id of the key, the one that shares most keys with others (an
    original does so more than its edited copies); pairs that meet in enough keys are decided by exact overlap. So m ids
    of a key cost m - 1 comparisons; ids linked with the same star are known to be connected.
@@ -29,7 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -42,6 +43,16 @@ def _near(n: str, m: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den) >= (F.greatest(n, m) * num)
 
 
+def _band(n: str, num: int, den: int) -> Column:
+    """Sets of near sizes are in one band or in two that follow each other."""
+    return F.floor(F.log(F.greatest(F.col(n), F.lit(1)).cast("double")) / F.lit(1.0001 * math.log(den / num)))
+
+
+def _around() -> Window:
+    """Rows of a key in the bands next to a row's own. Where (key, band) are rows, a key has only as many as there are bands."""
+    return Window.partitionBy("key").orderBy("band").rangeBetween(-1, 1)
+
+
 def _more(n: Column, m: Column, num: int, den: int) -> Column:
     """How many more prefix keys than `need` sets of these sizes share, if they are alike."""
     both = F.ceil((n + m) * num / (num + den))
@@ -51,9 +62,12 @@ def _more(n: Column, m: Column, num: int, den: int) -> Column:
 def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, prefixes: bool) -> DataFrame:
     """(id, component) of the ids that are linked with another. sets_of(ids) gives (id, set) of these ids, once each."""
     held = keys.select("key", "id", F.col("n").cast("long").alias("n"), "need")
-    for _ in range(2):  # the ids that go leave keys that only one holds
-        met = held.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-        shared = written(held.join(met.hint("merge"), "key").select("key", "id", "n", "need", "held"), "shared")
+    for by in (["key"], ["key", "band"], ["key", "band"]):  # the ids that go leave keys that only one holds
+        if len(by) > 1:
+            held = held.withColumn("band", _band("n", num, den))
+        met = held.groupBy(by).agg(F.count("*").alias("held"))
+        met = (met if len(by) == 1 else met.withColumn("held", F.sum("held").over(_around()))).where("held > 1")
+        shared = written(held.join(met.hint("merge"), by).select("key", "id", "n", "need", "held"), "shared")
         enough = shared.groupBy("id").agg(F.count("*").alias("degree"), F.max("need").alias("least"), F.max(F.struct("held", "key")).alias("most"))
         enough = enough.where("degree >= least").select("id", "degree", F.col("most.key").alias("most"))
         held = written(shared.join(enough.hint("merge"), "id").select("key", "id", "n", "need", "degree", "most"), "held")
@@ -92,7 +106,7 @@ def _labels(held: DataFrame, stars: DataFrame) -> DataFrame:
 
 def _dealt(labels: DataFrame, num: int, den: int) -> DataFrame:
     """labels with band (of near sizes) and group g."""
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(1.0001 * math.log(den / num)))
+    band = _band("n", num, den)
     large = F.col("members") > GROUP
     base = F.when(large, F.xxhash64("label", F.lit(1))).otherwise(F.xxhash64("most", F.lit(2)))
     rows = labels.withColumns({"base": base, "band": band})
@@ -110,8 +124,9 @@ def meetings(held: DataFrame, dealt: DataFrame, num: int, den: int, prefixes: bo
     )
     groups = written(groups, "groups")
     unions = written(held.select("key", "id").join(dealt.select("id", "band", "g").hint("merge"), "id").select("key", "band", "g").distinct(), "unions")
-    shared = unions.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
-    unions = unions.join(shared.hint("merge"), "key")
+    ends = unions.groupBy("key", "band").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    shared = ends.select("key", "band", F.min("lo").over(_around()).alias("lo"), F.max("hi").over(_around()).alias("hi")).where("lo <> hi").select("key", "band")
+    unions = unions.join(shared.hint("merge"), ["key", "band"])
     left = unions.select("key", "band", F.col("g").alias("x"))
     right = unions.select("key", F.col("band").alias("low"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("g").alias("y"))
     pairs = left.join(right.hint("merge"), ["key", "band"]).where("low < band or x < y").groupBy("x", "y").agg(F.countDistinct("key").alias("shared"))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from litsieve.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, linking, packing, queries, substring_dedup, token_files, toxicity, url_filter
 from litsieve.llm.shingles import shingles, word_hashes
@@ -287,6 +288,23 @@ def test_group_task_finds_what_is_alike():
         assert label == top_of
 
 
+def test_keys_of_far_sizes_are_dropped(spark, monkeypatch):
+    """Keys that only sets of far sizes share make no rows; those of near sizes stay, over the edge of a band too."""
+    far = [(k, i, 20 + 10 * i * i, 6) for i in range(12) for k in range(8)]
+    near = [(k, 100 + i, n, 6) for i, n in enumerate((1000, 1080)) for k in range(50, 58)]
+    seen = []
+    monkeypatch.setattr(linking, "_star_links", lambda held, *_: seen.append(held) or spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(linking, "_group_links", lambda held, sets_of, stars, *_: seen.append({r.id for r in held.collect()}) or stars)
+    linking.link(spark.createDataFrame(far + near, "key long, id long, n long, need int"), None, 90, 100, True).count()
+    assert seen[1] == {100, 101}
+
+
+def test_bands_of_near_sizes_meet(spark):
+    rows = spark.range(1, 3000).selectExpr("id as n").withColumn("m", F.floor(F.col("n") * 10 / 9))
+    far = rows.withColumns({"x": linking._band("n", 90, 100), "y": linking._band("m", 90, 100)}).where("y - x not in (0, 1)")
+    assert far.count() == 0
+
+
 def test_jaccard_join_large_group_unlinked(spark):
     """Most copies of one text differ too much from each other to be linked, but share keys; only the planted pairs link."""
     lines = template_lines(150)
