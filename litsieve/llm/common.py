@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -67,8 +68,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hands memory that is free to the system: Python workers live on from task to task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows whose texts have about `most` bytes (one row at least)."""
+    """Cuts a batch into runs of rows whose texts have about `most` bytes (one row at least), then gives back what is free."""
     texts, start, size = batch.column(column), 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if size and size + (n or 0) > most:
@@ -77,6 +87,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         size += n or 0
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
 
 
 def shuffles(spark: SparkSession) -> int:

@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from litsieve.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, linking, packing, queries, substring_dedup, token_files, toxicity, url_filter
+from litsieve.llm import chat_format, common, decontaminate, exact_dedup, html_extract, jaccard_join, linking, packing, queries, substring_dedup, token_files, toxicity, url_filter
 from litsieve.llm.shingles import shingles, word_hashes
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -305,6 +306,16 @@ def test_bands_of_near_sizes_meet(spark):
     assert far.count() == 0
 
 
+def test_slices_give_memory_back():
+    pages = lambda: int(open("/proc/self/statm").read().split()[1])
+    held = [bytes(600) for _ in range(300_000)]
+    last = bytes(600)  # lies above them, so that they don't go by themselves
+    del held
+    full = pages()
+    list(common.slices(pa.record_batch([pa.array(["x"])], names=["text"]), "text"))
+    assert last is not None and pages() < full - 20_000
+
+
 def test_jaccard_join_large_group_unlinked(spark):
     """Most copies of one text differ too much from each other to be linked, but share keys; only the planted pairs link."""
     lines = template_lines(150)
