@@ -62,7 +62,7 @@ def _(spark, d):
 
 def pruned(spark, docs, key, weights, queries, k):
     """OR form over an index written once, with the postings below the k-th score unread."""
-    index = lexical.build(docs, key, weights)
+    index = lexical.build(docs, key, weights, positions=False)
     units = queries.select("query_id", F.explode(F.array_distinct(lexical.word_tokens(F.col("query")))).alias("unit"))
     hits, bounds = lexical.hits_of(index, units.select("unit").distinct())
     held = bounds.groupBy("unit").agg(F.sum("held").alias("held"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from litsieve.operators import lexical, retrieval
@@ -64,3 +65,17 @@ def test_search_keeps_the_best_form(spark):
     assert got[1, 1].forms == "bigram+or+phrase" and got[1, 1].rank == 1 and got[1, 2].forms == "or" and {i for q, i in got if q == 1} == {1, 2, 3, 5}
     assert got[2, 5].rank == 1 and got[2, 5].forms == "or+phrase" and got[2, 4].forms == "or" and not [k for k in got if k[0] == 3]
     assert lexical.search(lexical.build(spark.createDataFrame([], "id long, title string"), "id", {"title": 8.0}), queries, 3).count() == 0
+
+
+def test_postings_are_met_where_they_lie(spark):
+    rows, docs = zipf_docs(spark, 60)
+    units = spark.createDataFrame([("w0",), ("w5",)], "unit string")
+    index, bare = (lexical.build(docs, "id", {"title": 8.0, "abstract": 1.0}, positions=p) for p in (True, False))
+    for own in (index, bare):
+        hits, bounds = lexical.hits_of(own, units)
+        plan = hits._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert bounds.agg(F.sum("held")).first()[0] == hits.count() == sum(u in (r[1] + " " + r[2]).split() for r in rows for u in ("w0", "w5"))
+    assert sorted(map(tuple, bounds.collect())) == sorted(map(tuple, lexical.hits_of(index, units)[1].collect()))
+    with pytest.raises(ValueError):
+        lexical.hits_of(bare, spark.createDataFrame([("w0 w1",)], "unit string"))
