@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litsieve.store import written
+
+
 def references(citations: DataFrame, papers: DataFrame) -> DataFrame:
     """Each reference with its local paper, if it has one."""
     return citations.join(papers.select(F.col("paper_id").alias("cited_paper_id"), "title", "pub_year"), "cited_paper_id", "left")
@@ -59,7 +62,12 @@ def with_counts(parents: DataFrame, children: DataFrame, key: str, foreign: str,
 
 
 def runs_with_artifacts(runs: DataFrame, artifacts: DataFrame, limit: int) -> DataFrame:
-    return runs.join(artifacts, "artifact_id", "left").orderBy(F.col("created_at").desc(), F.col("run_id").desc()).limit(limit)
+    """The latest runs with their artifacts. The runs are cut first, as a left join drops none, so runs without an artifact
+    don't meet in one task; their few ids go to the artifacts by broadcast."""
+    latest = [F.col("created_at").desc(), F.col("run_id").desc()]
+    top = written(runs.orderBy(*latest).limit(limit), "runs")
+    held = artifacts.join(top.select("artifact_id").distinct().hint("broadcast"), "artifact_id", "left_semi")
+    return top.join(held.hint("merge"), "artifact_id", "left").orderBy(*latest).limit(limit)
 
 
 def list_papers(papers: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

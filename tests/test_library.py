@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litsieve.functions import rules, text
-from litsieve.operators import analytics, claims, filters, metrics, resolve, retrieval, safety, windows
+from litsieve.operators import analytics, claims, filters, library, metrics, resolve, retrieval, safety, windows
 from litsieve.plans import registry
 from litsieve.sources.adapters import VIEWS
 
@@ -147,3 +147,14 @@ def test_knn_hands_on_k_rows_a_task(spark):
     for q in range(3):
         want = np.argsort(-(unit @ unit[q]))[:5].tolist()
         assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_runs_are_cut_before_they_meet_artifacts(spark, monkeypatch):
+    runs = spark.createDataFrame([(f"r{i:03}", i // 7, i if i % 10 == 0 else None) for i in range(300)], "run_id string, created_at int, artifact_id int")
+    artifacts = spark.createDataFrame([(i, f"t{i}") for i in range(0, 300, 20)] + [(280, "again")], "artifact_id int, title string")
+    held, write = [], library.written
+    monkeypatch.setattr(library, "written", lambda df, name: held.append(write(df, name)) or held[-1])
+    got = library.runs_with_artifacts(runs, artifacts, 25).collect()
+    assert held[0].count() == 25 and len(got) == 25
+    assert [(r.run_id, r.title) for r in got if r.run_id != "r280"] == [(f"r{i:03}", None) for i in range(299, 275, -1) if i != 280]
+    assert sorted(r.title for r in got if r.run_id == "r280") == ["again", "t280"]
