@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from litsieve.operators import appraisal, claims, injection
+from litsieve.operators.scan import LINES, pieces
 from litsieve.sources import records
 from litsieve.sources.adapters import table
 
@@ -22,18 +26,38 @@ def sql_text(x: str) -> str:
 
 
 # index records --------------------------------------------------------------------------------------------------------
+def _indexed(batches):
+    """(text, other columns) -> (other columns, index): each word of a text with its places, made where the text lies."""
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(whole.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch in pieces(whole, sizes, LINES):
+            lists = pc.split_pattern(batch.column(0), " ")
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            words = lists.flatten()
+            full = pc.not_equal(words, "")
+            row, words = row[full.to_numpy(zero_copy_only=False)], words.filter(full).dictionary_encode()
+            place = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
+            code = words.indices.to_numpy()
+            order = np.lexsort((place, code, row))
+            row, place, code = row[order], place[order], code[order]
+            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(place))
+            ends = np.searchsorted(row[first], np.arange(batch.num_rows + 1)).astype(np.int32)
+            index = pa.MapArray.from_arrays(pa.array(ends), words.dictionary.take(pa.array(code[first])), places)
+            yield pa.record_batch([*batch.columns[1:], index], names=[*batch.schema.names[1:], "index"])
+
+
 def works(spark, d):
     """Documents as OpenAlex works, with the inverted index of the whole text."""
-    docs = documents(spark, d)
-    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("at", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    docs = documents(spark, d).select("text", "doc_id", "lang", "source", "n_chars")
+    held = docs.mapInArrow(_indexed, ", ".join(f"{c} {kind}" for c, kind in docs.dtypes[1:]) + ", index map<string, array<int>>").withColumn("index", F.when(F.size("index") > 0, F.col("index")))
     record = F.expr("""to_json(named_struct('id', concat('https://openalex.org/W', doc_id), 'title', if(doc_id % 3 = 0, null, source), 'display_name', concat('D', doc_id),
         'doi', concat('https://doi.org/10.1/X', doc_id, '.'), 'publication_year', cast(1990 + doc_id % 35 as int), 'cited_by_count', n_chars,
         'open_access', named_struct('is_oa', doc_id % 2 = 0), 'ids', named_struct('pmid', concat('https://pubmed/', doc_id)),
         'authorships', array(named_struct('author', named_struct('display_name', concat('Ann B', doc_id))), named_struct('author', named_struct('display_name', cast(null as string)))),
         'concepts', array(named_struct('display_name', lang, 'score', 0.3D), named_struct('display_name', source, 'score', 0.2D)),
         'biblio', named_struct('first_page', cast(doc_id as string), 'last_page', if(doc_id % 2 = 0, cast(doc_id + 9 as string), null)), 'abstract_inverted_index', index))""")
-    return docs.join(index.hint("merge"), "doc_id", "left").select(record.alias("record"))
+    return held.select(record.alias("record"))
 
 
 @query(

@@ -50,7 +50,8 @@ def last_part(url: Column) -> Column:
 
 
 def parsed(records: DataFrame, schema: str, column: str) -> DataFrame:
-    return records.select(F.from_json(column, schema).alias("r")).select("r.*")
+    """The fields of each record. The generator keeps tests on them above itself: else each test parses the record anew."""
+    return records.select(F.inline(F.array(F.from_json(column, schema))))
 
 
 def as_papers(rows: DataFrame, source: str, **given: Column) -> DataFrame:
@@ -66,7 +67,7 @@ def as_papers(rows: DataFrame, source: str, **given: Column) -> DataFrame:
 def text_of_index(index: Column) -> Column:
     """The text of an inverted index (word -> places): the words in the order of their places."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    return F.array_join(F.transform(F.array_sort(F.filter(placed, lambda x: x["at"].isNotNull())), lambda x: x["word"]), " ")
+    return F.array_join(F.transform(F.sort_array(F.filter(placed, lambda x: x["at"].isNotNull())), lambda x: x["word"]), " ")
 
 
 def openalex(records: DataFrame, column: str = "record") -> DataFrame:

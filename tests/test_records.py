@@ -3,10 +3,12 @@
 import base64
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from litsieve.operators import appraisal, claims, injection
+from litsieve.plans import records as plan_records
 from litsieve.sources import records
 
 
@@ -110,3 +112,17 @@ def test_bibliography_orders(spark):
     papers = spark.createDataFrame([(1, ["Zhou"], 2001), (2, ["Ames"], None), (3, [], 2010)], "number int, authors array<string>, pub_year int")
     order = lambda by: [r["number"] for r in appraisal.bibliography(papers, by).collect()]
     assert order("cited") == [1, 2, 3] and order("author") == [3, 2, 1] and order("year") == [3, 1, 2]
+
+
+def test_a_record_is_parsed_once(spark):
+    """The test of the title stands above the parser, and an inverted index is made without a shuffle."""
+    plan = records.openalex(frame(spark, {"title": "a"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_index_of_a_text_where_it_lies(monkeypatch):
+    texts = ["b a  b ", None, "", "  ", "ä b ä", "x"]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(6))], names=["text", "doc_id"])
+    monkeypatch.setattr(plan_records, "LINES", 4)
+    made = [r for b in plan_records._indexed(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], {w: list(p) for w, p in r["index"]}) for r in made] == [(0, {"b": [0, 2], "a": [1]}), (1, {}), (2, {}), (3, {}), (4, {"ä": [0, 2], "b": [1]}), (5, {"x": [0]})]
