@@ -124,20 +124,17 @@ def tagged(spark: SparkSession, path: str | DataFrame, source: str = "import") -
 
 def closing(text: str, at: int, opener: str, closer: str) -> int:
     """Place of the closer that balances the opener at `at`, -1 if there is none; quoted and escaped signs don't count."""
-    depth, quoted, i = 0, False, at
-    while i < len(text):
-        sign = text[i]
-        if sign == "\\":
-            i += 1
-        elif sign == '"':
+    depth, quoted = 0, False
+    for found in re.compile(rf'\\.|["{re.escape(opener + closer)}]', re.S).finditer(text, at):
+        sign = found[0]
+        if sign == '"':
             quoted = not quoted
         elif not quoted and sign == opener:
             depth += 1
         elif not quoted and sign == closer:
             depth -= 1
             if not depth:
-                return i
-        i += 1
+                return found.start()
     return -1
 
 
@@ -172,14 +169,21 @@ def bib_fields(body: str) -> dict[str, str]:
     return fields
 
 
+ENTRY_CHARS = 1 << 20  # of the entries that a task holds besides their file
 BIB_SCHEMA = pa.schema([("kind", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
 
 
 def _bibtex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
-            entries = list(bib_entries(text.as_py()))
-            yield pa.RecordBatch.from_pylist([{"kind": k, "fields": list(f.items())} for k, f in entries], schema=BIB_SCHEMA)
+            held, size = [], 0
+            for kind, fields in bib_entries(text.as_py()):
+                held.append({"kind": kind, "fields": list(fields.items())})
+                size += sum(map(len, fields.values()))
+                if size > ENTRY_CHARS:
+                    yield pa.RecordBatch.from_pylist(held, schema=BIB_SCHEMA)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_pylist(held, schema=BIB_SCHEMA)
 
 
 def latex_to_text(value: Column) -> Column:

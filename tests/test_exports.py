@@ -1,5 +1,7 @@
 """Citation exports."""
 
+import pyarrow as pa
+
 from litsieve.sources import exports
 
 RIS = """TY  - JOUR
@@ -167,3 +169,13 @@ def test_any_export_finds_format_and_encoding(spark, tmp_path):
     assert got == {"a.txt": ("ris", "utf-8-sig"), "b.txt": ("wos", "utf-8-sig"), "c.dat": ("tagged", "gb18030"), "d.txt": ("bibtex", "utf-16"), "e.txt": ("csv", "utf-8-sig"), "f.txt": ("", "utf-8-sig"), "g.ris": ("ris", "utf-8-sig"), "h.txt": ("ris", "utf-8-sig")}
     titles = sorted(r.title for r in exports.any_export(spark, str(tmp_path)).collect())
     assert titles == sorted(["Effects of rTMS on mood", "No end tag", "Third", "Bare record", "Effects of rTMS", "Second", "疗效研究", "Page", "Effects of rTMS & mood - ä", 'Quoted \\" sign', "Effects", "Only"])
+
+
+def test_entries_leave_a_file_in_bounded_batches(monkeypatch):
+    text = "".join('@article{k%d, title = {T {%d} \\} "}" x}, year = 20%02d}\n' % (i, i, i) for i in range(40)) + "@book(b, title = {)}) @misc{open, title = {x}"
+    monkeypatch.setattr(exports, "ENTRY_CHARS", 50)
+    made = list(exports._bibtex(iter([pa.record_batch([pa.array([text, "", "@a{b}"])], names=["value"])])))
+    assert max(b.num_rows for b in made) < 5 and sum(b.num_rows for b in made) == 42
+    rows = [r for b in made for r in b.to_pylist()]
+    assert rows[7]["fields"] == [("title", 'T {7} \\} "}" x'), ("year", "2007")] and rows[40]["kind"] == "book" and rows[41]["kind"] == "a"
+    assert exports.closing('{a\\}"}"b}c', 0, "{", "}") == 8 and exports.closing("{a", 0, "{", "}") == -1 and exports.closing("(a(b)\\", 0, "(", ")") == -1
