@@ -4,6 +4,7 @@ import duckdb
 
 from litsieve.operators import claims
 from litsieve.plans import content
+from litsieve.plans.base import QUERIES
 
 
 def test_numbers_parted_by_white_space_only(spark):
@@ -29,3 +30,9 @@ def test_levels_of_all_words_and_letters(spark):
     con.execute("create table papers_v (paper_id bigint, title varchar, abstract varchar)")
     con.executemany("insert into papers_v values (?, ?, null)", list(enumerate(titles)))
     assert got == sorted(con.execute(content.sca_17_sql()).fetchall()) and got[0][1] == "其他"
+
+
+def test_texts_are_checked_once(spark):
+    """The tests of the result stand above the checks: no filter runs these anew."""
+    made = QUERIES["saf_03_output_check"](spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
