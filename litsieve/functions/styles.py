@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.functions.text import CJK
-from litsieve.operators.formatting import NOBODY, family
+from litsieve.functions.text import CJK, let
+from litsieve.operators.formatting import NOBODY, family, family_of, name_parts
 
 # The most authors a style shows, words a key leaves out, marks of publication types, the longest abstract of an export.
 MOST = {"gb7714": 3, "vancouver": 6, "apa7": 20, "chicago": 20}
@@ -20,31 +20,38 @@ def text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def given(name: Column) -> Column:
-    """What follows the family name."""
-    clean = F.btrim(F.trim(name), F.lit(".,;"))
-    return F.when(F.rlike(clean, F.lit(f"[{CJK}]")), "").otherwise(F.trim(F.substr(clean, F.char_length(family(name)) + 1)))
+def initialled(names: Column, dot: str) -> Column:
+    """array<struct<family, initials>> of names. What follows the family name is given; a name in Chinese characters has no initials."""
+    parts = F.transform(names, lambda a: F.struct(*(c.alias(n) for c, n in zip(name_parts(a), ("clean", "words"), strict=True))))
+    cut = F.transform(parts, lambda x: F.struct(x["clean"].alias("clean"), family_of(x["clean"], x["words"]).alias("family")))
 
+    def initials(x: Column) -> Column:
+        given = F.when(F.rlike(x["clean"], F.lit(f"[{CJK}]")), "").otherwise(F.trim(F.substr(x["clean"], F.char_length(x["family"]) + 1)))
+        words = F.filter(F.split(given, "[\\s\\-]+"), lambda p: p != "")
+        return F.trim(F.array_join(F.transform(words, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lit(dot))), ""))
 
-def initials(name: Column, dot: str) -> Column:
-    parts = F.filter(F.split(given(name), "[\\s\\-]+"), lambda p: p != "")
-    return F.trim(F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lit(dot))), ""))
+    return F.transform(cut, lambda x: F.struct(x["family"].alias("family"), initials(x).alias("initials")))
 
 
 def authors(style: str) -> Column:
     names = F.filter(F.coalesce("authors", F.array().cast("array<string>")), lambda a: F.trim(F.coalesce(a, F.lit(""))) != "")
+    return let(names, lambda own: _authors(own, style))
+
+
+def _authors(names: Column, style: str) -> Column:
     most, n = MOST[style], F.size(names)
     shown = F.slice(names, 1, most)
     nobody = F.when(F.startswith(text("language"), F.lit("zh")) | F.lit(style == "gb7714"), NOBODY).otherwise("Anonymous")
     if style == "gb7714":
         named = F.concat(F.array_join(F.transform(shown, lambda a: F.trim(a)), ", "), F.when(n > most, ", 等").otherwise(""))
     elif style == "vancouver":
-        named = F.concat(F.array_join(F.transform(shown, lambda a: F.trim(F.concat_ws(" ", family(a), initials(a, "")))), ", "), F.when(n > most, ", et al.").otherwise(""))
+        each = F.transform(initialled(shown, ""), lambda x: F.trim(F.concat_ws(" ", x["family"], x["initials"])))
+        named = F.concat(F.array_join(each, ", "), F.when(n > most, ", et al.").otherwise(""))
     else:
-        each = F.transform(shown, lambda a: F.when(initials(a, ". ") == "", family(a)).otherwise(F.concat(family(a), F.lit(", "), initials(a, ". "))))
-        each = F.when(n > most, F.concat(F.slice(each, 1, most - 1), F.array(F.lit("…")), F.slice(each, -1, 1))).otherwise(each)
-        last = F.get(F.slice(each, -1, 1), F.lit(0))
-        named = F.when(F.size(each) == 1, last).otherwise(F.concat(F.array_join(F.slice(each, F.lit(1), F.greatest(F.size(each) - 1, F.lit(0))), ", "), F.lit(", & "), last))
+        each = F.transform(initialled(shown, ". "), lambda x: F.when(x["initials"] == "", x["family"]).otherwise(F.concat(x["family"], F.lit(", "), x["initials"])))
+        each = let(each, lambda e: F.when(n > most, F.concat(F.slice(e, 1, most - 1), F.array(F.lit("…")), F.slice(e, -1, 1))).otherwise(e))
+        joined = lambda e: F.concat(F.array_join(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), ", "), F.lit(", & "), F.get(F.slice(e, -1, 1), F.lit(0)))
+        named = let(each, lambda e: F.when(F.size(e) == 1, F.get(e, F.lit(0))).otherwise(joined(e)))
     return F.when(n == 0, nobody).otherwise(named)
 
 
@@ -61,7 +68,7 @@ def listed(style: str, number: Column | None = None) -> Column:
     if style == "apa7":
         return F.concat(authors(style), F.lit(" ("), year, F.lit("). "), title, F.lit(". "), journal, volume(", "), some(", ", pages), F.lit("."), link)
     if style == "vancouver":
-        who = F.concat(authors(style), F.when(F.endswith(authors(style), F.lit(".")), "").otherwise("."))
+        who = let(authors(style), lambda a: F.concat(a, F.when(F.endswith(a, F.lit(".")), "").otherwise(".")))
         return F.concat(numbered("", ". "), who, F.lit(" "), title, F.lit(". "), journal, F.lit(". "), year, volume(";"), some(":", pages), F.lit("."), some(" doi:", doi))
     if style == "chicago":
         who = F.regexp_replace(authors(style), "\\.+$", "")
@@ -105,9 +112,12 @@ def bibtex(key: Column) -> Column:
         (F.lit("volume"), escaped(text("volume"))), (F.lit("number"), escaped(text("issue"))), (F.lit("pages"), escaped(F.replace(text("pages"), F.lit("-"), F.lit("--")))), (F.lit("doi"), text("doi")),
         (F.lit("url"), text("url")), (F.lit("keywords"), escaped(F.array_join("keywords", ", "))),
     ]
-    held = fields_of(rows)
-    width = F.coalesce(F.array_max(F.transform(held, lambda x: F.char_length(x["name"]))), F.lit(4))
-    body = F.array_join(F.transform(held, lambda x: F.concat(F.lit("  "), F.rpad(x["name"], width, F.lit(" ")), F.lit(" = {"), x["value"], F.lit("}"))), ",\n")
+    def lines(held: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(held, lambda x: F.char_length(x["name"]))), F.lit(4))
+        line = lambda w: F.transform(held, lambda x: F.concat(F.lit("  "), F.rpad(x["name"], w, F.lit(" ")), F.lit(" = {"), x["value"], F.lit("}")))
+        return F.array_join(let(width, line), ",\n")
+
+    body = let(fields_of(rows), lines)
     return F.concat(F.lit("@"), genre("inproceedings", "phdthesis", "article"), F.lit("{"), key, F.lit(",\n"), body, F.lit("\n}"))
 
 
@@ -131,8 +141,9 @@ def records(papers: DataFrame, style: str, number: str = "number") -> DataFrame:
 
     Keys of BibTeX that would be equal get a to j, from the second on, in the order of their numbers; after that they repeat."""
     if style == "bibtex":
-        again = F.row_number().over(Window.partitionBy(key_base()).orderBy(number)) - 2
+        again = F.col("_again")
         suffix = F.when((again >= 0) & (again < 10), F.substr(F.lit("abcdefghij"), again + 1, F.lit(1))).otherwise("")
-        keyed = papers.withColumn("_key", F.concat(key_base(), suffix))
+        keyed = papers.withColumn("_base", key_base()).withColumn("_again", F.row_number().over(Window.partitionBy("_base").orderBy(number)) - 2)
+        keyed = keyed.withColumn("_key", F.concat("_base", suffix))
         return keyed.select(number, bibtex(F.col("_key")).alias("text"))
     return papers.select(number, (ris() if style == "ris" else listed(style, F.col(number))).alias("text"))

@@ -15,10 +15,18 @@ NOBODY = "佚名"
 SHORT_SECTION = 60
 
 
+def name_parts(name: Column) -> tuple[Column, Column]:
+    """A name without outer points and commas, and its words."""
+    clean = F.btrim(F.trim(F.coalesce(name, F.lit(""))), F.lit(".,;"))
+    return clean, F.filter(F.split(clean, "\\s+"), lambda w: w != "")
+
+
 def family(name: Column) -> Column:
     """The family name of 'Family Given'; with a particle all but the last word; a name in Chinese characters whole."""
-    clean = F.btrim(F.trim(F.coalesce(name, F.lit(""))), F.lit(".,;"))
-    words = F.filter(F.split(clean, "\\s+"), lambda w: w != "")
+    return family_of(*name_parts(name))
+
+
+def family_of(clean: Column, words: Column) -> Column:
     own = F.when(F.lower(F.get(words, F.lit(0))).isin(PARTICLES) & (F.size(words) >= 3), F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " "))
     return F.when(F.rlike(clean, F.lit(f"[{CJK}]")), clean).otherwise(F.coalesce(own, F.get(words, F.lit(0)), F.lit("")))
 

@@ -51,3 +51,9 @@ def test_text_checks(spark):
     assert (row.none, row.blank, row.bare, row.cut, row.nothing, row.empty, row.no_key) == ([], "", "https://x/a.pdf", "…[已截断]", "", ["empty"], "") and any(p.startswith("injection: ") for p in row.attack) and row.key == "ok。"
     broken = spark.createDataFrame([("{",), (None,), ("{}",), ('{"bibjson": null}',)], "record string")
     assert indexes.europe_pmc(broken).count() == indexes.doaj(broken).count() == indexes.europe_pmc_edges(broken).count() == indexes.semantic_scholar_edges(broken).count() == indexes.pubmed_edges(broken).count() == 0
+
+
+def test_names_are_parsed_once(spark):
+    """A name is trimmed twice in the expression of a style, for itself and for its words, however often the style names it."""
+    for style in ("apa7", "chicago", "vancouver"):
+        assert str(styles.authors(style)._jc.toString()).count(".,;") == 2, style
