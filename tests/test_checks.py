@@ -1,4 +1,5 @@
 from litsieve.operators import claims, retrieval
+from litsieve.plans import registry
 
 
 def plan_of(df):
@@ -17,3 +18,17 @@ def test_embedding_moves_no_words(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "id long, text string")
     made = retrieval.hashing_embedding(docs, "id", "text")
     assert "Aggregate" not in plan_of(made) and [r.id for r in made.collect()] == [1]
+
+
+def long_claim(spark, folder):
+    """A draft whose only claim names a number, which its source lacks, after some 500 signs."""
+    words = "patients walked further after training " * 13
+    texts = [(100, f"{words}and 87.31 of them were glad. "), (101, words)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_report_reads_whole_claims(spark, tmp_path):
+    row = registry.queries()["agg_19_draft_report"](spark, long_claim(spark, tmp_path)).first()
+    assert (row.claims, row.unsupported, row.supported_rate) == (1, 1, 0.0)
