@@ -32,3 +32,8 @@ def long_claim(spark, folder):
 def test_report_reads_whole_claims(spark, tmp_path):
     row = registry.queries()["agg_19_draft_report"](spark, long_claim(spark, tmp_path)).first()
     assert (row.claims, row.unsupported, row.supported_rate) == (1, 1, 0.0)
+
+
+def test_rules_read_whole_claims(spark, tmp_path):
+    rows = registry.queries()["clm_05_10_check"](spark, long_claim(spark, tmp_path)).collect()
+    assert [(r.verdict, r.rules, r.n) for r in rows] == [("unsupported", "numbers", 1)]
