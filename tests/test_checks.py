@@ -37,3 +37,8 @@ def test_report_reads_whole_claims(spark, tmp_path):
 def test_rules_read_whole_claims(spark, tmp_path):
     rows = registry.queries()["clm_05_10_check"](spark, long_claim(spark, tmp_path)).collect()
     assert [(r.verdict, r.rules, r.n) for r in rows] == [("unsupported", "numbers", 1)]
+
+
+def test_issues_read_whole_claims(spark, tmp_path):
+    rows = registry.queries()["clm_15_issues"](spark, long_claim(spark, tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [(100, "100:0:0", "unsupported", 1)]
