@@ -42,3 +42,10 @@ def test_rules_read_whole_claims(spark, tmp_path):
 def test_issues_read_whole_claims(spark, tmp_path):
     rows = registry.queries()["clm_15_issues"](spark, long_claim(spark, tmp_path)).collect()
     assert [tuple(r) for r in rows] == [(100, "100:0:0", "unsupported", 1)]
+
+
+def test_drafts_are_cut_once(spark):
+    drafts = spark.createDataFrame([(1, "Aspirin was shown to help 12 patients here [1].")], "draft_id long, draft string")
+    sources = spark.createDataFrame([(1, 1, "aspirin helped 12 patients")], "draft_id long, cite_id int, source_text string")
+    checked = claims.check(claims.claims(drafts), sources)
+    assert "Window" not in plan_of(checked) and checked.count() == 1
